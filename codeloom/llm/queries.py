@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import quality
-from codeloom.llm.common import small_batches, table
+from codeloom.llm import bpe, chunks, quality
+from codeloom.llm.common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +54,21 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 from b
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc.doc_id", F.col("kept").alias("text"), "n_removed", "removed_chars")
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_line_dedup": op4_line_dedup, "op6_bpe": op6_bpe}
 ORACLES = {"op1_quality_rules": OP1_SQL}
