@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chunks, quality
+from codeloom.llm import bpe, chunks, ordered_minhash, quality
 from codeloom.llm.common import table
 
 
@@ -55,6 +55,11 @@ from b
 """
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ordered_minhash.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.expr("id <=> class_id").alias("kept"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc.doc_id", F.col("kept").alias("text"), "n_removed", "removed_chars")
@@ -70,5 +75,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op4_line_dedup": op4_line_dedup, "op6_bpe": op6_bpe}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_order_minhash": op2_order_minhash,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_bpe": op6_bpe,
+}
 ORACLES = {"op1_quality_rules": OP1_SQL}
