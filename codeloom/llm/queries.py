@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chunks, ordered_minhash, quality
+from codeloom.llm import bpe, chunks, decontaminate, ordered_minhash, quality
 from codeloom.llm.common import table
 
 
@@ -75,10 +75,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_order_minhash": op2_order_minhash,
     "op4_line_dedup": op4_line_dedup,
     "op6_bpe": op6_bpe,
+    "op7_decontaminate": op7_decontaminate,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL}
