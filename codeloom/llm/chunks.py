@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WORD, let
+from codeloom.llm.common import WORD, cut, let
 
 WINDOW = 2
 #: One line in so many ends a run.
@@ -76,7 +76,7 @@ def _key(text: Column) -> tuple[Column, Column]:
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, th, at): document, hash of its text, and first line of each run that occurred before."""
     keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).where("text is not null")
-    signed = keyed.select("id", "th", F.explode(_run_texts(F.col("text"))).alias("r")).select("id", "th", F.col("r.at").alias("at"), *_key(F.col("r.text")))
+    signed = cut(keyed.select("id", "th", F.explode(_run_texts(F.col("text"))).alias("r")).select("id", "th", F.col("r.at").alias("at"), *_key(F.col("r.text"))))
     first = signed.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at")).alias("first")).where("n > 1").select("h", "g", "first")
     likely = (
         signed.join(first, ["h", "g"])
