@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chunks, decontaminate, ordered_minhash, quality
+from codeloom.llm import bpe, chat, chunks, decontaminate, fixity, ordered_minhash, pages, quality, toxicity, urls
 from codeloom.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.expr("id <=> class_id").alias("kept"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc.doc_id", F.col("kept").alias("text"), "n_removed", "removed_chars")
@@ -79,11 +83,60 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC files against a replica with bytes changed in some records and some records gone."""
+    records = fixity.warc_records(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    spoilt = records.withColumn("data", F.when(F.col("page_id") % 97 == 13, F.concat(F.lit(b"w"), F.substring("data", 2, 1 << 30))).otherwise(F.col("data")))
+    first = fixity.placed(records)
+    found = fixity.audit(first, fixity.placed(spoilt).where("page_id % 193 <> 7 or page_id is null"))
+    ids = first.select("page_id", F.col("file").alias("_file"), F.col("offset").alias("_offset"))
+    return found.join(ids, F.expr("file <=> _file and offset = _offset"), "left").select("page_id", "file", "offset", "status")
+
+
+OP5_SQL = r"""
+with r as (
+  select page_id, 'pages-' || lpad(cast(page_id // 500 as varchar), 6, '0') || '.warc' as file,
+         strlen('WARC/1.0' || 'WARC-Type: response' || 'WARC-Record-ID: <urn:page:' || page_id || '>' || 'WARC-Target-URI: ' || coalesce(url, '')
+                || 'Content-Type: text/html; charset=utf-8' || 'Content-Length: ' || strlen(coalesce(html, ''))) + 14 + strlen(coalesce(html, '')) + 4 as size
+  from pages),
+p as (select page_id, file, coalesce(sum(size) over (partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as "offset" from r)
+select page_id, file, cast("offset" as bigint) as "offset", case when page_id % 193 = 7 then 'missing' else 'changed' end as status
+from p where page_id % 193 = 7 or page_id % 97 = 13
+"""
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings."""
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    formatted = chat.format_records(chat.records_of(said.unionByName(extra)))
+    return chat.digests(formatted).withColumnRenamed("id", "conv_id")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages").select("page_id", "url")
+    trained = urls.UrlFilter(urls.weak_labels(found))
+    return trained.judge(found).select("row.page_id", "host", "path", "rule", "verdict", "model_verdict")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    index = toxicity.train(docs, labels.where(~held_out))
+    scored = toxicity.score(docs, index)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "neighbours")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_order_minhash": op2_order_minhash,
+    "op3_main_text": op3_main_text,
     "op4_line_dedup": op4_line_dedup,
+    "op5_merkle_audit": op5_merkle_audit,
     "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
+    "op8_chat": op8_chat,
+    "op9_url_filter": op9_url_filter,
+    "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op5_merkle_audit": OP5_SQL}
