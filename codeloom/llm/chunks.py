@@ -95,8 +95,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the input row as ``doc``, its ``kept`` text, ``n_removed`` runs and ``removed_lines``."""
     gone = repeats(docs, doc_id, text).groupBy("id", "th").agg(F.collect_set("at").alias("ats"))
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"), F.struct("*").alias("doc"))
-    joined = rows.join(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "ats"), F.expr("id <=> _id and th = _th"), "left")
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.struct("*").alias("doc"))  # the text moves once
+    joined = rows.join(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "ats"), F.expr("id <=> _id and th = _th"), "left").withColumn("text", F.col(f"doc.`{text}`"))
     kept_lines = let(_lines(F.col("text")), lambda lines: F.flatten(F.transform(F.filter(runs(F.col("text")), lambda r: ~F.array_contains("ats", r["at"])), lambda r: F.slice(lines, r["at"] + 1, r["n"]))))
     cut_text = F.when(F.col("ats").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n"))
     return joined.select("doc", cut_text.alias("kept"), F.coalesce(F.size("ats"), F.lit(0)).cast("long").alias("n_removed"), "text").select(
