@@ -1 +1 @@
-"""Part of codeloom; see the package README."""
+"""Operators: functions from DataFrames to DataFrames."""

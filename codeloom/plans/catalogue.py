@@ -1,4 +1,6 @@
 """Every registered query and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from codeloom.plans import change_queries, graph_queries, stream_queries, text_queries  # noqa: F401
+from codeloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
