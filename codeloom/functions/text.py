@@ -51,7 +51,7 @@ def trim_to_budget(text: Column, budget: str | int) -> Column:
 
 
 def slug(text: Column) -> Column:
-    made = F.trim(F.lit("-"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"))
+    made = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.when(made == "", F.lit("section")).otherwise(made)
 
 

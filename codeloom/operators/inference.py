@@ -56,9 +56,9 @@ def _joined_path(parent: Column, name: Column) -> Column:
 def candidates(imported: Column, source_file: Column) -> Column:
     """Module names to look for, best first."""
     cleaned = F.trim(F.regexp_replace(imported, "^external::", ""))
-    dotted = F.trim(F.lit("."), F.replace(cleaned, F.lit("/"), F.lit(".")))
+    dotted = F.trim(F.replace(cleaned, F.lit("/"), F.lit(".")), F.lit("."))
     parent = F.regexp_replace(source_file, "/?[^/]*$", "")
-    local = F.trim(F.lit("."), F.replace(_joined_path(parent, cleaned), F.lit("/"), F.lit(".")))
+    local = F.trim(F.replace(_joined_path(parent, cleaned), F.lit("/"), F.lit(".")), F.lit("."))
     tried = F.concat(F.array(local), *[F.array(F.concat(local, F.lit(f".{e}"))) for e in MODULE_ENDINGS], *[F.array(F.concat(local, F.lit(f".index.{e}"))) for e in INDEX_ENDINGS])
     plain = F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.array(cleaned, dotted))
     return F.array_distinct(F.when(source_file.isNotNull() & F.startswith(cleaned, F.lit(".")), F.concat(plain, tried)).otherwise(plain))
