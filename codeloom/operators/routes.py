@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeloom.functions.matching import matches
+
 #: Patterns of route declarations, in Java's dialect.
 EXPRESS = r"(?i)\b(?:app|router|server)\.(get|post|put|patch|delete)\s*\(\s*[\"']([^\"']+)[\"']"
 CONTROLLER = r"@Controller\s*\(\s*(?:[\"']([^\"']*)[\"'])?\s*\)"
@@ -26,20 +28,9 @@ NEXT_SKIPPED = ("_app", "_document", "_error", "_middleware", "middleware")
 
 
 def found(files: DataFrame, pattern: str, groups: int) -> DataFrame:
-    """One row for each match: groups ``g1..`` and the line where its text begins.
-
-    The text before a match is what precedes the first match of the rest, so lines come from
-    counting line ends piece by piece.
-    """
-    pieces = F.split("content", pattern, -1)  # texts between the matches
-    hits = [F.regexp_extract_all("content", F.lit(pattern), F.lit(g)) for g in range(groups + 1)]
-    ends = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    rows = files.select("*", pieces.alias("_pieces"), F.arrays_zip(*[h.alias(f"g{g}") for g, h in enumerate(hits)]).alias("_hits")).where(F.size("_hits") > 0)
-    placed = rows.select("*", F.posexplode("_hits").alias("_k", "_h"))
-    before = F.aggregate(F.slice("_pieces", F.lit(1), F.col("_k") + 1), F.lit(0), lambda n, t: n + ends(t)) + F.aggregate(F.slice("_hits", F.lit(1), F.col("_k")), F.lit(0), lambda n, h: n + ends(h["g0"]))
-    lead = ends(F.regexp_extract(F.col("_h.g0"), r"^(\s*)", 1))
-    cleaned = placed.select(*files.columns, (before + lead + 1).alias("line"), *[F.col(f"_h.g{g}").alias(f"g{g}") for g in range(1, groups + 1)])
-    return cleaned
+    """One row for each match in ``content``: groups ``g1..`` and ``line``."""
+    rows = files.select("*", F.explode(matches(F.col("content"), pattern, groups)).alias("_m"))
+    return rows.select(*files.columns, F.col("_m.line").alias("line"), *[F.col(f"_m.g{g}").alias(f"g{g}") for g in range(1, groups + 1)])
 
 
 def normalized(path: Column) -> Column:

@@ -25,8 +25,9 @@ SCHEMA_VERSION = 1
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Old rows without a new row of their key, and the new rows; of new rows with one key the last by all columns."""
-    last = new.groupBy(*key).agg(F.max(F.struct(*[c for c in new.columns if c not in key])).alias("_r")).select(*key, "_r.*").select(*old.columns)
+    """Old rows without a new row of their key, and the new rows; of new rows with one key the last by all columns. Columns that new rows lack are null."""
+    whole = new.select(*[F.col(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema])
+    last = whole.groupBy(*key).agg(F.max(F.struct(*[c for c in old.columns if c not in key])).alias("_r")).select(*key, "_r.*").select(*old.columns)
     return old.join(new.select(*key).distinct(), key, "left_anti").select(old.columns).unionByName(last)
 
 
