@@ -74,8 +74,8 @@ def review(catalog: store.Catalog, root: str, base: str | None = None, staged: b
     public, db = F.col("type").isin("api_endpoint", "service", "schema"), F.col("type").isin("database_table", "schema")
     exported = F.col("type").isin(*CODE_SYMBOLS) & ~F.startswith("name", F.lit("_"))
     parts = [
-        seeds.agg(F.count("*").alias("nodes"), F.count_if(public).alias("public_nodes"), F.count_if(exported).alias("exported"), F.count_if(db).alias("database_nodes"), F.count_if("confidence_tier = 'ambiguous'").alias("_seed_ambiguous"), F.array_sort(F.collect_set("qualified_name")).alias("changed_symbols")),
-        hit.agg(F.count("*").alias("impacted"), F.count_if("confidence_tier = 'ambiguous'").alias("_hit_ambiguous"), F.array_sort(F.collect_set("file_path")).alias("impacted_files")),
+        seeds.agg(F.count("*").alias("nodes"), F.count_if(public).alias("public_nodes"), F.count_if(exported).alias("exported"), F.count_if(db).alias("database_nodes"), F.count_if(F.col("confidence_tier") == "ambiguous").alias("_seed_ambiguous"), F.array_sort(F.collect_set("qualified_name")).alias("changed_symbols")),
+        hit.agg(F.count("*").alias("impacted"), F.count_if(F.col("confidence_tier") == "ambiguous").alias("_hit_ambiguous"), F.array_sort(F.collect_set("file_path")).alias("impacted_files")),
         tests.agg(F.count("*").alias("tests"), F.array_sort(F.collect_set("test")).alias("affected_tests")),
         touched.distinct().agg(F.count("*").alias("changed_lines")),
         said.agg(F.array_sort(F.collect_list(F.struct("path", "code", "severity", "snippet"))).alias("migration_warnings")),
