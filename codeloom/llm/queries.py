@@ -113,6 +113,26 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(formatted).withColumnRenamed("id", "conv_id")
 
 
+def _escaped_length(text: str) -> str:
+    """SQL: length of an escaped text, which has one more character for each backslash and each control string."""
+    return f"length({text})" + "".join(f" + (length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in ("\\", *chat.CONTROL))
+
+
+OP8_SQL = f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+talks as (
+  select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
+         coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '') as loss,
+         sum({len(chat.START) + len(chat.MIDDLE) + len(chat.END)} + {_escaped_length("role")} + {_escaped_length("text")}) as formatted_chars
+  from said group by conv_id)
+select cast(conv_id as bigint) as conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256,
+       cast(formatted_chars as bigint) as formatted_chars
+from talks
+"""
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "pages").select("page_id", "url")
     trained = urls.UrlFilter(urls.weak_labels(found))
@@ -139,4 +159,4 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op5_merkle_audit": OP5_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op5_merkle_audit": OP5_SQL, "op8_chat": OP8_SQL}
