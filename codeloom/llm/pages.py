@@ -1,18 +1,20 @@
-"""Main text of web pages: markup where it says what a block is, page differencing elsewhere.
+"""Main text of web pages by page differencing, with markup as a check on it.
 
 A page is cut into blocks of text at its block tags. Blocks inside menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles (by tag, class, id or role)
-go. If the page marks its article (``article`` or ``main``), the rest of that is the text.
-Otherwise the page is paired with the page of its host whose URL path is nearest, their
-lines are aligned by longest common subsequence, and shared lines go, as templates repeat.
+go. Every page is paired with the page of its host whose URL path is nearest, and their
+lines are aligned by longest common subsequence. Shared lines go, as templates repeat.
 
-Nearest is the neighbour, in the order of host, path and page id, with the longest common
-start of the path. Pages meet their neighbours in range partitions of that order, so a host
-of any size spreads over many tasks. Only line hashes travel, and blocks of pages without an
-article. A page that is alone with its host in its partition has no pair and keeps its lines.
+If the page marks its article (``article`` or ``main``), only lines inside it are text, and
+the mark is a check on the alignment, as texts of different pages do share real sentences: a
+line goes only if both neighbours share it, and none go if that took over half of the article
+(then the pages are copies of each other).
 
-Lines that two articles share are not deleted inside marked articles: texts of different
-pages do share real sentences.
+Nearest is the neighbour, in the order of host, path and page id, with the longest common
+start of the path. Pages meet their neighbours in ranges of that order, so a host of any size
+spreads over many tasks. A first pass over ids and URLs finds the ends of the ranges; the
+pages there travel to the range beside theirs as well, so each page sees both neighbours.
+Only a page that is alone with its host has no pair and keeps its lines.
 
 Defined cases: a null or empty page has an empty text; text outside all blocks counts as a
 block; tags that are never closed end with their parent; null URLs share an empty host;
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -191,53 +194,104 @@ def marked_text(found: list[tuple[str, str]]) -> str | None:
     return None if found else ""
 
 
-_NARROW = "page_id {id}, url string, host string, path string, lines array<long>, blocks array<string>"
+_NARROW = "part int, page_id {id}, url string, host string, path string, guest boolean, marked boolean, lines array<long>, blocks array<string>"
+
+
+def _key(host: str, path: str, page_id: object) -> tuple:
+    """Places a page as Spark sorts it: nulls first."""
+    return host, path, page_id is not None, page_id
+
+
+def _ranges(picked: DataFrame, parts: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """First keys of the ranges, in order, and the keys of pages that the ranges beside theirs need, with the numbers of these."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_place(u.as_py()) for u in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([p for _, p in found], pa.string()), b.column(0)], ["host", "path", "page_id"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for b in batches:
+            if b.num_rows:
+                first, last = first or b.slice(0, 1), b.slice(b.num_rows - 1)
+        if first:
+            yield from (first, last)
+
+    schema = f"host string, path string, page_id {picked.schema['page_id'].dataType.simpleString()}"
+    keys = picked.select("page_id", "url").mapInArrow(places, schema).repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    found = sorted(_key(*r) for r in keys.mapInArrow(ends, schema).collect())
+    firsts, lasts = found[::2], found[1::2]
+    guests: dict[tuple, list[int]] = {}
+    for k in range(1, len(firsts)):
+        if lasts[k - 1][0] == firsts[k][0]:
+            guests.setdefault(lasts[k - 1], []).append(k)
+            guests.setdefault(firsts[k], []).append(k - 1)
+    return firsts, guests
+
+
+def kept_lines(row: dict, beside: list[dict]) -> list[str]:
+    """The lines of a page that stay, given its neighbours of the same host."""
+    own = {k for k, t in enumerate(row["blocks"]) if t is not None}
+    gone: set[int] = set()
+    if beside:
+        order = sorted(beside, key=lambda x: -_common_start(x["path"], row["path"]))
+        gone = own & set(common_lines(row["lines"], order[0]["lines"]))
+    if row["marked"] and gone:
+        gone = gone & set(common_lines(row["lines"], order[1]["lines"])) if len(order) > 1 else set()
+        if 2 * len(gone) > len(own):
+            gone = set()
+    return [row["blocks"][k] for k in sorted(own - gone)]
 
 
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
-    small_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    small_batches(spark)
     picked = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     kind = picked.schema["page_id"].dataType.simpleString()
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [marked_text(blocks(_skip_raw(h.as_py() or ""))) for h in b.column(2)]
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-            yield out.filter(pa.array([t is not None for t in texts], pa.bool_()))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    firsts, guests = _ranges(picked, parts)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [blocks(_skip_raw(h.as_py() or "")) for h in b.column(2)]
-            places = [_place(u.as_py()) for u in b.column(1)]
-            lines = [[_hash(t) for _, t in f] for f in found]
-            open_blocks = [[t for _, t in f] if marked_text(f) is None else None for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h for h, _ in places], pa.string()), pa.array([p for _, p in places], pa.string()), pa.array(lines, pa.list_(pa.int64())), pa.array(open_blocks, pa.list_(pa.string()))], ["page_id", "url", "host", "path", "lines", "blocks"])
+            rows = []
+            for i, (p, u, h) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                found = blocks(_skip_raw(h or ""))
+                inside = next((name for name in MAIN if any(where == name for where, _ in found)), None)
+                key = _key(*_place(u), p)
+                lines = [_hash(t) for _, t in found]
+                rows.append((bisect_right(firsts, key) - 1, i, *key[:2], False, inside is not None, lines, [t if inside in (None, where) else None for where, t in found]))
+                rows += [(part, i, *key[:2], True, inside is not None, lines, None) for part in guests.get(key, ())]
+            part, at, host, path, guest, marked, lines, texts = zip(*rows, strict=True) if rows else [()] * 8
+            places = pa.array(at, pa.int32())
+            columns = [pa.array(part, pa.int32()), b.column(0).take(places), b.column(1).take(places), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(guest, pa.bool_()), pa.array(marked, pa.bool_()), pa.array(lines, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "page_id", "url", "host", "path", "guest", "marked", "lines", "blocks"])
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = now = None
 
-        def text(row: dict, neighbours: list[dict | None]) -> pa.RecordBatch:
-            beside = [x for x in neighbours if x is not None and x["host"] == row["host"]]
-            kept = row["blocks"]
-            if beside:
-                near = max(beside, key=lambda x: _common_start(x["path"], row["path"]))
-                shared = set(common_lines(row["lines"], near["lines"]))
-                kept = [t for k, t in enumerate(kept) if k not in shared]
-            return pa.RecordBatch.from_arrays([pa.array([row["page_id"]], first.field("page_id").type), pa.array([row["url"]], pa.string()), pa.array(["\n".join(kept)], pa.string())], ["page_id", "url", "text"])
+        def judged(after: dict | None) -> list[tuple]:
+            if now is None or now["guest"]:
+                return []
+            beside = [x for x in (before, after) if x is not None and (x["part"], x["host"]) == (now["part"], now["host"])]
+            return [(now["page_id"], now["url"], "\n".join(kept_lines(now, beside)))]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            ids, urls, texts = zip(*rows, strict=True) if rows else [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
         for b in batches:
-            first = b.schema
+            id_type, out = b.schema.field("page_id").type, []
             for row in b.to_pylist():
-                if now is not None and now["blocks"] is not None:
-                    yield text(now, [before, row])
+                out += judged(row)
                 before, now = now, row
-        if now is not None and now["blocks"] is not None:
-            yield text(now, [before, None])
+            yield batch(out)
+        if now is not None:
+            yield batch(judged(None))
 
-    schema = f"page_id {kind}, url string, text string"
-    ordered = picked.mapInArrow(narrow, _NARROW.format(id=kind)).repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return picked.mapInArrow(marked, schema).union(ordered.mapInArrow(paired, schema))
+    ordered = picked.mapInArrow(narrow, _NARROW.format(id=kind)).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "host", "path", "page_id")
+    return ordered.mapInArrow(paired, f"page_id {kind}, url string, text string")
 
 
 def _common_start(a: str, b: str) -> int:

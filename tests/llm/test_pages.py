@@ -48,6 +48,42 @@ def test_differencing_and_odd_rows(spark):
     assert texts[14] == ""
 
 
+def test_edges_of_ranges_and_marked_pages(spark):
+    """More ranges than pages of a host: every page still meets both of its neighbours."""
+    plain = lambda k: f"<div>Home</div><p>Own text {k}</p><div>All rights</div>"
+    article = lambda k: f"<article><h1>Title {k}</h1><p>Sign our letter</p><p>{'Told twice' if k in (3, 4) else f'Told {k}'}</p><p>End {k}</p></article><p>Around</p>"
+    rows = [(k, f"http://a.example/x/{k:02}", plain(k)) for k in range(12)] + [(100 + k, f"http://b.example/{k}", article(k)) for k in range(8)]
+    rows += [(200 + k, f"http://c.example/{k}", "<main><p>Copied</p><p>text</p></main>") for k in range(4)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        texts = {r.page_id: r.text for r in pages.main_texts(spark.createDataFrame([(*r, "own", "own") for r in rows], SCHEMA)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(texts) == len(rows)
+    assert all(texts[k] == f"Own text {k}" for k in range(12))
+    told = lambda k: "Told twice" if k in (3, 4) else f"Told {k}"
+    assert all(texts[100 + k] == f"Title {k}\n{told(k)}\nEnd {k}" for k in range(1, 7))
+    assert all(texts[100 + k] == f"Title {k}\nSign our letter\n{told(k)}\nEnd {k}" for k in (0, 7))  # one neighbour only
+    assert all(texts[200 + k] == "Copied\ntext" for k in range(4))
+
+
+def test_tables_by_a_walk_over_all_pages(spark, sf_dir):
+    frame = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = []
+    for r in frame.collect():
+        found = pages.blocks(pages._skip_raw(r.html or ""))
+        inside = next((m for m in pages.MAIN if any(w == m for w, _ in found)), None)
+        host, path = pages._place(r.url)
+        rows.append({"id": r.page_id, "host": host, "path": path, "marked": inside is not None, "lines": [t for _, t in found], "blocks": [t if inside in (None, w) else None for w, t in found]})
+    rows.sort(key=lambda r: (r["host"], r["path"], r["id"]))
+    want = {}
+    for k, r in enumerate(rows):
+        beside = [rows[i] for i in (k - 1, k + 1) if 0 <= i < len(rows) and rows[i]["host"] == r["host"]]
+        want[r["id"]] = "\n".join(pages.kept_lines(r, beside))
+    assert {r.page_id: r.text for r in pages.main_texts(frame).collect()} == want
+
+
 def test_tables(spark, sf_dir):
     got = pages.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
     assert got and all(r.text for r in got)
