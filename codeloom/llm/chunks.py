@@ -7,6 +7,14 @@ of its own, whatever stands around it. A run that counts (several lines with wor
 long line) and whose bytes occurred before goes; its first occurrence, by document id, then
 text hash, then place, stays.
 
+``remove_passages`` finds passages that runs miss, as few short lines seldom hold a whole run.
+A passage is a stretch of lines that counts: several lines with words, or one long line. From
+each line the shortest stretch that counts, forward and backward, is looked up; these hang on
+the passage's own lines only, and together they cover every passage that occurred before,
+whatever stands around it. So each line of such a passage goes, except from its first
+occurrence; a repeat that overlaps its own first occurrence doesn't count. ``dedup_lines``
+removes runs only.
+
 Texts aren't shuffled to find repeats: only hashes are. The texts of runs whose hashes
 repeat are then compared byte by byte with the first occurrence.
 
@@ -104,6 +112,71 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
+def _shortest(text: Column) -> Column:
+    """Array of (at, n, h, g) of the shortest stretches that count from each line with words, forward and backward."""
+
+    def grown(lines: Column) -> Column:
+        """How many of some lines, from the first on, count together; 0 if all of them don't."""
+        start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("gaps"))
+        enough = lambda a: (a["n"] > 1) & (a["gaps"] >= MIN_WORDS - 1)
+        add = lambda a, x: F.when(enough(a), a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["gaps"] + x["gaps"] + 1).alias("gaps")))
+        return F.aggregate(lines, start, add, lambda a: F.when(enough(a), a["n"]).otherwise(0))
+
+    def stretches(f: Column) -> Column:
+        worded = F.filter(F.transform(f, lambda x, k: F.struct(k.alias("at"), x["gaps"].alias("gaps"), x["worded"].alias("worded"))), lambda x: x["worded"])
+
+        def spans(w: Column) -> Column:
+            def around(x: Column, i: Column) -> Column:
+                low = F.greatest(i - MIN_WORDS + 1, F.lit(0))
+                ahead, back = grown(F.slice(w, i + 1, MIN_WORDS)), grown(F.reverse(F.slice(w, low + 1, i - low + 1)))
+                span = lambda a, b: F.struct(a["at"].alias("at"), (b["at"] - a["at"] + 1).alias("n"))
+                both = F.array(F.when(ahead > 0, span(x, F.get(w, i + ahead - 1))), F.when(back > 0, span(F.get(w, i - back + 1), x)))
+                return F.when(x["gaps"] >= LONG_LINE, F.array(F.struct(x["at"].alias("at"), F.lit(1).alias("n")))).otherwise(both)
+
+            return F.array_distinct(F.filter(F.flatten(F.transform(w, around)), lambda r: r.isNotNull()))
+
+        keyed = lambda r, h: let(F.slice(h, r["at"] + 1, r["n"]), lambda x: F.struct(r["at"].alias("at"), r["n"].alias("n"), F.xxhash64(x).alias("h"), F.hash(x).alias("g")))
+        return let(F.transform(f, lambda x: x["h"]), lambda h: F.transform(let(worded, spans), lambda r: keyed(r, h)))
+
+    facts = F.transform(_lines(text), lambda x: F.struct(F.xxhash64(x).alias("h"), _gaps(x).alias("gaps"), (F.translate(x, _SPACES, "") != "").alias("worded")))
+    return let(facts, stretches)
+
+
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, th, at, n): document, hash of its text, first line and number of lines of each shortest stretch that occurred before."""
+    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).where("text is not null")
+    apart = lambda r: F.struct(*[r[c].alias(c) for c in ("at", "n", "h", "g")])
+    packed = cut(keyed.select("id", "th", let(_shortest(F.col("text")), apart).alias("s")).select("id", "th", "s.*"))  # arrays of numbers, as each row would repeat id and th
+    signed = packed.select("id", "th", F.explode(F.arrays_zip("at", "n", "h", "g")).alias("r")).select("id", "th", "r.*")
+    first = signed.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "at")).alias("first")).where("c > 1").select("h", "g", "first")
+    later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))) | (F.col("at") >= F.col("first.at") + F.col("n"))
+    likely = (
+        signed.join(first, ["h", "g"])
+        .where(later | (F.col("at") == F.col("first.at")))
+        .select("id", "th", F.struct("at", "n", later.alias("later")).alias("place"))
+        .groupBy("id", "th")
+        .agg(F.collect_set("place").alias("places"))
+    )
+    with_text = let(_lines(F.col("text")), lambda lines: F.transform("places", lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), r["later"].alias("later"), F.array_join(F.slice(lines, r["at"] + 1, r["n"]), "\n").alias("text"))))
+    rows = keyed.join(likely.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "places"), F.expr("id <=> _id and th = _th")).select("id", "th", F.explode(with_text).alias("r"))
+    found = rows.select("id", "th", "r.at", "r.n", "r.later", F.col("r.text").alias("passage"), *_key(F.col("r.text")))
+    originals = found.where("not later").select("h", "g", F.col("passage").alias("original")).distinct()
+    return found.where("later").join(originals, ["h", "g"]).where("passage = original").select("id", "th", "at", "n")
+
+
+def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: the input row as ``doc``, its ``kept`` text, ``n_removed`` stretches of lines and ``removed_chars``."""
+    gone = passages(docs, doc_id, text).groupBy("id", "th").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.struct("*").alias("doc"))
+    joined = rows.join(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans"), F.expr("id <=> _id and th = _th"), "left")
+    numbers = F.array_distinct(F.flatten(F.transform("spans", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
+    own = F.col(f"doc.`{text}`")
+    kept = let(_lines(own), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("numbers")), lambda k: F.get(lines, k)), "\n"))
+    out = joined.select("doc", numbers.alias("numbers")).select("doc", "numbers", F.when(F.col("numbers").isNull(), own).otherwise(kept).alias("kept"))
+    starts = F.size(F.array_except("numbers", F.transform("numbers", lambda k: k + 1)))
+    return out.select("doc", "kept", F.when(F.col("numbers").isNull(), 0).otherwise(starts).cast("long").alias("n_removed"), (F.length(own) - F.length("kept")).cast("long").alias("removed_chars"))
+
+
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input's rows and columns, with the cut texts."""
     out = remove_repeats(docs, text=text)

@@ -65,7 +65,7 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = chunks.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc.doc_id", F.col("kept").alias("text"), "n_removed", "removed_chars")
 
 

@@ -80,5 +80,50 @@ def test_planted_passages_and_odd_rows(spark):
     assert all(texts[str(k)].count("shared line") < 14 for k in range(1, 5)) and texts["0"].count("shared line") == 14
 
 
+def all_passages(docs):
+    """Cut texts by a look at every stretch of lines that counts."""
+    first, later = {}, {}
+    for i, t in sorted({d for d in docs if d[1] is not None}, key=lambda d: (d[0] is not None, d[0], line_hash(d[1]))):
+        lines = t.split("\n")
+        worded = [k for k, x in enumerate(lines) if words(x)]
+        for x, a in enumerate(worded):
+            for b in worded[x:]:
+                inside = [k for k in worded if a <= k <= b]
+                gaps = sum(lines[k].count(" ") + 1 for k in inside) - 1
+                if gaps < (chunks.MIN_WORDS - 1 if len(inside) > 1 else chunks.LONG_LINE):
+                    continue
+                doc, at = first.setdefault(tuple(lines[a : b + 1]), ((i, t), a))
+                if doc != (i, t) or a >= at + b - a + 1:
+                    later.setdefault((i, t), set()).update(range(a, b + 1))
+    return {(i, t): "\n".join(x for k, x in enumerate(t.split("\n")) if k not in later.get((i, t), ())) for i, t in docs if t is not None}
+
+
+def test_short_passages_in_differing_surroundings(spark):
+    line = lambda p, k: f"passage {p} line {k} of few words"
+    own = lambda d, k: f"own line {k} of document {d} {k * d}"
+    docs = []
+    for n in range(2, 7):
+        for copy in range(8):
+            d = 100 * n + copy
+            docs.append((d, "\n".join([own(d, k) for k in range(copy + 1)] + [line(n, k) for k in range(n)] + [own(d, k) for k in range(50, 60 - copy)])))
+    docs += [(1, "\n".join(["again and again"] * 9)), (2, None), (3, ""), (4, "a\n\n  \nb"), (None, docs[0][1]), (None, docs[0][1]), (5, docs[3][1].replace("\n", "\n\n")), (6, docs[4][1].replace("\n", "\n\n"))]
+    docs += [(7, "\n".join("abcdefghijklm")), (8, "x\ny y\n" + "\n".join("cdefghijklm") + "\nz z z")]
+    got = chunks.remove_passages(spark.createDataFrame([(*d, "own") for d in docs], SCHEMA)).collect()
+    want = all_passages(docs)
+    assert sorted((str(r.doc.doc_id), str(r.kept)) for r in got) == sorted((str(i), str(want.get((i, t), t))) for i, t in docs)
+    texts = {r.doc.doc_id: (r.kept, r.n_removed, r.doc.text) for r in got}
+    for n in range(2, 7):
+        assert all("passage" not in texts[100 * n + copy][0] and texts[100 * n + copy][1] == 1 for copy in range(1, 8))
+    assert all(len(kept) <= len(t) for kept, _, t in texts.values() if t is not None)
+
+
+def test_every_passage_of_generated_documents(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if r.text is None or r.text.count("\n") < 60]
+    want = all_passages(docs)
+    got = chunks.remove_passages(spark.createDataFrame([(*d, "own") for d in docs], SCHEMA)).collect()
+    assert {(r.doc.doc_id, r.doc.text): r.kept for r in got} == {(i, t): want.get((i, t), t) for i, t in docs}
+    assert any(r.n_removed for r in got)
+
+
 def test_empty_table(spark):
     assert chunks.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
