@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -36,13 +37,33 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder of spark.checkpoint.dir; only a session without one gets its own."""
+    """Uses the shared folder of spark.checkpoint.dir; only a session of one machine may do without and gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="codeloom-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared checkpoint folder, without their lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: A key with over one in so many of all rows is hot; so there are fewer hot keys than this.
+HOT = 1024
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row for each key and in ``count`` how many of ``rows`` have it.
+
+    The facts of hot keys, fewer than ``HOT``, are broadcast, so their rows stay where they are; only the others
+    are dealt out by their keys.
+    """
+    if total is None:
+        total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = facts.where(F.col(count) > total / HOT)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col(count) <= total / HOT), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
