@@ -64,6 +64,8 @@ def hot_join(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int
     """
     if total is None:
         total = facts.agg(F.sum(count)).first()[0] or 0
-    hot = facts.where(F.col(count) > total / HOT)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col(count) <= total / HOT), key)
-    return rows.join(F.broadcast(hot), key).unionByName(rest)
+    is_hot = F.col(count) > total / HOT
+    values = F.struct(*[c for c in facts.columns if c != key]).alias("_hot")
+    marked = rows.join(F.broadcast(facts.where(is_hot).select(key, values)), key, "left")
+    rest = marked.where("_hot is null").drop("_hot").join(facts.where(~is_hot), key)
+    return marked.where("_hot is not null").select(*rows.columns, "_hot.*").unionByName(rest)
