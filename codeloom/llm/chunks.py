@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WORD, cut, let
+from codeloom.llm.common import cut, let
 
 WINDOW = 2
 #: One line in so many ends a run.
@@ -39,6 +39,9 @@ LONG_LINE = 50
 #: A run of several lines counts if it has so many words.
 MIN_WORDS = 10
 
+#: Places of one passage that one task compares with its first occurrence.
+PLACES = 1024
+
 _SPACES = " \t\x0b\x0c\r"
 
 
@@ -72,7 +75,8 @@ def runs(text: Column) -> Column:
 def _run_texts(text: Column) -> Column:
     """Array of (at, n, text) of the runs that count."""
     with_text = let(_lines(text), lambda lines: F.transform(runs(text), lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), F.array_join(F.slice(lines, r["at"] + 1, r["n"]), "\n").alias("text"))))
-    several = lambda r: (r["n"] > 1) & (_gaps(r["text"], _SPACES + "\n") >= MIN_WORDS - 1) & r["text"].rlike(rf"{WORD}[^\n]*\n(.*\n)*.*{WORD}")
+    worded = lambda t: F.size(F.filter(_lines(t), lambda x: F.translate(x, _SPACES, "") != ""))
+    several = lambda r: (r["n"] > 1) & (_gaps(r["text"], _SPACES + "\n") >= MIN_WORDS - 1) & (worded(r["text"]) > 1)
     return F.filter(with_text, lambda r: several(r) | (_gaps(r["text"]) >= LONG_LINE))
 
 
@@ -112,6 +116,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
+def _span(at: Column, n: Column) -> Column:
+    """First line and number of lines as one number, as arrays of numbers lose their doubles in linear time."""
+    return F.shiftleft(at.cast("long"), 32) + n
+
+
 def _shortest(text: Column) -> Column:
     """Array of (at, n, h, g) of the shortest stretches that count from each line with words, forward and backward."""
 
@@ -129,50 +138,62 @@ def _shortest(text: Column) -> Column:
             def around(x: Column, i: Column) -> Column:
                 low = F.greatest(i - MIN_WORDS + 1, F.lit(0))
                 ahead, back = grown(F.slice(w, i + 1, MIN_WORDS)), grown(F.reverse(F.slice(w, low + 1, i - low + 1)))
-                span = lambda a, b: F.struct(a["at"].alias("at"), (b["at"] - a["at"] + 1).alias("n"))
+                span = lambda a, b: _span(a["at"], b["at"] - a["at"] + 1)
                 both = F.array(F.when(ahead > 0, span(x, F.get(w, i + ahead - 1))), F.when(back > 0, span(F.get(w, i - back + 1), x)))
-                return F.when(x["gaps"] >= LONG_LINE, F.array(F.struct(x["at"].alias("at"), F.lit(1).alias("n")))).otherwise(both)
+                return F.when(x["gaps"] >= LONG_LINE, F.array(_span(x["at"], F.lit(1)))).otherwise(both)
 
             return F.array_distinct(F.filter(F.flatten(F.transform(w, around)), lambda r: r.isNotNull()))
 
-        keyed = lambda r, h: let(F.slice(h, r["at"] + 1, r["n"]), lambda x: F.struct(r["at"].alias("at"), r["n"].alias("n"), F.xxhash64(x).alias("h"), F.hash(x).alias("g")))
+        keyed = lambda s, h: let(F.struct(F.shiftright(s, 32).cast("int").alias("at"), s.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n")), lambda r: hashed(r, h))
+        hashed = lambda r, h: let(F.slice(h, r["at"] + 1, r["n"]), lambda x: F.struct(r["at"].alias("at"), r["n"].alias("n"), F.xxhash64(x).alias("h"), F.hash(x).alias("g")))
         return let(F.transform(f, lambda x: x["h"]), lambda h: F.transform(let(worded, spans), lambda r: keyed(r, h)))
 
     facts = F.transform(_lines(text), lambda x: F.struct(F.xxhash64(x).alias("h"), _gaps(x).alias("gaps"), (F.translate(x, _SPACES, "") != "").alias("worded")))
     return let(facts, stretches)
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text, th, rest): each row with the hash of its text and, if there are any, its other columns."""
+    others = [F.col(c) for c in docs.columns if c not in (doc_id, text)]
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"), *([F.struct(*others).alias("rest")] if others else []))
+
+
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, th, at, n): document, hash of its text, first line and number of lines of each shortest stretch that occurred before."""
-    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th")).where("text is not null")
+    keyed = _keyed(docs, doc_id, text)
     apart = lambda r: F.struct(*[r[c].alias(c) for c in ("at", "n", "h", "g")])
-    packed = cut(keyed.select("id", "th", let(_shortest(F.col("text")), apart).alias("s")).select("id", "th", "s.*"))  # arrays of numbers, as each row would repeat id and th
+    packed = cut(keyed.where("text is not null").select("id", "th", let(_shortest(F.col("text")), apart).alias("s")).select("id", "th", "s.*"))  # arrays of numbers, as each row would repeat id and th
     signed = packed.select("id", "th", F.explode(F.arrays_zip("at", "n", "h", "g")).alias("r")).select("id", "th", "r.*")
-    first = signed.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "at")).alias("first")).where("c > 1").select("h", "g", "first")
+    first = signed.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "at")).alias("first")).where("c > 1").select("h", "g", "first", "c")
     later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))) | (F.col("at") >= F.col("first.at") + F.col("n"))
+    ways = F.ceil(F.col("c") / PLACES)  # tasks that compare the places of one passage
     likely = (
         signed.join(first, ["h", "g"])
         .where(later | (F.col("at") == F.col("first.at")))
-        .select("id", "th", F.struct("at", "n", later.alias("later")).alias("place"))
+        .select("id", "th", F.struct("at", "n", later.alias("later"), ways.cast("int").alias("ways")).alias("place"))
         .groupBy("id", "th")
         .agg(F.collect_set("place").alias("places"))
     )
-    with_text = let(_lines(F.col("text")), lambda lines: F.transform("places", lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), r["later"].alias("later"), F.array_join(F.slice(lines, r["at"] + 1, r["n"]), "\n").alias("text"))))
+    with_text = let(_lines(F.col("text")), lambda lines: F.transform("places", lambda r: F.struct(r["at"].alias("at"), r["n"].alias("n"), r["later"].alias("later"), r["ways"].alias("ways"), F.array_join(F.slice(lines, r["at"] + 1, r["n"]), "\n").alias("text"))))
     rows = keyed.join(likely.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "places"), F.expr("id <=> _id and th = _th")).select("id", "th", F.explode(with_text).alias("r"))
-    found = rows.select("id", "th", "r.at", "r.n", "r.later", F.col("r.text").alias("passage"), *_key(F.col("r.text")))
-    originals = found.where("not later").select("h", "g", F.col("passage").alias("original")).distinct()
-    return found.where("later").join(originals, ["h", "g"]).where("passage = original").select("id", "th", "at", "n")
+    found = rows.select("id", "th", "r.at", "r.n", "r.later", "r.ways", F.col("r.text").alias("passage"), *_key(F.col("r.text")))
+    originals = found.where("not later").groupBy("h", "g", F.col("passage").alias("original")).agg(F.max("ways").alias("ways")).select("h", "g", "original", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+    dealt = found.where("later").withColumn("way", F.pmod(F.xxhash64("id", "th", "at"), F.col("ways")).cast("int"))
+    return dealt.join(originals, ["h", "g", "way"]).where("passage = original").select("id", "th", "at", "n")
 
 
 def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the input row as ``doc``, its ``kept`` text, ``n_removed`` stretches of lines and ``removed_chars``."""
+    """Per row: the input row as ``doc``, its ``kept`` text, ``n_removed`` stretches of lines and ``removed_chars``.
+
+    Rows with no columns but id and text meet their passages in the very shuffle that found these; others move once more.
+    """
     gone = passages(docs, doc_id, text).groupBy("id", "th").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.struct("*").alias("doc"))
-    joined = rows.join(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans"), F.expr("id <=> _id and th = _th"), "left")
+    joined = _keyed(docs, doc_id, text).join(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans"), F.expr("id <=> _id and th = _th"), "left")
+    doc = F.struct(*[F.col({doc_id: "id", text: "text"}.get(c, f"rest.`{c}`")).alias(c) for c in docs.columns])
     numbers = F.array_distinct(F.flatten(F.transform("spans", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
-    own = F.col(f"doc.`{text}`")
+    own = F.col("text")
     kept = let(_lines(own), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("numbers")), lambda k: F.get(lines, k)), "\n"))
-    out = joined.select("doc", numbers.alias("numbers")).select("doc", "numbers", F.when(F.col("numbers").isNull(), own).otherwise(kept).alias("kept"))
+    out = joined.select(doc.alias("doc"), "text", numbers.alias("numbers")).select("doc", "text", "numbers", F.when(F.col("numbers").isNull(), own).otherwise(kept).alias("kept"))
     starts = F.size(F.array_except("numbers", F.transform("numbers", lambda k: k + 1)))
     return out.select("doc", "kept", F.when(F.col("numbers").isNull(), 0).otherwise(starts).cast("long").alias("n_removed"), (F.length(own) - F.length("kept")).cast("long").alias("removed_chars"))
 

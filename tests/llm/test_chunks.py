@@ -125,5 +125,15 @@ def test_every_passage_of_generated_documents(spark, sf_dir):
     assert any(r.n_removed for r in got)
 
 
+def test_very_many_lines(spark):
+    """Equal lines end no run, so a run can be as long as its text."""
+    docs = [(1, "\n".join(["same line here"] * 20000)), (2, "\n".join(["same line here"] * 100000)), (3, "\n".join(f"line {k % 700} of a long text" for k in range(20000)))]
+    frame = spark.createDataFrame([(*d, "own") for d in docs], SCHEMA)
+    want = brute(docs)
+    assert {(r.doc_id, r.text) for r in chunks.dedup_lines(frame).collect()} == {(i, want[i, t]) for i, t in docs}
+    got = {r.doc.doc_id: r.kept for r in chunks.remove_passages(frame).collect()}
+    assert got[1].count("\n") < 40 and got[2] == "" and got[3].count("\n") < 720
+
+
 def test_empty_table(spark):
     assert chunks.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
