@@ -52,6 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, per_task: int = 1 << 16) -> DataFrame:
+    """``df`` cut, in as few partitions as hold its rows by ``per_task``: small frames needn't be as many files as large shuffles."""
+    rows = cut(df)
+    return rows.coalesce(max(1, -(-rows.count() // per_task)))
+
+
 #: A key with over one in so many of all rows is hot; so there are fewer hot keys than this.
 HOT = 1024
 
