@@ -58,6 +58,7 @@ class Mapping:
     turns: str | None = None
     role: str | None = None
     text: str | None = None
+    foreign: bool = False  # roles may go by other names
 
     def paths(self) -> list[str]:
         nested = [self.turns, f"{self.turns}[]", f"{self.turns}[].{self.role}", f"{self.turns}[].{self.text}"] if self.turns else []
@@ -65,7 +66,15 @@ class Mapping:
 
     def read(self, record: dict) -> list[tuple[str, str]]:
         out = [(role, _text(record.get(f))) for role, f in self.fields if f in record]
-        return out + [(ROLES.get(t.get(self.role), _text(t.get(self.role))), _text(t.get(self.text))) for t in (record.get(self.turns) or [])] if self.turns else out
+        for t in (record.get(self.turns) or []) if self.turns else []:
+            role = _text(t.get(self.role))
+            out.append((ROLES.get(role, role) if self.foreign else role, _text(t.get(self.text))))
+        return out
+
+    def fits(self, record: object) -> bool:
+        """Whether the record is an object whose turns, if it has any, are a list of objects."""
+        turns = record.get(self.turns) if isinstance(record, dict) and self.turns else []
+        return isinstance(record, dict) and (turns is None or isinstance(turns, list) and all(isinstance(t, dict) for t in turns))
 
 
 #: Other names of the canonical roles.
@@ -91,8 +100,8 @@ def fingerprint(paths) -> str:
 
 MAPPINGS = (
     Mapping("messages", turns="messages", role="role", text="content"),
-    Mapping("share", turns="conversations", role="from", text="value"),
-    Mapping("turns", turns="turns", role="speaker", text="text"),
+    Mapping("share", turns="conversations", role="from", text="value", foreign=True),
+    Mapping("turns", turns="turns", role="speaker", text="text", foreign=True),
     Mapping("prompt", fields=(("user", "prompt"), ("assistant", "response"))),
     Mapping("completion", fields=(("user", "prompt"), ("assistant", "completion"))),
     Mapping("system prompt", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
@@ -139,7 +148,8 @@ def format_records(records: DataFrame, record: str = "record", mappings: tuple[M
                 except ValueError:
                     value = None
                 mark = fingerprint(paths_of(value))
-                mapping = by_print.get(mark) if isinstance(value, dict) else None
+                mapping = by_print.get(mark)
+                mapping = mapping if mapping and mapping.fits(value) else None
                 formatted, spans = template(mapping.read(value)) if mapping else (None, None)
                 rows.append((mapping.name if mapping else "unknown", mark, formatted, spans and [{"start": s, "end": e} for s, e in spans]))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
@@ -150,31 +160,41 @@ def format_records(records: DataFrame, record: str = "record", mappings: tuple[M
 
 
 def records_of(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(id, record): a JSON record for each conversation.
+    """(id, record): a JSON record for each conversation, in one of the declared layouts.
 
-    A conversation of a user and an assistant turn becomes a prompt record, one of a system,
-    a user and an assistant turn a system prompt record, and any other a list of messages.
+    A hash of the id deals conversations out over the layouts that can hold their roles as they are: those of a user
+    and an assistant turn over five, those of a system, a user and an assistant turn over two, and others over the
+    lists of turns. A role that a foreign layout would rename stays in a list of messages.
     """
     said = turns.select(F.col(conv_id).alias("id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content")).alias("t"))
     talks = said.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    roles = F.array_join(F.transform("ts", lambda t: t["role"]), ",")
+    roles: Column = F.transform("ts", lambda t: t["role"])
+    are = lambda *names: roles == F.array(*[F.lit(n) for n in names])
     content: Column = F.transform("ts", lambda t: t["content"])
-    record = (
-        F.when(roles == "user,assistant", F.to_json(F.struct(content[0].alias("prompt"), content[1].alias("response"))))
-        .when(roles == "system,user,assistant", F.to_json(F.struct(content[0].alias("system"), content[1].alias("prompt"), content[2].alias("response"))))
-        .otherwise(F.to_json(F.struct(F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))))
-    )
+    fields = lambda *names: F.to_json(F.struct(*[F.get(content, k).alias(n) for k, n in enumerate(names)]))
+    listed = lambda name, role, text: F.to_json(F.struct(F.transform("ts", lambda t: F.struct(t["role"].alias(role), t["content"].alias(text))).alias(name)))
+    turn_of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    messages = listed("messages", "role", "content")
+    two = [("prompt", "response"), ("prompt", "completion"), ("instruction", "output"), ("question", "answer")]
+    record = F.when(are("system", "user", "assistant"), F.when(turn_of(2) == 0, fields("system", "prompt", "response")).otherwise(fields("instruction", "input", "output")))
+    for k, names in enumerate(two):
+        record = record.when(are("user", "assistant") & (turn_of(5) == k), fields(*names))
+    foreign = F.exists(roles, lambda r: r.isin(*ROLES))
+    record = record.when(~foreign & (turn_of(3) == 1), listed("conversations", "from", "value")).when(~foreign & (turn_of(3) == 2), listed("turns", "speaker", "text")).otherwise(messages)
     return talks.select("id", record.alias("record"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Read back from the formatted texts: turns and text under the loss mask, with their digests."""
+    """Read back from the formatted texts: turns and text under the loss mask, with their digests; nulls for records of unknown layout."""
     small_batches(formatted.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if text is None:
+                    rows.append((None,) * 5)
+                    continue
                 turns = read_back(text)
                 all_turns = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "replace")).hexdigest()
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
@@ -183,5 +203,5 @@ def digests(formatted: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    picked = formatted.where("formatted is not null").select("id", "formatted", "spans")
+    picked = formatted.select("id", "formatted", "spans")
     return picked.mapInArrow(work, f"id {picked.schema['id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -61,3 +61,17 @@ def test_digests_against_brute_force(spark, sf_dir):
 
 def test_empty_table(spark):
     assert chat.digests(chat.format_records(chat.records_of(spark.createDataFrame([], SCHEMA)))).count() == 0
+
+
+def test_odd_roles_and_records(spark):
+    said = [(1, 0, "user,assistant", "x"), (2, 0, "human", "h"), (2, 1, "gpt", "g"), (3, 0, None, None), *((k, t, r, f"{k} {t}") for k in range(10, 30) for t, r in enumerate(("user", "assistant")))]
+    said += [(k, t, r, "y" * 100_000) for k in range(30, 36) for t, r in enumerate(("system", "user", "assistant"))]
+    formatted = chat.format_records(chat.records_of(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")))
+    rows = {r.id: r for r in formatted.collect()}
+    assert {chat.read_back(rows[2].formatted)[0][0], chat.read_back(rows[1].formatted)[0][0]} == {"human", "user,assistant"}
+    assert len({r.layout for r in rows.values()}) > 5 and "unknown" not in {r.layout for r in rows.values()}
+    for k in range(10, 30):
+        assert chat.read_back(rows[k].formatted) == [("user", f"{k} 0"), ("assistant", f"{k} 1")]
+    odd = spark.createDataFrame([(1, '{"messages": [1, "a"]}'), (2, '{"messages": [{"role": 5, "content": ["a"]}]}'), (3, "no json"), (4, None), (5, '{"messages": {"role": "a", "content": "b"}}')], "id long, record string")
+    got = {r.id: r for r in chat.digests(chat.format_records(odd)).collect()}
+    assert {k for k, r in got.items() if r.n_turns is None} == {1, 2, 3, 4, 5}
