@@ -18,7 +18,7 @@ Only a page that is alone with its host has no pair and keeps its lines.
 
 Defined cases: a null or empty page has an empty text; text outside all blocks counts as a
 block; tags that are never closed end with their parent; null URLs share an empty host;
-repeated rows pair with each other; an empty table gives an empty table; only the named
+a page whose neighbours are copies of it, as repeated rows are, keeps its lines; an empty table gives an empty table; only the named
 columns are read.
 """
 
@@ -234,6 +234,7 @@ def kept_lines(row: dict, beside: list[dict]) -> list[str]:
     """The lines of a page that stay, given its neighbours of the same host."""
     own = {k for k, t in enumerate(row["blocks"]) if t is not None}
     gone: set[int] = set()
+    beside = [x for x in beside if x["lines"] != row["lines"]]
     if beside:
         order = sorted(beside, key=lambda x: -_common_start(x["path"], row["path"]))
         gone = own & set(common_lines(row["lines"], order[0]["lines"]))

@@ -92,3 +92,10 @@ def test_tables(spark, sf_dir):
 
 def test_empty_table(spark):
     assert pages.main_texts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copies_keep_their_lines(spark):
+    html = "<p>one line of text</p><p>another line</p>"
+    rows = [(k, "http://a.example/x", html) for k in range(3)] + [(3, "http://a.example/x", html)]
+    got = pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"one line of text\nanother line"} and len(got) == 4
