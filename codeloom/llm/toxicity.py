@@ -12,7 +12,8 @@ calibrated probability. Neighbours are returned as evidence.
 
 Defined cases: null and empty texts, and texts without any feature, get the rate among the
 examples without features; ties of similarity go to the least example id; rows are judged
-one by one, so repeated rows and null ids need nothing; null labels don't count; without
+one by one, so repeated rows and null ids need nothing; null labels, and labels of ids that
+are no whole numbers, don't count; without
 labelled rows every score is 0; an empty table gives an empty table; only the named columns
 are read, and neither id nor language or source are features. Long texts are read in blocks.
 """
@@ -153,8 +154,8 @@ class Index:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Index:
     """An index of labelled rows of ``labels`` (doc_id, label), with document counts from all of ``docs``."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col(doc_id).try_cast("long").alias("id"), F.col(text).alias("text"))
+    known = labels.select(F.col(doc_id).try_cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(examples)
     sample = F.broadcast(chosen)  # at most ``examples`` rows of two numbers
     rows = texts.join(sample, "id").groupBy("id").agg(F.max("label").alias("label"), F.max("text").alias("text"))

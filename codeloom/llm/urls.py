@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import let
 
-#: At most so many labelled URLs train the trees: those with the least hashes.
+#: At most so many labelled URLs train the trees: those distinct ones with the least hashes.
 SAMPLE = 4000
 TREES, DEPTH, SEED = 8, 3, 11
 FEATURES = ("n_url", "n_host", "n_path", "depth", "labels", "digits", "hyphens", "params", "entropy", "suffix_rate", "suffix2_rate")
@@ -73,7 +73,7 @@ def _entropy(text: Column) -> Column:
         counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
         return F.aggregate(counts, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
-    return F.when(F.length(text) == 0, 0.0).otherwise(let(F.filter(F.split(F.left(text, F.lit(2048)), ""), lambda c: c != ""), of))
+    return F.when(F.length(text) == 0, 0.0).otherwise(let(F.filter(F.split(text, ""), lambda c: c != ""), of))
 
 
 def lexical(df: DataFrame, url: str = "url") -> DataFrame:
@@ -103,7 +103,7 @@ class UrlFilter:
     """Trees trained on labelled URLs; ``label`` is 1 for block."""
 
     def __init__(self, labelled: DataFrame, url: str = "url", label: str = "label", sample: int = SAMPLE):
-        few = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).where("label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(sample)
+        few = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).where("label is not null").groupBy("url").agg(F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(sample)
         rows = lexical(few).select("*", F.col("row.label").alias("label")).drop("row", "rule").toPandas()
         self.rates = {}
         self.prior = float(rows.label.mean()) if len(rows) else 0.0
