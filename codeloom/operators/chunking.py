@@ -20,10 +20,12 @@ def _spans(files: DataFrame, kind: str, starts: Column, ends: Column | None = No
     """Rows for spans that begin at ``starts`` (1-based, sorted) and end before the next or at ``ends``."""
     last = F.greatest(F.size("ls"), F.lit(1))
     held = files.select("path", "ls", starts.alias("starts"), last.alias("last"), *([ends.alias("ends")] if ends is not None else []))
-    end = F.col("ends")[F.col("k")] if ends is not None else F.coalesce(F.get("starts", F.col("k") + 1) - 1, F.col("last"))
-    rows = held.select("*", F.posexplode("starts").alias("k", "line_start")).select("path", "ls", "line_start", F.greatest(F.col("line_start"), end).alias("line_end"))
-    text = redact(F.array_join(F.slice("ls", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n"))
-    out = rows.select("path", F.lit(kind).alias("kind"), "line_start", "line_end", text.alias("content"))
+    to = F.col("ends") if ends is not None else F.transform("starts", lambda s, k: F.coalesce(F.get("starts", k + 1) - 1, F.col("last")))
+    span = lambda a, b: F.struct(a.alias("line_start"), F.greatest(a, b).alias("line_end"))
+    text = lambda r: F.array_join(F.slice("ls", r["line_start"], r["line_end"] - r["line_start"] + 1), "\n")
+    cut = lambda r: F.struct(r["line_start"].alias("line_start"), r["line_end"].alias("line_end"), text(r).alias("content"))
+    rows = held.select("path", F.explode(F.transform(F.zip_with("starts", to, span), cut)).alias("r")).select("path", "r.*")  # each line is copied once
+    out = rows.select("path", F.lit(kind).alias("kind"), "line_start", "line_end", redact(F.col("content")).alias("content"))
     return out.where(F.trim(F.regexp_replace("content", r"\s+", " ")) != "")
 
 

@@ -22,6 +22,7 @@ from codeloom.functions import paths
 from codeloom.functions.ids import edge_id, node_id
 from codeloom.functions.matching import matches
 from codeloom.functions.text import redact, slug
+from codeloom.operators import routes
 
 #: language(s), kind, pattern in Java's dialect.
 SYMBOLS = (
@@ -147,7 +148,7 @@ def code_facts(files: DataFrame) -> DataFrame:
         "path", "language", lines.alias("ls"), module_name().alias("module"),
         F.array_distinct(_by_language(SYMBOLS, _named)).alias("symbols"),
         F.concat(_by_language(IMPORTS, lambda p: _named("import", p)), F.when(F.col("language") == "go", go_imports).otherwise(F.array().cast(_LINE))).alias("imports"),
-        F.when(F.col("language").isin("javascript", "typescript"), F.filter(_named("call", CALL), lambda c: ~c["name"].isin(*NO_CALLS))).otherwise(F.array().cast(_LINE)).alias("calls"),
+        F.when(~F.col("language").isin("vue", "svelte"), F.filter(_named("call", CALL), lambda c: ~c["name"].isin(*NO_CALLS))).otherwise(F.array().cast(_LINE)).alias("calls"),
     )
     modules = _facts(read, "node", type=F.lit("module"), name=paths.stem(F.col("path")), qualified_name=F.col("module"), line_start=F.lit(1), line_end=F.greatest(F.lit(1), F.size("ls")), metadata=_json(parser=F.lit("patterns")))
     component = _facts(read.where("language in ('vue', 'svelte')"), "node", type=F.lit("class"), name=paths.stem(F.col("path")), qualified_name=F.concat("module", F.lit("::"), paths.stem(F.col("path"))), line_start=F.lit(1), line_end=F.size("ls"))
@@ -158,12 +159,15 @@ def code_facts(files: DataFrame) -> DataFrame:
     imports = _facts(read.select("path", "module", F.explode("imports").alias("s")), "import", source=F.col("module"), target=F.col("s.name"), line_start=F.col("s.line"))
     calls = read.select("path", "module", "symbols", F.explode("calls").alias("c"))
     before = lambda: F.filter("symbols", lambda s: s["line"] <= F.col("c.line"))
-    caller = F.element_at(F.array_sort(F.transform(before(), lambda s: F.struct(s["line"], s["name"], s["kind"]))), -1)
+    ordered = lambda s: F.struct(s["line"].alias("line"), s["name"].alias("name"), s["kind"].alias("kind"))
+    at_top = F.struct(F.lit(0).alias("line"), F.lit("").alias("name"), F.lit("module").alias("kind"))
+    caller = F.coalesce(F.try_element_at(F.array_sort(F.transform(before(), ordered)), F.lit(-1)), at_top)
     named = F.filter("symbols", lambda s: s["name"] == F.element_at(F.split("c.name", r"\."), -1))
-    callee = F.element_at(F.array_sort(F.transform(named, lambda s: F.struct(s["line"], s["name"], s["kind"]))), -1)
-    pairs = calls.where((F.size(before()) > 0) & (F.size(named) > 0)).select("path", "module", "c", caller.alias("a"), callee.alias("b")).where("a.name <> b.name")
-    qualified = lambda s: F.concat("module", F.lit("::"), F.col(f"{s}.name"))
-    used = _facts(pairs, "call", type=F.lit("function"), source=qualified("a"), target=qualified("b"), line_start=F.col("c.line"), metadata=_json(call=F.col("c.name")))
+    callee = F.element_at(F.array_sort(F.transform(named, ordered)), -1)
+    pairs = calls.where(F.size(named) > 0).select("path", "module", "c", caller.alias("a"), callee.alias("b")).where("a.name <> b.name")
+    qualified = lambda s: F.when(F.col(f"{s}.kind") == "module", F.col("module")).otherwise(F.concat("module", F.lit("::"), F.col(f"{s}.name")))
+    typed = lambda s: F.when(paths.is_test_symbol(F.col(f"{s}.name")) & (F.col(f"{s}.kind") == "function"), "test").otherwise(F.col(f"{s}.kind"))
+    used = _facts(pairs, "call", type=typed("a"), tags=F.array(typed("b")), source=qualified("a"), target=qualified("b"), line_start=F.col("c.line"), metadata=_json(call=F.col("c.name")))
     return modules.unionByName(component).unionByName(symbols).unionByName(imports).unionByName(used)
 
 
@@ -238,16 +242,16 @@ class _Symbols(ast.NodeVisitor):
     def __init__(self, path: str, module: str):
         self.path, self.module, self.rows = path, module, []
         self.owners: list[str] = []
-        self.inside: list[str] = []
-        self.named: dict[str, str] = {}
-        self.calls: list[tuple[str, str, int]] = []
+        self.inside: list[tuple[str, str]] = []
+        self.named: dict[str, tuple[str, str]] = {}
+        self.calls: list[tuple[tuple[str, str], str, int]] = []
 
     def add(self, fact: str, **fields) -> None:
         self.rows.append({"fact": fact, "path": self.path} | fields)
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         name = f"{self.module}.{node.name}"
-        self.named[node.name] = name
+        self.named[node.name] = ("class", name)
         self.add("node", type="class", name=node.name, qualified_name=name, line_start=node.lineno, line_end=node.end_lineno)
         for base in filter(None, map(_dotted, node.bases)):
             self.add("inherit", type="class", source=name, target=base, line_start=node.lineno)
@@ -260,9 +264,9 @@ class _Symbols(ast.NodeVisitor):
         low = node.name.lower()
         kind = "test" if low.startswith("test") or low.endswith("test") or ".test" in low or ".spec" in low else "function"
         branches = sum(isinstance(x, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case)) for x in ast.walk(node)) + sum(len(x.values) - 1 for x in ast.walk(node) if isinstance(x, ast.BoolOp))
-        self.named[node.name] = name
+        self.named[node.name] = (kind, name)
         self.add("node", type=kind, name=node.name, qualified_name=name, line_start=node.lineno, line_end=node.end_lineno, tags=["async"] if isinstance(node, ast.AsyncFunctionDef) else [], metadata=json.dumps({"complexity": branches + 1}))
-        self.inside.append(name)
+        self.inside.append((kind, name))
         self.generic_visit(node)
         self.inside.pop()
 
@@ -286,7 +290,7 @@ class _Symbols(ast.NodeVisitor):
         for caller, name, line in self.calls:
             callee = self.named.get(name.split(".")[-1])
             if callee and callee != caller:
-                self.add("call", type="function", source=caller, target=callee, line_start=line, metadata=json.dumps({"call": name}))
+                self.add("call", type=caller[0], tags=[callee[0]], source=caller[1], target=callee[1], line_start=line, metadata=json.dumps({"call": name}))
         return self.rows
 
 
@@ -315,18 +319,31 @@ def python_facts(files: DataFrame) -> DataFrame:
     return files.where("language = 'python'").select("path", "content").mapInPandas(_python_files, FACT)
 
 
+def route_facts(files: DataFrame) -> DataFrame:
+    """HTTP routes as endpoints of their modules."""
+    python = files.where("language = 'python'").select("path", "content")
+    script = files.where("category = 'code' and language in ('javascript', 'typescript')").select("path", "content")
+    framework = F.when(F.col("method") == "WEBSOCKET", "fastapi").when(F.col("method") == "ANY", "django-or-flask").otherwise("fastapi-or-flask")
+    own = F.regexp_replace(F.replace("path", F.lit("/"), F.lit(".")), r"\.py$", "")
+    found = routes.python_routes(python).select("path", "method", "route", "line", framework.alias("framework"), own.alias("module"), F.lit("").alias("infix"))
+    for name, read in (("express", routes.express_routes), ("nestjs", routes.nest_routes), ("nextjs", routes.next_routes)):
+        found = found.union(read(script).select("path", "method", "route", "line", F.lit(name), module_name(), F.lit(f"{name}::")))
+    title = F.concat_ws(" ", "method", "route")
+    return _facts(found, "route", type=F.lit("api_endpoint"), name=title, qualified_name=F.concat("module", F.lit("::"), "infix", title), source=F.col("module"), line_start=F.col("line"), line_end=F.col("line"), metadata=_json(framework=F.col("framework"), method=F.col("method"), path=F.col("route")))
+
+
 def facts(files: DataFrame) -> DataFrame:
     """All facts of all files; documents and configs are redacted before their facts are read."""
     safe = files.withColumn("content", F.when(F.col("category") == "document", redact(F.col("content"))).otherwise(F.col("content")))
     out = file_facts(safe)
-    for read in (code_facts, python_facts, sql_facts, section_facts, config_facts):
+    for read in (code_facts, python_facts, route_facts, sql_facts, section_facts, config_facts):
         out = out.unionByName(read(safe))
     return out
 
 
 def nodes(found: DataFrame) -> DataFrame:
     """id, type, name, qualified_name, file_path, lines, tier, tags, metadata; the last fact of an id wins by line."""
-    own = found.where("fact in ('node', 'section')").select("type", "name", "qualified_name", F.col("path").alias("file_path"), "line_start", "line_end", "tags", "metadata", F.lit("extracted").alias("confidence_tier"), F.lit(1.0).alias("confidence"))
+    own = found.where("fact in ('node', 'section', 'route')").select("type", "name", "qualified_name", F.col("path").alias("file_path"), "line_start", "line_end", "tags", "metadata", F.lit("extracted").alias("confidence_tier"), F.lit(1.0).alias("confidence"))
     outer = found.where("fact in ('import', 'inherit')").select(F.lit("module").alias("type"), F.col("target").alias("name"), F.concat(F.lit("external::"), "target").alias("qualified_name"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.lit(None).cast("array<string>").alias("tags"), F.lit('{"external":true}').alias("metadata"), F.lit("inferred").alias("confidence_tier"), F.lit(0.8).alias("confidence")).distinct()
     tables = found.where("fact = 'table'").select(F.lit("database_table").alias("type"), "name", F.col("target").alias("qualified_name"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("metadata"), F.lit("extracted").alias("confidence_tier"), F.lit(1.0).alias("confidence")).distinct()
     every = own.unionByName(outer).unionByName(tables).withColumn("id", node_id(F.col("type"), F.col("qualified_name")))
@@ -335,15 +352,18 @@ def nodes(found: DataFrame) -> DataFrame:
 
 
 def edges(found: DataFrame) -> DataFrame:
-    """contains, imports, inherits, calls, reads_from and writes_to edges of the facts."""
+    """contains, imports, inherits, calls, routes_to, reads_from and writes_to edges of the facts."""
     file = lambda: node_id(F.lit("file"), F.col("path"))
     external = lambda: node_id(F.lit("module"), F.concat(F.lit("external::"), F.col("target")))
+    unread = found.where("fact = 'warning'").select("path").distinct().withColumn("unread", F.lit(True))  # files without a module
+    routed = found.where("fact = 'route'").join(unread, "path", "left").withColumn("unread", F.coalesce("unread", F.lit(False)))
     made = [
         found.where("fact = 'node' and type <> 'file'").select(file().alias("s"), node_id(F.col("type"), F.col("qualified_name")).alias("t"), F.lit("contains").alias("k"), F.lit("extractor").alias("p"), "path", "line_start"),
         found.where("fact = 'section'").select(node_id(F.when(F.col("type") == "section", "document").otherwise("resource"), F.col("path")), node_id(F.col("type"), F.col("qualified_name")), F.lit("contains"), F.lit("sections"), "path", "line_start"),
         found.where("fact = 'import'").select(node_id(F.lit("module"), F.col("source")), external(), F.lit("imports"), F.concat(F.lit("imports:"), "target"), "path", "line_start"),
         found.where("fact = 'inherit'").select(node_id(F.lit("class"), F.col("source")), external(), F.lit("inherits"), F.lit("inherits"), "path", "line_start"),
-        found.where("fact = 'call'").select(node_id(F.lit("function"), F.col("source")), node_id(F.lit("function"), F.col("target")), F.lit("calls"), F.concat(F.lit("calls:"), F.col("line_start").cast("string")), "path", "line_start"),
+        found.where("fact = 'call'").select(node_id(F.col("type"), F.col("source")), node_id(F.element_at("tags", 1), F.col("target")), F.lit("calls"), F.concat(F.lit("calls:"), F.col("line_start").cast("string")), "path", "line_start"),
+        routed.select(F.when(F.col("unread"), file()).otherwise(node_id(F.lit("module"), F.col("source"))), node_id(F.col("type"), F.col("qualified_name")), F.lit("routes_to"), F.concat(F.lit("routes:"), "qualified_name"), "path", "line_start"),
         found.where("fact = 'table'").select(file(), node_id(F.lit("database_table"), F.col("target")), F.col("type"), F.concat(F.lit("sql:"), F.col("line_start").cast("string")), "path", "line_start"),
     ]
     out = made[0]

@@ -28,8 +28,14 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source_id").alias("here"), F.col("target_id").alias("there")).union(_reverse(edges))
 
 
+def _narrow(links: DataFrame) -> DataFrame:
+    """The links alone, once each and dealt out by their start, so that a hop neither makes nor shuffles them anew."""
+    return cut(links.select("here", "there").repartition("here").distinct())
+
+
 def reach(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """(id, hop) within ``depth`` links of the seeds, which have hop 0."""
+    links = _narrow(links)
     frontier = seeds.select("id").distinct()
     found = frontier.withColumn("hop", F.lit(0))
     for hop in range(1, depth + 1):
@@ -61,7 +67,7 @@ def shortest_path(source: DataFrame, target: DataFrame, edges: DataFrame, cutoff
 
     No rows if the target is further than ``cutoff`` links away.
     """
-    links = _both(edges)
+    links = _narrow(_both(edges))
     goal = target.select("id").limit(1)
     frontier = cut(source.select("id").limit(1).withColumn("parent", F.lit(None).cast("string")))
     levels = [frontier]

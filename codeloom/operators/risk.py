@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.matching import matches
 from codeloom.functions.text import contains_any
 
 #: Parts of paths by what they say.
@@ -25,45 +26,57 @@ STATEMENTS = (
 )
 
 
-def _tiers(value: Column, *steps: tuple[int, int]) -> Column:
-    out = F.lit(0)
-    for above, points in sorted(steps):
-        out = F.when(value > above, points).otherwise(out)
-    return out
-
-
 def signals() -> tuple[str, ...]:
     """Columns that ``score`` reads, one row a change."""
     return ("files", "nodes", "impacted", "public_nodes", "exported", "security_path", "config_path", "database_path", "database_nodes", "changed_lines", "ambiguous", "churn", "tests")
 
 
-def parts() -> list[tuple[Column, str]]:
-    """Points and reason of each signal."""
-    c = F.col
-    flag = lambda name, points: F.when(c(name), points).otherwise(0)
-    return [
-        (_tiers(c("files"), (5, 15), (1, 5)), "Change spans multiple files."),
-        (_tiers(c("nodes"), (20, 15), (5, 8)), "Multiple changed symbols detected."),
-        (_tiers(c("impacted"), (20, 20), (5, 10)), "Several dependent graph nodes may be impacted."),
-        (_tiers(c("public_nodes"), (0, 15)), "Public API, service, or schema nodes changed."),
-        (F.least(F.lit(12), 2 * c("exported")), "Exported or public-looking symbols changed."),
-        (flag("security_path", 20), "Security-sensitive file path changed."),
-        (flag("config_path", 10), "Configuration or infrastructure file changed."),
-        (flag("database_path", 15), "Database or schema-related file changed."),
-        (_tiers(c("database_nodes"), (0, 15)), "Database table or schema graph nodes changed."),
-        (_tiers(c("changed_lines"), (250, 15), (80, 8)), "Large or moderate-size diff."),
-        (_tiers(c("ambiguous"), (0, 8)), "Some impacted dependencies are ambiguous parser facts."),
-        (_tiers(c("churn"), (5, 8)), "Changed area has recent git churn."),
-        (F.when(c("tests") == 0, 10).otherwise(0), "No tests changed with this diff."),
-    ]
+#: The signal, the count above which it speaks, its points and its reason; of a signal only the first that speaks does.
+TIERS = (
+    ("files", 5, 15, "Change spans more than five files."),
+    ("files", 1, 5, "Change spans multiple files."),
+    ("nodes", 20, 15, "Large number of changed graph nodes."),
+    ("nodes", 5, 8, "Multiple changed symbols detected."),
+    ("impacted", 20, 20, "Broad blast radius through import/call dependents."),
+    ("impacted", 5, 10, "Several dependent graph nodes may be impacted."),
+    ("public_nodes", 0, 15, "Public API, service, or schema nodes changed."),
+    ("exported", 0, 2, "Exported or public-looking symbols changed."),
+    ("security_path", 0, 20, "Security-sensitive file path changed."),
+    ("config_path", 0, 10, "Configuration or infrastructure file changed."),
+    ("database_path", 0, 15, "Database or schema-related file changed."),
+    ("database_nodes", 0, 15, "Database table or schema graph nodes changed."),
+    ("changed_lines", 250, 15, "Large diff with more than 250 changed lines."),
+    ("changed_lines", 80, 8, "Moderate-size diff with more than 80 changed lines."),
+    ("ambiguous", 0, 8, "Some impacted dependencies are ambiguous parser facts."),
+    ("churn", 5, 8, "Changed area has recent git churn."),
+    ("untested", 0, 10, "No tests changed with this diff."),
+)
+#: Fixed value: exported symbols have their points each, up to this many in all.
+EXPORTED_AT_MOST = 12
+LOW = "Low graph-derived risk."
+
+
+def parts() -> list[tuple[Column, Column]]:
+    """Points and reason of each signal; no reason without points."""
+    values = {"untested": (F.col("tests") == 0).cast("int")} | {s: F.col(s).cast("int") for s in ("security_path", "config_path", "database_path")}
+    out = []
+    for signal in dict.fromkeys(t[0] for t in TIERS):
+        value = values.get(signal, F.col(signal))
+        points, reason = F.lit(0), F.lit(None).cast("string")
+        for _, above, worth, why in sorted((t for t in TIERS if t[0] == signal), key=lambda t: t[1]):
+            got = F.least(F.lit(EXPORTED_AT_MOST), worth * value) if signal == "exported" else F.lit(worth)
+            points, reason = F.when(value > above, got).otherwise(points), F.when(value > above, why).otherwise(reason)
+        out.append((points, reason))
+    return out
 
 
 def score(changes: DataFrame) -> DataFrame:
     """``risk`` (0 to 100), ``level`` and ``reasons`` beside the signals."""
-    total = sum((points for points, _ in parts()), F.lit(0))
-    reasons = F.filter(F.array(*[F.when(points > 0, reason) for points, reason in parts()]), lambda r: r.isNotNull())
+    found = parts()
+    total = sum((points for points, _ in found), F.lit(0))
+    reasons = F.filter(F.array(*[reason for _, reason in found]), lambda r: r.isNotNull())
     scored = changes.withColumn("risk", F.least(F.lit(100), total).cast("int"))
-    return scored.withColumn("level", level(F.col("risk"))).withColumn("reasons", F.when(F.size(reasons) == 0, F.array(F.lit("Low graph-derived risk."))).otherwise(reasons))
+    return scored.withColumn("level", level(F.col("risk"))).withColumn("reasons", F.when(F.size(reasons) == 0, F.array(F.lit(LOW))).otherwise(reasons))
 
 
 def level(risk: Column) -> Column:
@@ -85,7 +98,7 @@ def migration_warnings(patches: DataFrame) -> DataFrame:
     """
     lines = F.split(F.regexp_replace("patch", r"\r\n?", "\n"), "\n", -1)
     added = F.filter(lines, lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++")))
-    texts = patches.where(is_migration(F.col("path"))).select("path", F.array_join(F.transform(added, lambda x: F.substring(x, 2, 1 << 20)), "\n").alias("text"))
+    texts = patches.where(is_migration(F.col("path"))).select("path", F.array_join(F.transform(added, lambda x: F.substr(x, F.lit(2))), "\n").alias("text"))
     rows = [texts.select("path", F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.explode(_match_lines(F.col("text"), pattern)).alias("snippet"), F.lit(message).alias("message")) for code, pattern, severity, message in STATEMENTS]
     out = rows[0]
     for r in rows[1:]:
@@ -95,7 +108,5 @@ def migration_warnings(patches: DataFrame) -> DataFrame:
 
 def _match_lines(text: Column, pattern: str) -> Column:
     """For each match the line in which it begins, trimmed."""
-    marked = F.regexp_replace(text, pattern, "\x00$0")
-    pieces = F.split(marked, "\x00", -1)
-    whole = lambda k: F.concat(F.element_at(F.split(F.array_join(F.slice(pieces, F.lit(1), k), ""), "\n", -1), -1), F.element_at(F.split(F.array_join(F.slice(pieces, k + 1, F.size(pieces)), ""), "\n", -1), 1))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda k: F.when(F.size(pieces) > 1, F.trim(whole(k)))).alias("s")
+    numbered = F.struct(F.split(text, "\n", -1).alias("lines"), matches(text, pattern, 0).alias("found"))
+    return F.flatten(F.transform(F.array(numbered), lambda n: F.transform(n["found"], lambda m: F.trim(F.get(n["lines"], m["line"] - 1)))))

@@ -70,9 +70,9 @@ def next_routes(files: DataFrame) -> DataFrame:
     size = F.size("_parts")
     base = cut.select(
         *files.columns,
-        F.element_at("_parts", size - F.col("_at") + 1).alias("_anchor"),
-        F.slice("_parts", size - F.col("_at") + 2, F.col("_at") - 2).alias("_dirs"),
-        F.element_at("_parts", -1).alias("_file"),
+        F.get("_parts", size - F.col("_at")).alias("_anchor"),
+        F.slice("_parts", size - F.col("_at") + 2, F.greatest(F.col("_at") - 2, F.lit(0))).alias("_dirs"),
+        F.get("_parts", size - 1).alias("_file"),
     )
     ending = F.regexp_extract("_file", r"^.+(\.[^.]+)$", 1)
     stem = F.regexp_replace("_file", r"(?<=.)\.[^.]*$", "")

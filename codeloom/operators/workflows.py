@@ -59,6 +59,8 @@ def review(catalog: store.Catalog, root: str, base: str | None = None, staged: b
     spark = catalog.spark
     nodes, edges = catalog.read("nodes"), catalog.read("edges")
     changed = scan.changed_files(spark, root, base, staged).select("path").distinct()
+    paths = sorted(r.path for r in changed.collect())  # of one diff
+    churn = len(scan.git(root, "log", "--since=90.days", "--format=%h", "--", *paths).split()) if paths else 0
     lines = cut(diffs.numbered(diffs.patch_lines(scan.patches(spark, root, base, staged))))
     touched = lines.where(~F.col("is_hunk") & diffs.is_change(F.col("line"), F.col("new_line"))).select("file_path", F.col("new_line").alias("line"))
     symbols = diffs.touched_nodes(touched, nodes).where("type not in ('module', 'document')")
@@ -82,7 +84,7 @@ def review(catalog: store.Catalog, root: str, base: str | None = None, staged: b
     ]
     for p in parts:
         row = row.join(p)  # single rows
-    return risk.score(row.withColumn("ambiguous", F.col("_seed_ambiguous") + F.col("_hit_ambiguous")).withColumn("churn", F.lit(len(scan.git(root, "log", "--since=90.days", "--format=%h").split())))).drop("_seed_ambiguous", "_hit_ambiguous")
+    return risk.score(row.withColumn("ambiguous", F.col("_seed_ambiguous") + F.col("_hit_ambiguous")).withColumn("churn", F.lit(churn))).drop("_seed_ambiguous", "_hit_ambiguous")
 
 
 @dataclass

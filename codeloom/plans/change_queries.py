@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import diffs, inference, risk, store, traces
+from codeloom.operators import diffs, extract, inference, risk, store, traces
+from codeloom.operators.checkpoints import cut
 from codeloom.plans.registry import query
 from codeloom.plans.text_queries import PATHS_SQL, part_paths
 from codeloom.sources import testbed as tb
@@ -74,10 +75,33 @@ RISK_SQL = (
 )
 
 
-@query(f"{RISK_SQL} select l_orderkey, risk, case when risk >= 90 then 'critical' when risk >= 70 then 'high' when risk >= 35 then 'medium' else 'low' end as level from r")
+RISK_REASONS_SQL = """concat_ws('|', case when files > 5 then 'Change spans more than five files.' when files > 1 then 'Change spans multiple files.' end,
+ case when nodes > 20 then 'Large number of changed graph nodes.' when nodes > 5 then 'Multiple changed symbols detected.' end,
+ case when impacted > 20 then 'Broad blast radius through import/call dependents.' when impacted > 5 then 'Several dependent graph nodes may be impacted.' end,
+ case when public_nodes > 0 then 'Public API, service, or schema nodes changed.' end, case when exported > 0 then 'Exported or public-looking symbols changed.' end,
+ case when security_path then 'Security-sensitive file path changed.' end, case when config_path then 'Configuration or infrastructure file changed.' end,
+ case when database_path then 'Database or schema-related file changed.' end, case when database_nodes > 0 then 'Database table or schema graph nodes changed.' end,
+ case when changed_lines > 250 then 'Large diff with more than 250 changed lines.' when changed_lines > 80 then 'Moderate-size diff with more than 80 changed lines.' end,
+ case when ambiguous > 0 then 'Some impacted dependencies are ambiguous parser facts.' end, case when churn > 5 then 'Changed area has recent git churn.' end,
+ case when tests = 0 then 'No tests changed with this diff.' end)"""
+
+
+@query(f"{RISK_SQL.replace('as risk from s', 'as risk, ' + RISK_REASONS_SQL + ' as reasons from s')} select l_orderkey, risk, case when risk >= 90 then 'critical' when risk >= 70 then 'high' when risk >= 35 then 'medium' else 'low' end as level, reasons from r")
 def q_risk_score(spark, sf_dir):
     changes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[F.expr(v).alias(k) for k, v in SIGNALS.items()])
-    return risk.score(changes).select("l_orderkey", "risk", "level")
+    return risk.score(changes).select("l_orderkey", "risk", "level", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("""select 'web/r' || p_partkey || '.js' as file_path, m as name, cast(k as int) as line, 'module' as source from part, (values ('GET /parts/' , 1), ('POST /parts/', 3)) v(m0, k), lateral (select m0 || p_partkey as m)""")
+def q_endpoint_nodes(spark, sf_dir):
+    """Endpoints that the extractor finds in made-up sources, with the type of the node that routes to them."""
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("app.get('/parts/"), key, F.lit("', show)\n\nrouter.post('/parts/"), key, F.lit("', save)\n"))
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("web/r"), key, F.lit(".js")).alias("path"), F.lit("code").alias("category"), F.lit("javascript").alias("language"), text.alias("content"), F.sha2(text, 256).alias("content_hash"))
+    found = cut(extract.facts(files))
+    nodes, edges = extract.nodes(found), extract.edges(found).where("type = 'routes_to'")
+    ends = nodes.where("type = 'api_endpoint'").select(F.col("id").alias("target_id"), "file_path", "name", F.col("line_start").alias("line"))
+    return edges.select("source_id", "target_id").join(ends, "target_id").join(nodes.select(F.col("id").alias("source_id"), F.col("type").alias("source")), "source_id").select("file_path", "name", "line", "source")
 
 
 STATEMENT = "case l_linenumber % 8 when 0 then 'DROP TABLE a;' when 1 then 'ALTER TABLE a drop column b;' when 2 then 'ALTER TABLE a ADD COLUMN c INT NOT NULL;' when 3 then 'ALTER TABLE a ADD COLUMN c INT NOT NULL DEFAULT 0;' when 4 then 'ALTER TABLE a ALTER COLUMN c TYPE BIGINT;' when 5 then 'ALTER TABLE a RENAME COLUMN c TO d;' when 6 then 'ALTER TABLE a ADD CONSTRAINT k FOREIGN KEY (c) REFERENCES b;' else 'SELECT 1;' end"

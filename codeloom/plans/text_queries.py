@@ -78,11 +78,11 @@ def q_todo_scan(spark, sf_dir):
     return hit.select("doc_id", (F.col("k") + 1).alias("line"), F.left(F.trim("t"), F.lit(240)).alias("text")).orderBy("doc_id", "line").limit(100)
 
 
-LINES_SQL = FILES_SQL + ", ls as (select path, string_split(rtrim(content, chr(10)), chr(10)) as l from files where content <> '' and content not like '%' || chr(10) || chr(10))"
+LINES_SQL = FILES_SQL + ", ls as (select path, case when content = '' then [] else string_split(case when content like '%' || chr(10) then left(content, length(content) - 1) else content end, chr(10)) end as l from files)"
 
 
 def _files(spark, sf_dir):
-    return tb.files(spark, sf_dir).where("content <> '' and content not like '%\\n\\n'")
+    return tb.files(spark, sf_dir)
 
 
 def spans_sql(spans: str) -> str:

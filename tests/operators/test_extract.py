@@ -53,6 +53,10 @@ def test_scan_extract_infer_and_store(spark, tmp_path):
         assert want in named, want
     assert facts.where("fact = 'warning'").count() == 1
     by_id = {r.id: r for r in nodes.collect()}
+    assert ("api_endpoint", "POST /login") in named
+    used = [e for e in edges.collect() if e.type in ("calls", "routes_to")]
+    assert used and all(e.source_id in by_id and e.target_id in by_id for e in used)
+    assert ("server", "routes_to", "POST /login") in {(by_id[e.source_id].name, e.type, by_id[e.target_id].name) for e in used}
     kinds = {(by_id[e.source_id].name, e.type, by_id[e.target_id].name) for e in edges.collect() if e.source_id in by_id and e.target_id in by_id}
     assert {("login", "calls", "check"), ("Auth", "inherits", "Base"), ("start", "calls", "run"), ("schema.sql", "writes_to", "users"), ("schema.sql", "reads_from", "roles"), ("README.md", "contains", "Auth")} <= kinds
     assert nodes.where("type = 'section' and name = 'Auth'").count() == 2
