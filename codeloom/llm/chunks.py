@@ -12,8 +12,8 @@ A passage is a stretch of lines that counts: several lines with words, or one lo
 each line the shortest stretch that counts, forward and backward, is looked up; these hang on
 the passage's own lines only, and together they cover every passage that occurred before,
 whatever stands around it. So each line of such a passage goes, except from its first
-occurrence; a repeat that overlaps its own first occurrence doesn't count. ``dedup_lines``
-removes runs only.
+occurrence; a repeat that overlaps its own first occurrence doesn't count. ``dedup_passages``
+returns the input's rows without them, ``dedup_lines`` without repeated runs only.
 
 Texts aren't shuffled to find repeats: only hashes are. The texts of runs whose hashes
 repeat are then compared byte by byte with the first occurrence.
@@ -198,7 +198,15 @@ def remove_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc", "kept", F.when(F.col("numbers").isNull(), 0).otherwise(starts).cast("long").alias("n_removed"), (F.length(own) - F.length("kept")).cast("long").alias("removed_chars"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input's rows and columns, with the cut texts."""
-    out = remove_repeats(docs, text=text)
+def _with_kept(out: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return out.select(*[F.col("kept").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The input's rows and columns, with texts without repeated runs."""
+    return _with_kept(remove_repeats(docs, text=text), docs, text)
+
+
+def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input's rows and columns, with texts without repeated passages."""
+    return _with_kept(remove_passages(docs, doc_id, text), docs, text)

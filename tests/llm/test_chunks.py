@@ -80,14 +80,16 @@ def test_planted_passages_and_odd_rows(spark):
     assert all(texts[str(k)].count("shared line") < 14 for k in range(1, 5)) and texts["0"].count("shared line") == 14
 
 
-def all_passages(docs):
-    """Cut texts by a look at every stretch of lines that counts."""
+def all_passages(docs, most=None):
+    """Cut texts by a look at every stretch of lines that counts, of at most so many lines with words.
+
+    Ten lines with words always count, so longer repeated stretches consist of shorter repeated ones."""
     first, later = {}, {}
     for i, t in sorted({d for d in docs if d[1] is not None}, key=lambda d: (d[0] is not None, d[0], line_hash(d[1]))):
         lines = t.split("\n")
         worded = [k for k, x in enumerate(lines) if words(x)]
         for x, a in enumerate(worded):
-            for b in worded[x:]:
+            for b in worded[x : x + most if most else None]:
                 inside = [k for k in worded if a <= k <= b]
                 gaps = sum(lines[k].count(" ") + 1 for k in inside) - 1
                 if gaps < (chunks.MIN_WORDS - 1 if len(inside) > 1 else chunks.LONG_LINE):
@@ -135,5 +137,14 @@ def test_very_many_lines(spark):
     assert got[1].count("\n") < 40 and got[2] == "" and got[3].count("\n") < 720
 
 
+def test_stage_keeps_rows_and_columns(spark, sf_dir):
+    docs = [(r.doc_id, r.text, "own") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()] + [(None, None, None), (1, "", "x"), (1, "", "x")]
+    got = chunks.dedup_passages(spark.createDataFrame(docs, SCHEMA))
+    assert got.columns == ["doc_id", "text", "th"]
+    want = all_passages([d[:2] for d in docs], most=24)
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(i, want.get((i, t), t), h) for i, t, h in docs], SCHEMA).collect()))
+
+
 def test_empty_table(spark):
     assert chunks.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert chunks.dedup_passages(spark.createDataFrame([], SCHEMA)).count() == 0

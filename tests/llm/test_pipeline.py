@@ -21,7 +21,7 @@ def brute(docs, items):
         bad = bad or len(lines) >= 4 and 100 * (len(lines) - len(set(lines))) > 50 * len(lines) or n >= 50 and 100 * len(set(words)) < 10 * n
         if not bad:
             kept.append((i, t))
-    cut = test_chunks.brute(kept)
+    cut = test_chunks.all_passages(kept, most=24)
     kept = [(i, cut[i, t]) for i, t in kept]
     classes = test_ordered_minhash.brute(kept)
     kept = [(i, t) for i, t in kept if classes[i] == i]
