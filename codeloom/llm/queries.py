@@ -135,8 +135,9 @@ from talks
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "pages").select("page_id", "url")
-    trained = urls.UrlFilter(urls.weak_labels(found))
-    return trained.judge(found).select("row.page_id", "host", "path", "rule", "verdict", "model_verdict")
+    trained = urls.UrlFilter(urls.weak_labels(found.where(~urls.held_out(F.col("url")))))
+    judged = trained.judge(found)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict", "model_verdict", urls.held_out(F.col("row.url")).alias("held_out"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Features are words and their starts of ``STARTS`` letters. A bounded sample of labelled
-rows (``EXAMPLES``, those with the least hashes of their ids) gives the examples; the
-features that tell their classes apart best (``FEATURES`` at most, by a two-proportion z of
-at least ``LEAST_Z``) span the space. How many documents hold a feature is counted over all
-documents. Examples stand in blocks of an inverted index with every feature's largest weight
-in each block; a document visits blocks from the best bound down and stops when no further
+rows (``EXAMPLES``, those with the least hashes of their ids) gives the examples. Features of
+at least ``LEAST_DOCS`` examples that tell their classes apart (a two-proportion z of at least
+``LEAST_Z``) span the space, and z weighs their TF-IDF. How many documents hold a feature is
+counted over all documents. Examples stand in blocks of an inverted index: postings by
+feature, with the largest weight of each feature in each block. A document reads the
+postings of its features in the blocks with the best bounds first, and stops when no further
 block can reach its ``NEIGHBOURS``-th example, which keeps the search exact. Similarities
-weigh the votes, and ``PRIOR`` votes go to the rate among examples, so a score is a
-calibrated probability. Neighbours are returned as evidence.
+weigh the votes, and ``PRIOR`` votes go to the rate among examples. Neighbours are returned
+as evidence.
 
 Defined cases: null and empty texts, and texts without any feature, get the rate among the
 examples without features; ties of similarity go to the least example id; rows are judged
@@ -33,9 +34,10 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import small_batches
 
 EXAMPLES = 8000
-FEATURES = 1024
-LEAST_Z = 4.0
-LEAST_DOCS = 4
+#: The model's size, a bound on what is broadcast: at most so many features, those with the largest z.
+FEATURES = 1 << 16
+LEAST_Z = 2.0
+LEAST_DOCS = 2
 STARTS = (4, 5, 6, 7, 8)
 NEIGHBOURS = 25
 PRIOR = 1.0
@@ -88,11 +90,18 @@ class Space:
         return out
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, one after another, each with the value of its range."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum()), np.repeat(values, sizes)
+
+
 class Index:
-    """Examples by blocks, with the largest weight of each feature in each block."""
+    """Postings of the examples by feature and block, with the largest weight of each feature in each block."""
 
-    def __init__(self, features: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
-        self.space, self.idf = Space(features), idf
+    def __init__(self, features: list[str], scale: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
+        self.space, self.scale = Space(features), scale
         rows = []
         empty = [0, 0]
         for i, label, counts in sorted(examples, key=lambda e: e[0]):
@@ -106,11 +115,17 @@ class Index:
         rows.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), -float(r[3].max()), r[0]))
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.float64)
-        self.weights = np.zeros((len(rows), len(features)), np.float32)
-        for k, (_, _, places, values) in enumerate(rows):
-            self.weights[k, places] = values
-        self.starts = np.arange(0, len(rows), BLOCK)
-        self.most = np.array([self.weights[s : s + BLOCK].max(axis=0) for s in self.starts], np.float32).reshape(len(self.starts), len(features))
+        self.blocks = -(-len(rows) // BLOCK)
+        feature = np.concatenate([np.empty(0, np.int64), *(r[2] for r in rows)])
+        row = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        order = np.lexsort((row, feature))
+        self.row, self.weight = row[order].astype(np.int32), np.concatenate([np.empty(0, np.float32), *(r[3] for r in rows)])[order]
+        run = feature[order] * max(self.blocks, 1) + self.row // BLOCK
+        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.empty(0, np.int64)
+        self.run_at = np.r_[starts, len(run)]
+        self.run_block = run[starts] % max(self.blocks, 1)
+        self.run_most = np.maximum.reduceat(self.weight, starts) if len(run) else np.empty(0, np.float32)
+        self.runs_of = np.searchsorted(run[starts] // max(self.blocks, 1), np.arange(len(features) + 1))
         n = len(examples)
         self.rate = sum(e[1] for e in examples) / n if n else 0.0
         self.empty_rate = (empty[0] + PRIOR * self.rate) / (empty[1] + PRIOR)
@@ -119,34 +134,43 @@ class Index:
         if not counts:
             return None
         places = np.fromiter(counts, np.int64, len(counts))
-        values = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[places]
+        values = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.scale[places]
         norm = math.sqrt(float(values @ values))
         return (places, (values / norm).astype(np.float32)) if norm else None
 
     def nearest(self, places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and rows of the NEIGHBOURS best examples with any feature in common."""
-        bounds = self.most[:, places] @ values
+        runs, q = _ranges(self.runs_of[places], self.runs_of[places + 1], values.astype(np.float64))
+        block = self.run_block[runs]
+        bounds = np.bincount(block, q * self.run_most[runs], self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        best_s, best_r = np.empty(0, np.float32), np.empty(0, np.int64)
-        for k in order:
-            if bounds[k] <= 0 or len(best_s) >= NEIGHBOURS and bounds[k] < best_s[-1] - 1e-6:
+        order = order[: np.count_nonzero(bounds > 0)]
+        best_s, best_r = np.empty(0), np.empty(0, np.int64)
+        at, step = 0, 4
+        while at < len(order):
+            take = order[at : at + step]
+            if len(best_s) >= NEIGHBOURS:
+                take = take[bounds[take] >= best_s[-1] - 1e-6]
+            if not len(take):
                 break
-            start = self.starts[k]
-            s = self.weights[start : start + BLOCK, :][:, places] @ values
+            wanted = np.zeros(self.blocks, bool)
+            wanted[take] = True
+            inside = wanted[block]
+            postings, by = _ranges(self.run_at[runs[inside]], self.run_at[runs[inside] + 1], q[inside])
+            s = np.bincount(self.row[postings], by * self.weight[postings], len(self.ids))
             there = np.flatnonzero(s > 0)
-            best_s, best_r = np.concatenate([best_s, s[there]]), np.concatenate([best_r, there + start])
-            if len(best_s) > NEIGHBOURS:
-                keep = np.lexsort((self.ids[best_r], -np.round(best_s.astype(np.float64), 6)))[:NEIGHBOURS]
-                best_s, best_r = best_s[keep], best_r[keep]
-        keep = np.lexsort((self.ids[best_r], -np.round(best_s.astype(np.float64), 6)))
-        return best_s[keep], best_r[keep]
+            best_s, best_r = np.concatenate([best_s, s[there]]), np.concatenate([best_r, there])
+            keep = np.lexsort((self.ids[best_r], -np.round(best_s, 6)))[:NEIGHBOURS]
+            best_s, best_r = best_s[keep], best_r[keep]
+            at, step = at + step, step * 2
+        return best_s, best_r
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         v = self.vector(self.space.counts(text))
         if v is None or not len(self.ids):
             return self.empty_rate, []
         s, rows = self.nearest(*v)
-        votes = s.astype(np.float64) ** 2
+        votes = s**2
         score = (float(votes @ self.labels[rows]) + PRIOR * self.rate) / (float(votes.sum()) + PRIOR)
         return round(score, 9), self.ids[rows[:3]].tolist()
 
@@ -171,12 +195,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     n1, n = known.join(sample.select("id"), "id", "left_semi").agg(F.sum("label"), F.count("*")).first()
     n1, n0 = n1 or 0, (n or 0) - (n1 or 0)
     features: list[str] = []
+    weight = np.zeros(0)
     if n0 and n1:
         counted = rows.mapInArrow(spread, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_DOCS)
         p = (F.col("n0") + F.col("n1")) / (n0 + n1)
         z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + F.lit(1e-12))
         best = counted.select("f", F.abs(z).alias("z")).where(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "f").limit(FEATURES)
-        features = sorted(r.f for r in best.collect())
+        found = sorted((r.f, r.z) for r in best.collect())  # at most FEATURES
+        features, weight = [f for f, _ in found], np.array([z for _, z in found])
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, total, n = Space(features), np.zeros(len(features), np.int64), 0
@@ -199,13 +225,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["id", "label", "places", "counts"])
 
     few = rows.select("id", "label", "text").mapInArrow(counted_rows, "id long, label int, places array<long>, counts array<long>").collect()
-    return Index(features, idf, [(r.id, r.label, dict(zip(r.places, r.counts, strict=True))) for r in few])
+    return Index(features, idf * weight, [(r.id, r.label, dict(zip(r.places, r.counts, strict=True))) for r in few])
 
 
 def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, neighbours) of every text."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most EXAMPLES x FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # postings of EXAMPLES texts, each with FEATURES at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value

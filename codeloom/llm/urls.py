@@ -2,7 +2,7 @@
 
 Features of a URL: its length, those of host and path, path depth, labels of the host,
 digit ratio, hyphens, parameter count, character entropy, and the smoothed share of blocked
-URLs among the training URLs with the same suffix (last host label, and last two). Trees
+URLs among the other training URLs with the same suffix (last host label, and last two). Trees
 are trained on a bounded sample of labelled URLs with Spark's own gradient boosting.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule
@@ -26,6 +26,8 @@ from codeloom.llm.common import let
 #: At most so many labelled URLs train the trees: those distinct ones with the least hashes.
 SAMPLE = 4000
 TREES, DEPTH, SEED = 8, 3, 11
+#: URLs at the overall rate that are added to those of a suffix.
+SMOOTH = 5
 FEATURES = ("n_url", "n_host", "n_path", "depth", "labels", "digits", "hyphens", "params", "entropy", "suffix_rate", "suffix2_rate")
 
 
@@ -105,23 +107,27 @@ class UrlFilter:
     def __init__(self, labelled: DataFrame, url: str = "url", label: str = "label", sample: int = SAMPLE):
         few = labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).where("label is not null").groupBy("url").agg(F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(sample)
         rows = lexical(few).select("*", F.col("row.label").alias("label")).drop("row", "rule").toPandas()
+        spark = labelled.sparkSession
         self.rates = {}
         self.prior = float(rows.label.mean()) if len(rows) else 0.0
         for name in ("suffix", "suffix2"):
-            by = rows.groupby(name).label.agg(["sum", "count"])
-            self.rates[name] = {k: (s + 5 * self.prior) / (n + 5) for k, s, n in by.itertuples()}
+            by = rows.groupby(name).label
+            total, count = by.transform("sum"), by.transform("count")
+            rows[f"{name}_rate"] = (total - rows.label + SMOOTH * self.prior) / (count - 1 + SMOOTH)  # without the row's own label
+            known = [(k, float((s + SMOOTH * self.prior) / (n + SMOOTH))) for k, s, n in by.agg(["sum", "count"]).itertuples()]
+            self.rates[name] = spark.createDataFrame(known, f"{name} string, {name}_rate double").coalesce(1)  # at most ``sample`` rows
         self.model = None
         if 0 < self.prior < 1:
-            spark = labelled.sparkSession
             train = self._vectors(spark.createDataFrame(rows).coalesce(1)).select("features", "label").cache()
             self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(train)
             train.unpersist()
 
-    def _vectors(self, df: DataFrame) -> DataFrame:
+    def _rated(self, df: DataFrame) -> DataFrame:
         for name, rates in self.rates.items():
-            pairs = [x for k, v in rates.items() for x in (F.lit(k), F.lit(v))]
-            known = F.try_element_at(F.create_map(*pairs), F.col(name)) if pairs else F.lit(None)
-            df = df.withColumn(f"{name}_rate", F.coalesce(known, F.lit(self.prior)))
+            df = df.join(F.broadcast(rates), name, "left").withColumn(f"{name}_rate", F.coalesce(f"{name}_rate", F.lit(self.prior)))
+        return df
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
     def judge(self, df: DataFrame, url: str = "url") -> DataFrame:
@@ -130,7 +136,7 @@ class UrlFilter:
         if self.model is None:
             judged = rows.withColumn("prediction", F.lit(float(self.prior >= 0.5)))
         else:
-            judged = self.model.transform(self._vectors(rows))
+            judged = self.model.transform(self._vectors(self._rated(rows)))
         by_model = F.when(F.col("prediction") == 1, "block").otherwise("allow")
         return judged.select("row", "host", "path", F.col("rule.pattern").alias("rule"), F.coalesce("rule.verdict", by_model).alias("verdict"), by_model.alias("model_verdict"))
 
@@ -143,3 +149,8 @@ def weak_labels(urls: DataFrame, url: str = "url") -> DataFrame:
     """(url, label): 1 where the host holds one of BAD_WORDS, else 0."""
     host, _ = parts(F.col(url))
     return urls.select(F.col(url).alias("url"), host.rlike("|".join(BAD_WORDS)).cast("int").alias("label"))
+
+
+def held_out(url: Column) -> Column:
+    """A quarter of the hosts, whose URLs don't train the query's trees."""
+    return F.pmod(F.crc32(parts(url)[0].cast("binary")), F.lit(4)) == 2

@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -21,29 +24,57 @@ def corpus():
     return docs, labels
 
 
-def brute(index, text):
-    v = index.vector(index.space.counts(text))
-    if v is None:
-        return index.empty_rate
-    q = np.zeros(index.weights.shape[1])
-    q[v[0]] = v[1]
-    s = index.weights.astype(np.float64) @ q
-    order = sorted((k for k in range(len(s)) if s[k] > 1e-9), key=lambda k: (-round(s[k], 6), index.ids[k]))[: toxicity.NEIGHBOURS]
-    votes = s[order] ** 2
-    return (votes @ index.labels[order] + toxicity.PRIOR * index.rate) / (votes.sum() + toxicity.PRIOR)
+def brute(docs, labels):
+    """Scores of all texts by plain counting, without the index: features, weights, cosines and votes."""
+    sets = [Counter(f for w in re.findall(r"\w+", (t or "").lower()) for f in toxicity.features_of(w)) for _, t in docs]
+    texts = {i: c for (i, _), c in zip(docs, sets, strict=True) if i is not None}
+    known = sorted((i, y) for i, y in labels if y is not None and i in texts)
+    n1 = sum(y for _, y in labels if y is not None)
+    n0 = sum(y is not None for _, y in labels) - n1
+    held, by_class = Counter(f for c in sets for f in c), [Counter(), Counter()]
+    for i, y in known:
+        by_class[y].update(texts[i].keys())
+    scale = {}
+    for f in set(by_class[0]) | set(by_class[1]):
+        a, b = by_class[0][f], by_class[1][f]
+        p = (a + b) / (n0 + n1)
+        z = abs((b / n1 - a / n0) / math.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + 1e-12))
+        if a + b >= toxicity.LEAST_DOCS and z >= toxicity.LEAST_Z:
+            scale[f] = z * (math.log((1 + len(docs)) / (1 + held[f])) + 1)
 
+    def vector(c):
+        v = {f: (1 + math.log(n)) * scale[f] for f, n in c.items() if f in scale}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / norm for f, x in v.items()}
 
-def test_search_is_exact_and_learns(spark):
+    examples = [(i, y, vector(texts[i])) for i, y in known]
+    rate = n1 / (n0 + n1)
+    none = [y for _, y, v in examples if not v]
+    out = []
+    for c in sets:
+        v = vector(c)
+        if not v:
+            out.append((sum(none) + toxicity.PRIOR * rate) / (len(none) + toxicity.PRIOR))
+            continue
+        near = [(sum(x * e[f] for f, x in v.items() if f in e), i, y) for i, y, e in examples]
+        near = sorted((n for n in near if n[0] > 1e-9), key=lambda n: (-round(n[0], 6), n[1]))[: toxicity.NEIGHBOURS]
+        votes = [(s * s, y) for s, _, y in near]
+        out.append((sum(s * y for s, y in votes) + toxicity.PRIOR * rate) / (sum(s for s, _ in votes) + toxicity.PRIOR))
+    return out
+
+
+def test_search_is_exact_and_learns(spark, monkeypatch):
     docs, labels = corpus()
     docs += [(900, None), (901, ""), (902, "unseen words only"), (None, "nasty"), (903, "nasty " * 3000)]
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
     frame = spark.createDataFrame([(*d, "own", "own") for d in docs], DOCS)
-    known = spark.createDataFrame([*labels[:180], (5000, 1), (1, None)], "doc_id long, toxic int")
-    index = toxicity.train(frame, known)
+    given = labels[:180]
+    index = toxicity.train(frame, spark.createDataFrame([*given, (5000, None)], "doc_id long, toxic int"))
     got = toxicity.score(frame, index).collect()
     assert len(got) == len(docs)
-    texts = dict(docs)
+    want = {i: s for (i, _), s in zip(docs, brute(docs, given), strict=True)}
     for r in got:
-        assert abs(r.score - brute(index, texts[r.doc_id])) < 1e-4
+        assert abs(r.score - want[r.doc_id]) < 1e-4, r.doc_id
         assert 0 <= r.score <= 1
     by_id = {r.doc_id: r.score for r in got}
     assert all((by_id[k] >= 0.3) == bool(y) for k, y in labels[180:])
