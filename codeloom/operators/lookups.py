@@ -27,7 +27,7 @@ PRIORITIES = (
     ("public_api", "Check public API compatibility, request/response contracts, and callers."),
     ("database", "Validate migrations, rollback behavior, and data-access callers."),
     ("config", "Validate environment, CI, deployment, and local developer defaults."),
-    ("impacted", "Inspect impacted files with graph dependents before approving."),
+    ("impacted_area", "Inspect impacted files with graph dependents before approving."),
     ("untested", "Add or update tests around changed symbols and impacted behavior."),
 )
 NO_PRIORITY = "Review changed symbols, run related tests, and verify context-pack uncertainty."
