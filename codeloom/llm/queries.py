@@ -1,11 +1,11 @@
-"""Queries op1 to op10 and their SQL."""
+"""Queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, chunks, decontaminate, fixity, ordered_minhash, pages, quality, toxicity, urls
+from codeloom.llm import bpe, chat, chunks, decontaminate, elkan, fixity, inner_products, ordered_minhash, pages, quality, resampling, toxicity, urls, vectors
 from codeloom.llm.common import table
 
 
@@ -148,6 +148,81 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "neighbours")
 
 
+def op11_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = elkan.clusters(table(spark, sf_dir, "embeddings"))
+    return elkan.with_inertia(found, centroids).select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+#: Integer vectors that take part, numbered.
+VECTORS_SQL = f"""v as materialized (
+  select row_number() over () as k, vec_id, list_transform(embedding, lambda x: cast(floor({vectors.SCALE} * cast(x as double)) as bigint)) as x
+  from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x) and abs({vectors.SCALE} * cast(x as double)) <= {vectors.LARGEST})) = len(embedding)%s)"""
+
+
+def _clusters_sql() -> str:
+    """Lloyd's rounds, one after another: all distances, the nearest centroid, floored means."""
+    parts = [VECTORS_SQL % f" and len(embedding) = {elkan.COMPONENTS}"]
+    parts.append(f"c0 as materialized (select row_number() over (order by sha256('{elkan.SEED}' || vec_id) nulls last, x) - 1 as c, x as at from v qualify c < {elkan.CENTROIDS})")
+    for n in range(elkan.ROUNDS + 1):
+        square = "list_sum(list_transform(list_zip(v.x, m.at), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        parts.append(f"a{n} as materialized (select k, min({{'d': cast({square} as bigint), 'c': m.c}}) as near from v, c{n} m group by k)")
+        if n < elkan.ROUNDS:
+            means = f"select near.c as c, i, sum(x[i]) as s, count(*) as n from a{n} join v using (k), generate_series(1, {elkan.COMPONENTS}) g(i) group by 1, 2"
+            parts.append(f"c{n + 1} as materialized (select m.c, coalesce(f.at, m.at) as at from c{n} m left join (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as at from ({means}) group by c) f on f.c = m.c)")
+    last = elkan.ROUNDS
+    return f"""with {", ".join(parts)}
+select v.vec_id, cast(near.c as int) as cluster, near.d as distance, cast(sum(near.d) over (partition by near.c) as bigint) as cluster_inertia,
+       cast(sum(near.d) over () as bigint) as inertia, sha256(array_to_string(m.at, ',')) as centroid_sha256
+from a{last} join v using (k) join c{last} m on m.c = near.c"""
+
+
+def op12_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_products.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+OP12_SQL = f"""with {VECTORS_SQL % ""},
+s as (select q.k as query, q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
+      from v q join v c on c.k <> q.k and len(c.x) = len(q.x) where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query order by score desc, vec_id nulls last) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 10
+"""
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The table of the CRC comes from its polynomial; a feature's CRC folds its UTF-8 bytes.
+OP13_SQL = rf"""
+with recursive steps(i, c, n) as (
+  select i, i, 0 from range(256) g(i)
+  union all select i, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n + 1 from steps where n < 8),
+crc as materialized (select list(c order by i) as t from steps where n = 8),
+texts as (select 'd' as kind, doc_id as id, row_number() over () as k, coalesce(text, '') as text from documents
+          union all select 'b', item_id, row_number() over (), coalesce(text, '') from benchmark),
+w as materialized (select kind, id, k, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from texts),
+f as materialized (
+  select kind, k, unnest(words) as f from w
+  union all select kind, k, unnest(list_transform(generate_series(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1])) from w where len(words) > 1),
+h as (select f, hex(encode(f)) as x from (select distinct f from f)),
+b as materialized (
+  select f, xor(list_reduce(list_prepend(4294967295, list_transform(generate_series(1, len(x), 2), lambda i: cast('0x' || x[i:i + 1] as bigint))), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % {resampling.BUCKETS} as b
+  from h, crc),
+fb as materialized (select kind, k, b from f join b using (f)),
+n as (select b, count(*) filter (kind = 'd') as s, count(*) filter (kind = 'b') as t from fb group by b),
+z as (select sum(s) as s, sum(t) as t from n),
+g as (select b, floor(1000 * ln((cast(n.t + 1 as double) * (z.s + {resampling.BUCKETS})) / (cast(n.s + 1 as double) * (z.t + {resampling.BUCKETS})))) as gain from n, z),
+m as (select k, count(*) as n_features, cast(floor(sum(gain) / count(*)) as bigint) as weight from fb join g using (b) where kind = 'd' group by k),
+d as (
+  select id as doc_id, w.k, len(words) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || left(sha256('{resampling.SEED}' || id), 8) as bigint) + 0.5) / 4294967296::double))) as bigint) as score
+  from w left join m using (k) where kind = 'd'),
+r as (select k, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from d where n_words >= {resampling.LEAST_WORDS})
+select doc_id, cast(n_features as bigint) as n_features, weight, score, case when rank <= {resampling.PERCENT} * n // 100 then rank end as rank
+from d left join r using (k)
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_order_minhash": op2_order_minhash,
@@ -159,5 +234,8 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_elkan_clusters": op11_elkan_clusters,
+    "op12_inner_products": op12_inner_products,
+    "op13_resample": op13_resample,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op5_merkle_audit": OP5_SQL, "op8_chat": OP8_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op5_merkle_audit": OP5_SQL, "op8_chat": OP8_SQL, "op11_elkan_clusters": _clusters_sql(), "op12_inner_products": OP12_SQL, "op13_resample": OP13_SQL}
