@@ -4,9 +4,9 @@ Identical texts are collapsed first, by grouping the full text with a count befo
 group of copies costs one text. Features of a text, all runs of one and two words, are computed once for it
 and stored as bucket numbers. Bucket counts of the corpus add each text's features times its copies; those of
 the target likewise. A bucket's gain is the logarithm of the smoothed ratio of both, and a text's weight the
-floored mean of its features' gains. Weights go back to the documents by the texts' digests (SHA-256), hot texts by
-a broadcast of at most ``common.HOT`` rows. Only then each document gets its own noise. Ranks need no
-global sort: how many documents stand above each score is counted (scores are whole numbers in a
+floored mean of its features' gains. Weights go back to the documents by the texts' digests (SHA-256), a join of
+narrow rows with unique keys on one side, so the documents of a hot text are split by the adaptive skew join.
+Only then each document gets its own noise. Ranks need no global sort: how many documents stand above each score is counted (scores are whole numbers in a
 range that the bucket counts bound, so there are at most some ten thousands), and only rows above the
 last drawn score are numbered, within their score.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, hot_join, small_batches
+from codeloom.llm.common import cut, small_batches
 
 BUCKETS = 10_000
 SEED = "7:"
@@ -74,7 +74,7 @@ def _kind(buckets: int) -> str:
 
 
 def collapsed(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """(digest, copies, n_words, buckets) of each distinct text, cut from its lineage."""
+    """(digest, copies, n_words, buckets) of each distinct text."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("text").agg(F.count("*").alias("copies"))
 
@@ -83,7 +83,7 @@ def collapsed(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> Da
             found = [buckets_of(t.as_py(), buckets) for t in b.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["digest", "copies", "n_words", "buckets"])
 
-    return cut(texts.select(_digest("text"), "copies", "text").mapInArrow(work, "digest binary, copies long, n_words long, buckets binary"))
+    return texts.select(_digest("text"), "copies", "text").mapInArrow(work, "digest binary, copies long, n_words long, buckets binary")
 
 
 def _digest(text: str):
@@ -134,17 +134,17 @@ def _noise(seed: str):
 
 def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", buckets: int = BUCKETS, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: str = SEED) -> DataFrame:
     """(doc_id, n_features, weight, score, rank) of every document; rank is null where it wasn't drawn."""
-    texts = collapsed(docs, text, buckets)
+    texts = cut(collapsed(docs, text, buckets))
     gain = gains(bucket_counts(texts, buckets), bucket_counts(collapsed(target, target_text, buckets), buckets))
-    facts = cut(weighted(texts, gain))
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", _digest("text")))
-    scored = cut(hot_join(rows, facts, "digest", "copies").select("doc_id", "n_words", "n_features", "weight", (F.col("weight") + _noise(seed)).alias("score")))
+    facts = weighted(texts, gain).drop("copies")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", _digest("text"))
+    scored = cut(rows.join(facts, "digest").select("doc_id", "n_words", "n_features", "weight", (F.col("weight") + _noise(seed)).alias("score")))
     may = F.col("n_words") >= least_words
     by_score = scored.where(may).groupBy("score").agg(F.count("*").alias("n"))
     quota = (by_score.agg(F.sum("n")).first()[0] or 0) * percent // 100
     # a row for each score, which the range of gains and noise bounds
     above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    places = cut(by_score.select("score", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))).where(F.col("above") < quota)
+    places = by_score.select("score", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above")).where(F.col("above") < quota)
     placed = scored.join(F.broadcast(places), "score", "left")
     among = may & F.col("above").isNotNull()
     in_score = Window.partitionBy("score").orderBy(F.asc_nulls_last("doc_id"), "n_features", "weight")
