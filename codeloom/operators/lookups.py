@@ -136,19 +136,6 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("id").alias("entity_id"), F.lit("chunk").alias("entity_type"), F.col("content").alias("text"), "file_path")
 
 
-def embedded(records: DataFrame, provider: str = "local-hash") -> DataFrame:
-    """Rows of the embeddings table from records."""
-    size = search.DIMENSIONS
-    return records.select("*", F.lit(provider).alias("provider"), F.lit(f"hash-{size}").alias("model"), F.lit(size).alias("dimensions"), search.hash_embedding(F.col("text")).alias("vector"))
-
-
-def semantic(embeddings: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """The nearest entities to a query's words; none for a blank query."""
-    if not query.strip():
-        return embeddings.withColumn("score", F.lit(0.0)).limit(0)
-    return search.nearest(embeddings, search.hash_features(query), limit, vector="vector", key="entity_id")
-
-
 def bullets(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """(id, bullet) of the nodes that match a query best."""
     found = search.find_nodes(nodes, query, limit)

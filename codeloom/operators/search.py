@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from hashlib import blake2b
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import tokens
 
-DIMENSIONS = 256
-
 
 def terms(query: str) -> list[str]:
     """Words of a query; colons and slashes separate words too."""
@@ -92,34 +85,6 @@ def nearest(vectors: DataFrame, query: list[float], limit: int = 10, vector: str
     return scored.orderBy(F.desc("score"), key).limit(limit)
 
 
-_TOKEN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+")
-_PART = re.compile(r"[a-z]+|[0-9]+")
-
-
-def hash_features(text: str, dimensions: int = DIMENSIONS) -> list[float]:
-    """Signed feature hashing of lower-case tokens (1), their parts (0.75) and bigrams (0.5), at unit length."""
-    words = [w.lower() for w in _TOKEN.findall(text)]
-    weighted = [(w, 1.0) for w in words]
-    weighted += [(f"part:{p}", 0.75) for w in words for piece in re.split("[-_]", w) for p in (_PART.findall(piece) or [piece]) if p]
-    weighted += [(f"{a}::{b}", 0.5) for a, b in zip(words, words[1:], strict=False)]
-    out = np.zeros(dimensions)
-    for feature, weight in weighted:
-        n = int.from_bytes(blake2b(feature.encode(), digest_size=8).digest(), "big")
-        out[n % dimensions] += weight if n & 1 else -weight
-    length = float(np.sqrt(out @ out))
-    return (out / length if length else out).tolist()
-
-
-def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """``hash_features`` in Arrow batches: the hash is one that Spark has no function for."""
-
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: hash_features(t, dimensions))
-
-    return embed(text)
-
-
 def relevant_memories(memories: DataFrame, query: str, limit: int = 5) -> DataFrame:
     """Memories that hold any of the query's first six longer words; all if the query has none. Newest first."""
     words = [w for w in query.lower().split() if len(w) > 2][:6]

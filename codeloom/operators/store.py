@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.ids import stable_hash
+
 TABLES = {
     "files": "path string, language string, category string, size_bytes long, content_hash string, raw_hash string, is_deleted boolean, is_generated boolean, is_test boolean",
     "nodes": "id string, type string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, summary string, tags array<string>, confidence double, confidence_tier string, content_hash string, metadata string",
     "edges": "id string, source_id string, target_id string, type string, confidence double, confidence_tier string, provenance_source string, file_path string, line int, metadata string",
     "chunks": "id string, file_path string, node_id string, kind string, content string, line_start int, line_end int, token_estimate int, content_hash string, metadata string",
-    "embeddings": "entity_id string, entity_type string, provider string, model string, dimensions int, vector array<double>, text string, file_path string",
+    "embeddings": "entity_id string, entity_type string, provider string, model string, dimensions int, content_hash string, vector array<double>, text string, file_path string",
     "changes": "id string, file_path string, status string, changed_at timestamp, metadata string",
     "memories": "id string, kind string, content string, created_at timestamp",
     "sessions": "id string, summary string, created_at timestamp",
+    "provenance": "id string, entity_id string, entity_type string, source string, source_path string, line_start int, line_end int, confidence_tier string, metadata string, created_at timestamp",
     "snapshots": "id string, name string, version long, created_at timestamp",
 }
 SCHEMA_VERSION = 1
@@ -61,14 +64,38 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def provenance(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(entity_id, source, file_path, line_start, line_end, confidence_tier) derived from the facts themselves."""
+    """Where each entity comes from: (entity_id, entity_type, source, source_path, line_start, line_end, confidence_tier, metadata)."""
+    none = F.lit(None).cast("string").alias("metadata")
     return (
-        nodes.select(F.col("id").alias("entity_id"), F.lit("extractor").alias("source"), "file_path", "line_start", "line_end", "confidence_tier")
-        .union(edges.select("id", F.coalesce("provenance_source", F.lit("extractor")), "file_path", "line", "line", "confidence_tier"))
-        .union(chunks.select("id", F.lit("extractor"), "file_path", "line_start", "line_end", F.lit("extracted")))
+        nodes.select(F.col("id").alias("entity_id"), F.lit("node").alias("entity_type"), F.lit("extractor").alias("source"), F.col("file_path").alias("source_path"), "line_start", "line_end", "confidence_tier", none)
+        .union(edges.select("id", F.lit("edge"), F.coalesce("provenance_source", F.lit("extractor")), "file_path", "line", "line", "confidence_tier", none))
+        .union(chunks.select("id", F.lit("chunk"), F.lit("extractor"), "file_path", "line_start", "line_end", F.lit("extracted"), none))
     )
 
 
+def merge_provenance(stored: DataFrame, said: DataFrame, order: str = "created_at") -> DataFrame:
+    """Stored provenance with what is ``said`` now merged in, as if row after row by ``order``.
+
+    A row is known by its entity, source and place. If it is there already, only its tier and metadata change; what
+    it was first written with stays. Ties of the order go by all columns.
+    """
+    key = stable_hash(*[F.col(c) for c in ("entity_id", "source", "source_path", "line_start", "line_end")], length=24)
+    rows = said.withColumn("id", F.concat(F.lit("provenance:"), key))
+    first, last = ("entity_type", "created_at"), ("confidence_tier", "metadata")
+    at = [F.col(order).alias("_at")]
+    once = rows.groupBy("id", "entity_id", "source", "source_path", "line_start", "line_end").agg(F.min(F.struct(*at, *first)).alias("f"), F.max(F.struct(*at, *last)).alias("l"))
+    new = once.select("id", "entity_id", "source", "source_path", "line_start", "line_end", *[F.col(f"f.{c}").alias(c) for c in first], *[F.col(f"l.{c}").alias(c) for c in last])
+    old, now = stored.alias("o"), new.withColumn("_said", F.lit(True)).alias("n")
+    columns = [c for c in stored.columns if c != "id"]
+    value = lambda c: F.when(F.col("n._said"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in last else F.when(F.col("o.id").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
+    return old.join(now, F.col("o.id") == F.col("n.id"), "full").select(F.coalesce("o.id", "n.id").alias("id"), *[value(c).alias(c) for c in columns])
+
+
+def provenance_of(rows: DataFrame, entity: str, limit: int = 10) -> DataFrame:
+    """The newest provenance of one entity; ties by id."""
+    return rows.where(F.col("entity_id") == entity).orderBy(F.desc("created_at"), "id").limit(limit)
+
+
 class Catalog:
     """Versioned tables under one root path of any file system that Spark knows."""
 

@@ -154,7 +154,7 @@ def q_whole_file_chunks(spark, sf_dir):
     return lookups.whole_files(files).select("id", "file_path", "line_end", "content_hash")
 
 
-@query(f"{GRAPH}, c as (select cast(l_linenumber as string) || '-' || l_orderkey || '-' || l_suppkey as id, 'n' || s_nationkey || '/supplier.py' as file_path, case when l_linenumber = 1 then null else {sql_id('supplier', 7).replace('::7', "::' || l_suppkey || '")} end as node_id from lineitem join supplier on s_suppkey = l_suppkey) select distinct c.id from c join nodes n on n.file_path = c.file_path and (c.node_id is null or c.node_id = n.id) where n.qualified_name = 'supplier::7'")
+@query(f"{GRAPH}, c as (select cast(l_linenumber as string) || '-' || l_orderkey || '-' || l_suppkey as id, 'n' || s_nationkey || '/supplier.py' as file_path, case when l_linenumber = 1 then null else {sql_id('supplier', 'l_suppkey')} end as node_id from lineitem join supplier on s_suppkey = l_suppkey) select distinct c.id from c join nodes n on n.file_path = c.file_path and (c.node_id is null or c.node_id = n.id) where n.qualified_name = 'supplier::7'")
 def q_node_detail(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     node = F.when(F.col("l_linenumber") != 1, tb._id("supplier", "l_suppkey"))

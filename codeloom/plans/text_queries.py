@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import paths
 from codeloom.functions import text as tx
-from codeloom.operators import chunking, routes, search
+from codeloom.operators import chunking, embeddings, routes, search
 from codeloom.plans.registry import query
 from codeloom.sources import testbed as tb
 from codeloom.sources.testbed import NODES_SQL, table
@@ -184,8 +184,9 @@ def q_hybrid(spark, sf_dir):
 
 @query()
 def q_hash_embedding(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", search.hash_embedding(F.col("text")).alias("v"))
-    return docs.select("doc_id", F.size("v").alias("dimensions"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"))
+    """All vectors by the 64-bit hash, which no SQL has; tests/operators/test_embeddings.py holds them against plain Python."""
+    records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), "text")
+    return embeddings.LocalHash().vectors(records).select(F.col("entity_id").alias("doc_id"), "vector")
 
 
 MEMORIES = "select conv_id || ':' || turn as id, role as kind, text as content, conv_id * 1000 + turn as created from conversations"

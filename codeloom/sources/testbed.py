@@ -84,5 +84,6 @@ EDGES_SQL = "edges as (select 'edge:' || left(sha256(source_id || chr(31) || tar
 ) + "))"
 
 
-def sql_id(of: str, key: int) -> str:
+def sql_id(of: str, key: int | str) -> str:
+    """SQL of a node's id; ``key`` is a number or a column."""
     return _sql_id(of, str(key))

@@ -71,8 +71,3 @@ def test_migrations(spark):
 def test_cosine(spark, a, b, want):
     frame = spark.createDataFrame([(a, b)], "a array<double>, b array<double>")
     assert frame.select(search.cosine(F.col("a"), F.col("b")).alias("x")).first().x == want
-
-
-def test_hash_features():
-    v = search.hash_features("def read_file(path)")
-    assert len(v) == 256 and abs(sum(x * x for x in v) - 1) < 1e-9 and search.hash_features("  ") == [0.0] * 256

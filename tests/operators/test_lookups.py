@@ -1,4 +1,4 @@
-from codeloom.operators import lookups
+from codeloom.operators import embeddings, lookups
 
 NODE = "id string, type string, name string, qualified_name string, file_path string, confidence_tier string, summary string, tags array<string>, metadata string"
 
@@ -17,10 +17,10 @@ def nodes(spark):
 def test_records_and_semantic_search(spark):
     records = lookups.node_records(nodes(spark))
     assert {r.entity_id: r.text for r in records.collect()} == {"1": "function login auth::login Signs in a b said", "2": "class _Hidden core::_Hidden", "3": "document"}
-    rows = lookups.embedded(records)
-    found = lookups.semantic(rows, "login auth", 1).collect()
+    rows = embeddings.embedded(embeddings.marked(records, embeddings.LocalHash()), embeddings.LocalHash())
+    found = embeddings.semantic(rows, "login auth", 1).collect()
     assert [r.entity_id for r in found] == ["1"] and found[0].score > 0
-    assert lookups.semantic(rows, "  ").count() == 0
+    assert embeddings.semantic(rows, "  ").count() == 0
 
 
 def test_review_lists(spark):
