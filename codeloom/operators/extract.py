@@ -22,7 +22,7 @@ from codeloom.functions import paths
 from codeloom.functions.ids import edge_id, node_id
 from codeloom.functions.matching import matches
 from codeloom.functions.text import redact, slug
-from codeloom.operators import routes
+from codeloom.operators import lookups, routes, spans
 
 #: language(s), kind, pattern in Java's dialect.
 SYMBOLS = (
@@ -70,10 +70,12 @@ IMPORTS = (
     ("kotlin swift scala dart", r"(?m)^\s*import\s+([^;\n]+)"),
     ("bash", r"(?m)^\s*(?:source|\.)\s+(.+)$"),
 )
+#: Calls and words that are none, tables in SQL, blocks of Terraform.
 CALL = r"\b([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)?)\s*\("
 NO_CALLS = ("if", "for", "while", "switch", "catch", "function", "return")
 TABLES = r"(?i)\b(FROM|JOIN|UPDATE|INTO|TABLE(?:\s+IF\s+NOT\s+EXISTS)?)\s+[`\"\[]?([A-Za-z_][\w.$-]*)"
 TERRAFORM = r'(?m)^\s*(resource|data|module|variable|output)\s+"([^"]+)"(?:\s+"([^"]+)")?'
+#: Headings by number signs or a line under them, and keys of environment files.
 HEADING = r"(?m)^(#{1,6})\s+(.+)$"
 UNDERLINED = r"(?m)^(.+)\n([=\-~`^#*]{3,})$"
 ENV_KEY = r"(?m)^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*="
@@ -97,25 +99,18 @@ def module_name() -> Column:
     return F.regexp_replace(F.translate("path", "/", "."), r"\.py$", "")
 
 
-def symbol_end(lines: Column, start: Column) -> Column:
-    """Last line of a symbol: where its braces close, else before the next line that isn't deeper, else 80 lines on."""
-    rest = F.slice(lines, start, F.greatest(F.size(lines) - start + 1, F.lit(0)))
-    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-    indent = lambda x: F.length(x) - F.length(F.ltrim(x))
-    first = F.coalesce(F.get(rest, F.lit(0)), F.lit(""))
+def go_imports(lines: Column) -> Column:
+    """Imports of Go: quoted names on ``import`` lines and inside blocks, by one fold over the lines that knows whether it is in a block."""
+    zero = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("at"), F.array().cast(_LINE).alias("found"))
 
-    def walk(acc: Column, x: Column) -> Column:
-        at = acc["at"] + 1
-        open_ = acc["open"] + count(x, "{") - count(x, "}")
-        seen = acc["seen"] | F.contains(x, F.lit("{"))
-        closes = seen & (open_ <= 0) & (at > 1)
-        dedents = ~seen & (at > 1) & (F.trim(x) != "") & (indent(x) <= indent(first)) & ~F.trim(x).rlike(r"^(@|#|//)")
-        end = F.when(acc["end"] > 0, acc["end"]).when(closes, at).when(dedents, at - 1).otherwise(0)
-        return F.struct(at.alias("at"), open_.alias("open"), seen.alias("seen"), end.alias("end"))
+    def step(acc: Column, line: Column) -> Column:
+        x, at = F.trim(line, F.lit(" \t\r\x0b\x0c")), acc["at"] + 1
+        opens, closes = F.startswith(x, F.lit("import (")), acc["inside"] & (x == ")")
+        reads = ~opens & ~closes & (acc["inside"] | F.startswith(x, F.lit("import ")))
+        names = F.transform(F.regexp_extract_all(x, F.lit('"([^"]+)"'), F.lit(1)), lambda n: F.struct(F.lit("import").alias("kind"), n.alias("name"), at.alias("line")))
+        return F.struct((opens | (acc["inside"] & ~closes)).alias("inside"), at.alias("at"), F.when(reads, F.concat(acc["found"], names)).otherwise(acc["found"]).alias("found"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("open"), F.lit(False).alias("seen"), F.lit(0).alias("end"))
-    found = F.aggregate(rest, zero, walk, lambda acc: acc["end"])
-    return F.when(found > 0, start + found - 1).otherwise(F.least(F.size(lines), start + 80)).cast("int")
+    return F.aggregate(lines, zero, step, lambda acc: acc["found"])
 
 
 def _facts(rows: DataFrame, fact: str, **columns: Column) -> DataFrame:
@@ -140,22 +135,18 @@ def code_facts(files: DataFrame) -> DataFrame:
     """Modules, symbols, imports, and calls of one symbol to another of the same file, by patterns."""
     code = files.where("category = 'code' and language not in ('python', 'sql')")
     lines = F.split("content", "\n", -1)
-    go = F.filter(F.transform(lines, lambda x, k: F.struct(F.trim(x).alias("x"), (k + 1).alias("n"))), lambda r: r["x"].rlike('"[^"]+"'))
-    block = F.regexp_extract("content", r"(?s)import \((.*?)\n\s*\)", 1)
-    in_go = F.filter(go, lambda r: F.startswith(r["x"], F.lit("import ")) | F.contains(F.col("go_block"), r["x"]))
-    go_imports = F.transform(in_go, lambda r: F.struct(F.lit("import").alias("kind"), F.regexp_extract(r["x"], '"([^"]+)"', 1).alias("name"), r["n"].alias("line")))
-    read = code.withColumn("go_block", block).select(
+    read = code.select(
         "path", "language", lines.alias("ls"), module_name().alias("module"),
         F.array_distinct(_by_language(SYMBOLS, _named)).alias("symbols"),
-        F.concat(_by_language(IMPORTS, lambda p: _named("import", p)), F.when(F.col("language") == "go", go_imports).otherwise(F.array().cast(_LINE))).alias("imports"),
+        F.concat(_by_language(IMPORTS, lambda p: _named("import", p)), F.when(F.col("language") == "go", go_imports(lines)).otherwise(F.array().cast(_LINE))).alias("imports"),
         F.when(~F.col("language").isin("vue", "svelte"), F.filter(_named("call", CALL), lambda c: ~c["name"].isin(*NO_CALLS))).otherwise(F.array().cast(_LINE)).alias("calls"),
     )
     modules = _facts(read, "node", type=F.lit("module"), name=paths.stem(F.col("path")), qualified_name=F.col("module"), line_start=F.lit(1), line_end=F.greatest(F.lit(1), F.size("ls")), metadata=_json(parser=F.lit("patterns")))
     component = _facts(read.where("language in ('vue', 'svelte')"), "node", type=F.lit("class"), name=paths.stem(F.col("path")), qualified_name=F.concat("module", F.lit("::"), paths.stem(F.col("path"))), line_start=F.lit(1), line_end=F.size("ls"))
-    each = read.select("path", "module", "ls", "symbols", "calls", F.explode("symbols").alias("s"))
+    each = read.select("path", "module", F.explode(F.arrays_zip(F.col("symbols").alias("s"), spans.spans(F.col("ls"), F.col("symbols")).alias("at"))).alias("z")).select("path", "module", "z.s", "z.at")
     test = paths.is_test_symbol(F.col("s.name")) & (F.col("s.kind") == "function")
     kind = F.when(test, "test").otherwise(F.col("s.kind"))
-    symbols = _facts(each, "node", type=kind, name=F.col("s.name"), qualified_name=F.concat("module", F.lit("::"), "s.name"), line_start=F.col("s.line"), line_end=symbol_end(F.col("ls"), F.col("s.line")), metadata=_json(parser=F.lit("patterns")))
+    symbols = _facts(each, "node", type=kind, name=F.col("s.name"), qualified_name=F.concat("module", F.lit("::"), "s.name"), line_start=F.col("s.line"), line_end=F.col("at.end"), metadata=_json(parser=F.lit("patterns")))
     imports = _facts(read.select("path", "module", F.explode("imports").alias("s")), "import", source=F.col("module"), target=F.col("s.name"), line_start=F.col("s.line"))
     calls = read.select("path", "module", "symbols", F.explode("calls").alias("c"))
     before = lambda: F.filter("symbols", lambda s: s["line"] <= F.col("c.line"))
@@ -323,7 +314,7 @@ def route_facts(files: DataFrame) -> DataFrame:
     """HTTP routes as endpoints of their modules."""
     python = files.where("language = 'python'").select("path", "content")
     script = files.where("category = 'code' and language in ('javascript', 'typescript')").select("path", "content")
-    framework = F.when(F.col("method") == "WEBSOCKET", "fastapi").when(F.col("method") == "ANY", "django-or-flask").otherwise("fastapi-or-flask")
+    framework = lookups.python_framework(F.col("method"))
     own = F.regexp_replace(F.replace("path", F.lit("/"), F.lit(".")), r"\.py$", "")
     found = routes.python_routes(python).select("path", "method", "route", "line", framework.alias("framework"), own.alias("module"), F.lit("").alias("infix"))
     for name, read in (("express", routes.express_routes), ("nestjs", routes.nest_routes), ("nextjs", routes.next_routes)):

@@ -33,8 +33,9 @@ def test_edges(nodes: DataFrame) -> DataFrame:
     """``tested_by`` edges from subjects to tests whose name or path holds the subject's name, in the same area.
 
     A name inside a text shares its first three characters with the text at some place, so
-    both sides are joined on those and on the area (the first directory, or the subject's file
-    stem inside the test's path) and only then compared; no pair without a common key is made.
+    both sides are joined on those and on the area (the first directory). Where the subject's file stem stands inside
+    the test's path, the join is on the whole stem, looked up among the path's parts of lengths that stems have.
+    Only pairs with a common key are compared.
     """
     tests = nodes.where("type = 'test'").select(F.col("id").alias("test"), test_subject(F.col("name")).alias("said"), F.lower(F.coalesce("file_path", F.lit(""))).alias("test_path"), F.element_at(F.split(F.coalesce("file_path", F.lit("")), "/"), 1).alias("area"), F.col("file_path").alias("test_file"))
     subjects = nodes.where(F.col("type").isin(*SUBJECTS) & (F.length("name") >= 3) & F.col("file_path").isNotNull()).select(F.col("id").alias("subject"), F.lower("name").alias("named"), F.element_at(F.split("file_path", "/"), 1).alias("area"), F.lower(paths.stem(F.col("file_path"))).alias("stem"))
@@ -42,7 +43,11 @@ def test_edges(nodes: DataFrame) -> DataFrame:
     keyed = subjects.withColumn("gram", F.left("named", F.lit(3)))
     named = (F.contains("said", F.col("named")) | F.contains("test_path", F.col("named"))) & (F.col("subject") != F.col("test"))
     in_area = probes.join(keyed, ["gram", "area"]).where(named)
-    by_stem = probes.join(keyed.drop("area"), "gram").where(named & F.contains("test_path", F.col("stem")) & (F.col("stem") != ""))
+    lengths = subjects.where("stem <> ''").agg(F.collect_set(F.length("stem")).alias("lengths"))  # as many as lengths of file names
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.length("test_path") - n + 1, F.lit(1)))
+    parts = F.array_distinct(F.flatten(F.transform("lengths", lambda n: F.transform(starts(n), lambda k: F.substring("test_path", k, n)))))
+    in_path = tests.crossJoin(F.broadcast(lengths)).select("test", "said", "test_path", "test_file", F.explode(parts).alias("stem"))  # with a single row
+    by_stem = in_path.join(subjects.drop("area"), "stem").where(named)
     pairs = in_area.select("subject", "test", "test_file").union(by_stem.select("subject", "test", "test_file")).distinct()
     key = F.concat(F.lit("edge:"), stable_hash(F.col("subject"), F.col("test"), F.lit("tested_by"), F.lit("test-convention"), length=24))
     return pairs.select(key.alias("id"), F.col("subject").alias("source_id"), F.col("test").alias("target_id"), F.lit("tested_by").alias("type"), F.col("test_file").alias("file_path"))

@@ -1,7 +1,7 @@
 import subprocess
 
 from codeloom.operators import exports, graph, store, traces, workflows
-from codeloom.streaming import watch
+from codeloom.streaming import updates, watch
 from tests.operators.test_extract import FILES, tree
 
 
@@ -44,14 +44,66 @@ def test_stack_traces(spark):
     assert got == [(1, "src/app.py", 3, "run", "python"), (2, "src/auth.ts", 10, "login", "node"), (2, "B.java", 7, "com.a.B.go", "java"), (3, "src/x.rs", 4, None, "unknown"), (3, "y.py", None, None, "unknown")]
 
 
-def test_throttle_batch_and_stream(spark, tmp_path):
-    rows = [("a", 0.0), ("a", 0.5), ("a", 1.2), ("a", 1.9), ("a", 2.3), ("b", 0.1)]
+def test_throttle_batch(spark):
+    rows = [("a", 0.0), ("a", 0.5), ("a", 1.2), ("a", 1.9), ("a", 2.3), ("b", 0.1), (None, 5.0), (None, 5.5)]
+    rows += [("many", k / 10) for k in range(1000)]
     frame = spark.createDataFrame(rows, "key string, ts double")
-    want = {("a", 0.0), ("a", 1.2), ("a", 2.3), ("b", 0.1)}
+    want, last = set(), {}
+    for k, t in sorted(rows, key=lambda r: r[1]):
+        if k not in last or t - last[k] >= 1.0:
+            last[k] = t
+            want.add((k, t))
     assert {tuple(r) for r in watch.throttle(frame).collect()} == want
-    frame.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
-    out = []
-    q = watch.watch(watch.throttle_stream(stream), lambda df, _: out.extend(tuple(r) for r in df.collect()), f"{tmp_path}/cp")
-    q.awaitTermination(120)
-    assert set(out) == want
+    assert watch.throttle(frame.limit(0)).collect() == []
+
+
+def test_throttle_stream_and_expiry(spark, tmp_path):
+    def put(n, rows):
+        spark.createDataFrame(rows, "key string, ts double").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+
+    def run():
+        stream = spark.readStream.schema("key string, ts double").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        out = []
+        q = watch.watch(watch.throttle_stream(stream), lambda df, _: out.extend(tuple(r) for r in df.collect()), f"{tmp_path}/cp")
+        q.awaitTermination(120)
+        return set(out), q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    put(0, [("a", 10.0), ("a", 10.5), ("a", 11.2), ("a", 11.9), ("a", 12.3), ("b", 10.1)])
+    assert run()[0] == {("a", 10.0), ("a", 11.2), ("a", 12.3), ("b", 10.1)}
+    put(1, [("a", 13.0), ("a", 13.4), ("b", 12.9)])  # the state goes on after a restart
+    assert run()[0] == {("a", 13.4), ("b", 12.9)}
+    put(2, [("z", 100.0)])
+    found, left = run()
+    assert found == {("z", 100.0)} and left <= 2  # only what belongs to the newest key: its value and its timer
+    put(3, [("a", 101.5)])
+    found, left = run()
+    assert found == {("a", 101.5)} and left <= 2  # the others are forgotten
+
+
+def event(path, content, seq, status="M"):
+    return (path, status, content, "code", "typescript", str(len(content or "")), seq)
+
+
+def test_batches_merge_once_and_replays_change_nothing(spark, tmp_path):
+    root = f"{tmp_path}/log"
+    run = updates.updater(root)
+    batch = lambda *rows: spark.createDataFrame(list(rows), updates.EVENT)
+    first = batch(event("src/auth.ts", "function login() {\n}\n", 1), event("src/auth.ts", "function login() {\n}\nfunction logout() {\n}\n", 2), event("src/gone.ts", "class Gone {\n}\n", 3))
+    second = batch(event("tests/test_login.ts", "function test_login() {\n}\n", 1), event("src/gone.ts", None, 2, "D"))
+    third = batch(event("src/auth.ts", "function login() {\n  x()\n}\n", 1))
+    names = lambda: sorted(r.name for r in updates.current(spark, root, "nodes").where("type in ('function', 'class', 'test')").collect())
+    run(first, 0)
+    assert names() == ["Gone", "login", "logout"]
+    run(second, 1)
+    assert names() == ["login", "logout", "test_login"]
+    inferred = lambda: sorted((r.source_id, r.target_id) for r in updates.current(spark, root, "edges").where("confidence_tier = 'inferred'").collect())
+    assert len(inferred()) >= 1
+    state = lambda: {t: sorted(map(str, updates.current(spark, root, t).collect())) for t in updates.TABLES}
+    before = state()
+    run(second, 1)
+    assert state() == before
+    assert [r.is_deleted for r in updates.current(spark, root, "files").orderBy("path").collect()] == [False, True, False]
+    run(third, 2)
+    assert names() == ["login", "test_login"] and len(inferred()) >= 1
+    assert updates.current(spark, root, "changes").count() == 6
+    assert updates.current(spark, f"{tmp_path}/none", "nodes").count() == 0
