@@ -22,7 +22,7 @@ def numbered(lines: DataFrame) -> DataFrame:
     """
     order = W.partitionBy("patch_id").orderBy("n")
     header = F.regexp_extract("line", HUNK, 3)
-    named = F.trim(F.substring("line", 5, 1 << 20))
+    named = F.trim(F.substr("line", F.lit(5)))
     path = F.when(F.startswith("line", F.lit("+++ ")), F.when(named == "/dev/null", "").otherwise(F.regexp_replace(named, "^b/", "")))
     marked = lines.select("*", path.alias("path_here"), (header != "").alias("is_hunk"), (F.startswith("line", F.lit("+++ ")) | F.startswith("line", F.lit("--- ")) | F.startswith("line", F.lit("diff --git "))).alias("is_head"))
     carried = marked.select(

@@ -68,26 +68,26 @@ def sample_graph(nodes: DataFrame, edges: DataFrame, limit: int = 500) -> tuple[
     return nodes.orderBy("id").limit(limit), edges.orderBy("id").limit(2 * limit)
 
 
-def _hits(files: DataFrame, symbols: DataFrame, in_path: Column, in_symbol: Column) -> DataFrame:
-    return files.where(in_path).select(F.col("path").alias("item")).union(symbols.where(in_symbol).select("qualified_name")).distinct()
+def _hits(files: DataFrame, symbols: DataFrame, in_path: Column, in_symbol: Column, by: tuple[str, ...]) -> DataFrame:
+    return files.where(in_path).select(*by, F.col("path").alias("item")).union(symbols.where(in_symbol).select(*by, "qualified_name")).distinct()
 
 
-def public_changes(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(item): changed paths and symbols that others may call."""
-    return _hits(files, symbols, risk.path_has(F.col("path"), PUBLIC_PATHS), F.col("type").isin(*PUBLIC_TYPES) & ~F.startswith("name", F.lit("_")))
+def public_changes(files: DataFrame, symbols: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(item) beside the columns ``by``: changed paths and symbols that others may call."""
+    return _hits(files, symbols, risk.path_has(F.col("path"), PUBLIC_PATHS), F.col("type").isin(*PUBLIC_TYPES) & ~F.startswith("name", F.lit("_")), by)
 
 
-def config_changes(files: DataFrame) -> DataFrame:
+def config_changes(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     ends = reduce(lambda a, b: a | b, [F.endswith("path", F.lit(e)) for e in CONFIG_ENDS])
-    return files.where(ends | risk.path_has(F.col("path"), CONFIG_PATHS)).select(F.col("path").alias("item")).distinct()
+    return files.where(ends | risk.path_has(F.col("path"), CONFIG_PATHS)).select(*by, F.col("path").alias("item")).distinct()
 
 
-def database_changes(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    return _hits(files, symbols, risk.path_has(F.col("path"), risk.DATABASE), F.col("type").isin(*DATABASE_TYPES))
+def database_changes(files: DataFrame, symbols: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return _hits(files, symbols, risk.path_has(F.col("path"), risk.DATABASE), F.col("type").isin(*DATABASE_TYPES), by)
 
 
-def security_changes(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    return _hits(files, symbols, risk.path_has(F.col("path"), SECURITY), contains_any(F.lower("qualified_name"), SECURITY))
+def security_changes(files: DataFrame, symbols: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return _hits(files, symbols, risk.path_has(F.col("path"), SECURITY), contains_any(F.lower("qualified_name"), SECURITY), by)
 
 
 def priorities(reviews: DataFrame) -> DataFrame:

@@ -91,19 +91,23 @@ def is_migration(path: Column) -> Column:
     return path_has(path, MIGRATION) | F.endswith(F.lower(path), F.lit(".sql"))
 
 
-def migration_warnings(patches: DataFrame) -> DataFrame:
-    """(path, code, severity, snippet, message) of risky statements among the added lines of migration files.
+def migration_warnings(patches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(path, code, severity, snippet, message) beside the columns ``by``: risky statements among the added lines of migration files.
 
-    ``patches`` has path and patch; the added lines of one file are one text, as statements span lines.
+    ``patches`` has path and patch; the added lines of one file are one text, as statements span lines. All
+    patterns read a text in its own row, in one scan.
     """
     lines = F.split(F.regexp_replace("patch", r"\r\n?", "\n"), "\n", -1)
     added = F.filter(lines, lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++")))
-    texts = patches.where(is_migration(F.col("path"))).select("path", F.array_join(F.transform(added, lambda x: F.substr(x, F.lit(2))), "\n").alias("text"))
-    rows = [texts.select("path", F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.explode(_match_lines(F.col("text"), pattern)).alias("snippet"), F.lit(message).alias("message")) for code, pattern, severity, message in STATEMENTS]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out.where("snippet is not null")
+    texts = patches.where(is_migration(F.col("path"))).select(*by, "path", F.array_join(F.transform(added, lambda x: F.substr(x, F.lit(2))), "\n").alias("text"))
+
+    def said(code: str, pattern: str, severity: str, message: str) -> Column:
+        one = lambda x: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), x.alias("snippet"), F.lit(message).alias("message"))
+        # most texts hold no such statement, and a plain test is enough to know
+        found = F.when(F.col("text").rlike(pattern), _match_lines(F.col("text"), pattern)).otherwise(F.array().cast("array<string>"))
+        return F.transform(found, one)
+
+    return texts.select(*by, "path", F.explode(F.flatten(F.array(*[said(*s) for s in STATEMENTS]))).alias("w")).select(*by, "path", "w.*").where("snippet is not null")
 
 
 def _match_lines(text: Column, pattern: str) -> Column:

@@ -19,8 +19,8 @@ TABLES = {
     "chunks": "id string, file_path string, node_id string, kind string, content string, line_start int, line_end int, token_estimate int, content_hash string, metadata string",
     "embeddings": "entity_id string, entity_type string, provider string, model string, dimensions int, content_hash string, vector array<double>, text string, file_path string",
     "changes": "id string, file_path string, status string, changed_at timestamp, metadata string",
-    "memories": "id string, kind string, content string, created_at timestamp",
-    "sessions": "id string, summary string, created_at timestamp",
+    "memories": "id string, kind string, content string, created_at timestamp, redacted boolean",
+    "sessions": "id string, kind string, title string, summary string, created_at timestamp",
     "provenance": "id string, entity_id string, entity_type string, source string, source_path string, line_start int, line_end int, confidence_tier string, metadata string, created_at timestamp",
     "snapshots": "id string, name string, version long, created_at timestamp",
 }

@@ -62,3 +62,9 @@ def nodes_of_frames(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return spans.join(at, F.expr("file_path = _path and _line between line_start and coalesce(line_end, line_start)"), "left_semi")
 
 
+def suspects(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, rank): nodes, other than files, whose span holds a frame's line, with the place of the first such frame."""
+    at = found.where("line is not null").groupBy(F.col("file_path").alias("_path"), F.col("line").alias("_line")).agg(F.min("place").alias("place"))
+    spans = nodes.where("type <> 'file' and line_start is not null")
+    hit = spans.join(at, F.expr("file_path = _path and _line between line_start and coalesce(line_end, line_start)"))
+    return hit.groupBy("id").agg(F.min("place").cast("int").alias("rank"))

@@ -5,6 +5,10 @@ from codeloom.streaming import updates, watch
 from tests.operators.test_extract import FILES, tree
 
 
+def graph_id(catalog, name):
+    return catalog.read("nodes").where(f"qualified_name = '{name}'").first().id
+
+
 def test_update_review_debug_and_exports(spark, tmp_path):
     root = tree(tmp_path / "r")
     git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
@@ -12,16 +16,35 @@ def test_update_review_debug_and_exports(spark, tmp_path):
     catalog = store.Catalog(spark, f"file://{tmp_path}/store")
     first = workflows.update(catalog, root)
     assert first["indexed"] == first["scanned"] == len(FILES) - 2
-    assert workflows.update(catalog, root)["indexed"] == 0
-    (tmp_path / "r/src/auth.py").write_text(FILES["src/auth.py"].replace("return 1", "return 2"))
+    assert first["embedded"] > 20 and workflows.update(catalog, root)["indexed"] == 0
+    assert catalog.read("changes").count() == first["indexed"] and catalog.read("snapshots").count() == 1
+    (tmp_path / "r/src/auth.py").write_text(FILES["src/auth.py"].replace("return 1", "return 2").replace("check(user)\n\n", "check(user or 1)\n\n"))
     (tmp_path / "r/db/schema.sql").write_text(FILES["db/schema.sql"] + "DROP TABLE users;\n")
     row = workflows.review(catalog, root).first()
     assert row.changed_files == ["db/schema.sql", "src/auth.py"]
     assert "src.auth.check" in row.changed_symbols
     assert [w.code for w in row.migration_warnings] == ["drop_table"]
     assert row.risk >= 35 and row.security_path and row.database_path
-    _, suspects, text = workflows.debug(catalog, 'Traceback\n  File "src/auth.py", line 6, in login\nValueError: x')
-    assert "login" in {r.name for r in suspects.collect()} and "src.auth.Auth.login" in text
+    assert row.warnings == [] and row.missing_tests == [] and row.affected_tests and row.diff_summary[0].startswith("db/schema.sql: +1/-0")
+    assert [f.entry for f in row.impacted_flows] and row.prioritized_items[0].startswith("High-risk") and "explain db/schema.sql" in row.commands
+    workflows.write_review(catalog, workflows.review(catalog, root))
+    only = workflows.review(catalog, root, files=("main.go",)).first()
+    assert only.changed_files == ["main.go"] and only.warnings and only.changed_lines == 0
+    found = workflows.debug(catalog, 'Traceback\n  File "src/auth.py", line 6, in login\nValueError: x')
+    assert "src.auth.Auth.login" in {r.qualified_name for r in found.around.where("kind = 'suspect'").collect()} and "src.auth.Auth.login" in found.pack
+    assert found.steps[0] == "Open src/auth.py at line 6." and found.error.first().type == "ValueError"
+    assert "tests.test_auth.test_login" in {r.qualified_name for r in found.around.where("kind = 'test'").collect()}
+    tiny = workflows.explain(catalog, "src/auth.py", "tiny")
+    assert len(tiny) <= 2800 + 40 and "src.auth" in tiny and "Semantic matches" in workflows.ask(catalog, "who checks the login", "full")
+    memory = workflows.remember(catalog, "decision", "keep it\npassword = x")
+    assert catalog.read("memories").first().content == "keep it\npassword=<redacted>"
+    text, _ = workflows.handoff(catalog, root)
+    assert "- `src/auth.py`" in text and "keep it" in text and "first" in text and catalog.read("sessions").count() == 1
+    assert workflows.forget(catalog, memory) and not workflows.forget(catalog, memory) and catalog.read("memories").count() == 0
+    workflows.wiki(catalog, f"{tmp_path}/wiki")
+    assert "# src/auth.py" in {r.value for r in spark.read.text(f"{tmp_path}/wiki").collect()}
+    assert all(r.ok for r in workflows.doctor(catalog).collect()), workflows.doctor(catalog).collect()
+    assert store.provenance_of(catalog.read("provenance"), graph_id(catalog, "src.auth.check")).first().source_path == "src/auth.py"
     exports.write_graphml(catalog.read("nodes"), catalog.read("edges"), f"{tmp_path}/g")
     assert spark.read.text(f"{tmp_path}/g").count() > 20
     assert "# Onboarding" in workflows.onboarding(catalog)
