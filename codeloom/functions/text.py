@@ -26,15 +26,22 @@ def lines(text: Column) -> Column:
     return F.when(F.length(whole) == 0, F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(whole, r"\n\z", ""), "\n", -1))
 
 
-def redact(text: Column, placeholder: str = "<redacted secret-like line>") -> Column:
-    """Secret-like lines keep their key only."""
+def redact_line(x: Column, placeholder: str = "<redacted secret-like line>") -> Column:
+    """A secret-like line keeps its key only."""
+    kept = lambda mark: F.trim(F.substring_index(x, mark, 1))
+    hidden = F.when(F.contains(x, F.lit("=")), F.concat(kept("="), F.lit("=<redacted>"))).when(F.contains(x, F.lit(":")), F.concat(kept(":"), F.lit(": <redacted>"))).otherwise(F.lit(placeholder))
+    return F.when(contains_any(F.lower(x), SECRET_KEY_HINTS), hidden).otherwise(x)
+
 
-    def line(x: Column) -> Column:
-        kept = lambda mark: F.trim(F.substring_index(x, mark, 1))
-        hidden = F.when(F.contains(x, F.lit("=")), F.concat(kept("="), F.lit("=<redacted>"))).when(F.contains(x, F.lit(":")), F.concat(kept(":"), F.lit(": <redacted>"))).otherwise(F.lit(placeholder))
-        return F.when(contains_any(F.lower(x), SECRET_KEY_HINTS), hidden).otherwise(x)
+def redact_lines(text: Column, split: Column) -> Column:
+    """The lines ``split`` of a text, redacted; those of a text without any hint of a secret stay as they are, after one test of the whole."""
+    return F.when(contains_any(F.lower(text), SECRET_KEY_HINTS), F.transform(split, lambda x: redact_line(x))).otherwise(split)
 
-    return F.array_join(F.transform(lines(text), line), "\n")
+
+def redact(text: Column, placeholder: str = "<redacted secret-like line>") -> Column:
+    """Secret-like lines keep their key only; lines end with a line feed, and the last has no end."""
+    plain = F.regexp_replace(F.regexp_replace(text, LINE_END, "\n"), r"\n\z", "")
+    return F.when(contains_any(F.lower(text), SECRET_KEY_HINTS), F.array_join(F.transform(lines(text), lambda x: redact_line(x, placeholder)), "\n")).otherwise(plain)
 
 
 def estimate_tokens(text: Column) -> Column:

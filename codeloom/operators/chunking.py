@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.ids import chunk_id
-from codeloom.functions.text import estimate_tokens, lines, redact
+from codeloom.functions.text import estimate_tokens, lines, redact_lines
 
 WINDOW = 80
 
@@ -19,18 +19,18 @@ WINDOW = 80
 def _spans(files: DataFrame, kind: str, starts: Column, ends: Column | None = None) -> DataFrame:
     """Rows for spans that begin at ``starts`` (1-based, sorted) and end before the next or at ``ends``."""
     last = F.greatest(F.size("ls"), F.lit(1))
-    held = files.select("path", "ls", starts.alias("starts"), last.alias("last"), *([ends.alias("ends")] if ends is not None else []))
+    held = files.select("path", "ls", "safe", starts.alias("starts"), last.alias("last"), *([ends.alias("ends")] if ends is not None else []))
     to = F.col("ends") if ends is not None else F.transform("starts", lambda s, k: F.coalesce(F.get("starts", k + 1) - 1, F.col("last")))
     span = lambda a, b: F.struct(a.alias("line_start"), F.greatest(a, b).alias("line_end"))
-    text = lambda r: F.array_join(F.slice("ls", r["line_start"], r["line_end"] - r["line_start"] + 1), "\n")
+    text = lambda r: F.array_join(F.slice("safe", r["line_start"], r["line_end"] - r["line_start"] + 1), "\n")
     cut = lambda r: F.struct(r["line_start"].alias("line_start"), r["line_end"].alias("line_end"), text(r).alias("content"))
     rows = held.select("path", F.explode(F.transform(F.zip_with("starts", to, span), cut)).alias("r")).select("path", "r.*")  # each line is copied once
-    out = rows.select("path", F.lit(kind).alias("kind"), "line_start", "line_end", redact(F.col("content")).alias("content"))
-    return out.where(F.trim(F.regexp_replace("content", r"\s+", " ")) != "")
+    return rows.where(F.col("content").rlike(r"\S")).select("path", F.lit(kind).alias("kind"), "line_start", "line_end", "content")
 
 
 def _lined(files: DataFrame) -> DataFrame:
-    return files.select("path", lines(F.col("content")).alias("ls"))
+    """Lines as they are, which say where spans begin, and redacted, which spans are made of."""
+    return files.select("path", "content", lines(F.col("content")).alias("ls")).select("path", "ls", redact_lines(F.col("content"), F.col("ls")).alias("safe"))
 
 
 def _where(test) -> Column:

@@ -35,7 +35,7 @@ def traced(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     found = cut(frontier.withColumn("hop", F.lit(0)))
     for hop in range(1, depth + 1):
         last = found.where(F.col("hop") == hop - 1).select(F.col("id").alias("here"), "rank", "path")
-        reached = links.join(last, "here").where("there <> here").groupBy(F.col("there").alias("id")).agg(F.min(F.struct("rank", "path")).alias("best"))
+        reached = links.join(graph.near(last), "here").where("there <> here").groupBy(F.col("there").alias("id")).agg(F.min(F.struct("rank", "path")).alias("best"))
         new = reached.join(found.select("id"), "id", "left_anti").select("id", "best.rank", F.concat("best.path", F.array("id")).alias("path"), F.lit(hop).alias("hop"))
         found = cut(found.unionByName(new))
     return found.select("id", "hop", "rank", "path")

@@ -86,6 +86,20 @@ def last_before(probes: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def innermost(probes: DataFrame, spans: DataFrame) -> DataFrame:
-    """Interval join: each probe (file, pos, probe) with the containing span (file, low, high, name) that starts last."""
-    hit = probes.alias("p").join(spans.alias("s"), F.expr("p.file = s.file and p.pos between s.low and s.high"))
-    return hit.groupBy("p.probe").agg(F.max(F.struct("s.low", "s.name")).alias("m")).select("probe", F.col("m.name").alias("name"))
+    """Interval join: each probe (file, pos, probe) with the containing span (file, low, high, name) that starts last.
+
+    A span is split into aligned cells of lengths 1, 2, 4 and so on, at most two of each, and a cell keeps the best
+    of its spans only. A probe looks up the one cell of each length that holds it. So both sides grow with
+    their own rows, not with the pairs, and a file with many spans is dealt out by its cells.
+    """
+    longest = spans.agg(F.max(F.col("high") - F.col("low"))).first()[0]
+    levels = F.sequence(F.lit(0), F.lit(int(longest or 0).bit_length()))
+    first = lambda k: F.expr(f"shiftright(cast(low as bigint) + shiftleft(1l, {k}) - 1, {k})")
+    last = lambda k: F.expr(f"shiftright(cast(high as bigint) + 1, {k}) - 1")
+    each = spans.where("low <= high").select("file", "low", "high", "name", F.explode(levels).alias("k")).select("*", first("k").alias("a"), last("k").alias("b")).where("a <= b")
+    # a cell is taken where the next longer one around it would reach beyond the span
+    taken = F.array_compact(F.array(F.when(F.col("a") % 2 != 0, F.col("a")), F.when((F.col("b") % 2 == 0) & ~((F.col("a") % 2 != 0) & (F.col("a") == F.col("b"))), F.col("b"))))
+    cells = each.select("file", "k", F.explode(taken).alias("cell"), "low", "name").groupBy("file", "k", "cell").agg(F.max(F.struct("low", "name")).alias("best"))
+    asked = probes.select("file", "probe", F.col("pos").cast("long").alias("pos"), F.explode(levels).alias("k")).select("file", "probe", "k", F.expr("shiftright(pos, k)").alias("cell"))
+    hit = asked.join(cells, ["file", "k", "cell"])
+    return hit.groupBy("probe").agg(F.max("best").alias("m")).select("probe", F.col("m.name").alias("name"))

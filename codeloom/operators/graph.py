@@ -1,7 +1,7 @@
 """Graph operators: breadth-first searches as frontier joins, and degree-like aggregates.
 
 Frames: ``nodes`` with ``id``, ``edges`` with ``id, source_id, target_id, type``. Frontiers
-are semi-joined by shuffle or broadcast as Spark sees their size; edges are never collected.
+are counted and broadcast while they are small, so edges stay where they are; edges are never collected.
 """
 
 from __future__ import annotations
@@ -14,9 +14,18 @@ from pyspark.sql import functions as F
 from codeloom.operators.checkpoints import cut
 
 
+#: A frontier of at most so many ids is broadcast: some megabytes.
+BROADCAST_IDS = 50_000
+
+
+def near(frontier: DataFrame) -> DataFrame:
+    """A stored frontier, marked for broadcast after its rows were counted; a larger one is shuffled."""
+    return F.broadcast(frontier) if frontier.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else frontier
+
+
 def _step(frontier: DataFrame, links: DataFrame, seen: DataFrame) -> DataFrame:
     """Ids one link beyond the frontier that weren't seen. ``links`` has ``here`` and ``there``."""
-    reached = links.join(frontier.select(F.col("id").alias("here")), "here", "left_semi").select(F.col("there").alias("id")).distinct()
+    reached = links.join(near(frontier.select(F.col("id").alias("here"))), "here", "left_semi").select(F.col("there").alias("id")).distinct()
     return reached.join(seen.select("id"), "id", "left_anti")
 
 
@@ -29,19 +38,21 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _narrow(links: DataFrame) -> DataFrame:
-    """The links alone, once each and dealt out by their start, so that a hop neither makes nor shuffles them anew."""
-    return cut(links.select("here", "there").repartition("here").distinct())
+    """The links alone, written once, so that each hop of a deep search reads two columns; they stay where they are, as a hub's links are many."""
+    return cut(links.select("here", "there"))
+
+
+#: Searches of more hops write their links first; others read the edges once a hop.
+FEW_HOPS = 2
 
 
 def reach(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """(id, hop) within ``depth`` links of the seeds, which have hop 0."""
-    links = _narrow(links)
-    frontier = seeds.select("id").distinct()
+    links = _narrow(links) if depth > FEW_HOPS else links
+    frontier = cut(seeds.select("id").distinct())
     found = frontier.withColumn("hop", F.lit(0))
     for hop in range(1, depth + 1):
-        frontier = _step(frontier, links, found)
-        if hop < depth:
-            frontier = cut(frontier)
+        frontier = cut(_step(frontier, links, found))
         found = found.union(frontier.withColumn("hop", F.lit(hop)))
     return found
 
@@ -55,33 +66,50 @@ def impacted(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int =
 
 def neighbourhood(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes within ``depth`` undirected links, and each edge that such a step used, once."""
-    links = _both(edges)
-    found = cut(reach(seeds, links, depth))
-    inner = found.where(F.col("hop") < depth).select("id")
-    touched = [edges.join(inner.withColumnRenamed("id", side), side, "left_semi").select(edges.columns) for side in ("source_id", "target_id")]
-    return nodes.join(found, "id"), reduce(DataFrame.union, touched).dropDuplicates(["id"])
+    frontier = cut(seeds.select("id").distinct())
+    found, used = frontier.withColumn("hop", F.lit(0)), None
+    for hop in range(1, depth + 1):
+        # the edges at the frontier give both the next ids and the edges used, by one pass over them
+        inside = near(frontier.withColumn("_in", F.lit(True)))
+        at = lambda side: inside.select(F.col("id").alias(side), F.col("_in").alias(f"_{side}"))
+        touched = cut(edges.join(at("source_id"), "source_id", "left").join(at("target_id"), "target_id", "left").where("_source_id or _target_id").select(edges.columns))
+        ends = touched.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+        frontier = cut(ends.join(found.select("id"), "id", "left_anti"))
+        found = found.union(frontier.withColumn("hop", F.lit(hop)))
+        used = touched if used is None else used.union(touched)
+    used = edges.limit(0) if used is None else used.dropDuplicates(["id"]) if depth > 1 or "id" in edges.columns else used
+    return nodes.join(found, "id"), used
 
 
 def shortest_path(source: DataFrame, target: DataFrame, edges: DataFrame, cutoff: int = 6) -> DataFrame:
-    """(step, id) of a shortest undirected path between two single-row frames of ids; the least parent wins ties.
+    """(step, id) of a shortest undirected path between two single-row frames of ids.
 
-    No rows if the target is further than ``cutoff`` links away.
+    Searches from both ends, always from the smaller frontier, until the frontiers share an id; so half the
+    hops are made from each, and hubs are entered late. Of equal paths the one through the least meeting id
+    and then over the least parents is given. No rows if the target is further than ``cutoff`` links away.
     """
     links = _narrow(_both(edges))
-    goal = target.select("id").limit(1)
-    frontier = cut(source.select("id").limit(1).withColumn("parent", F.lit(None).cast("string")))
-    levels = [frontier]
-    while len(levels) <= cutoff and levels[-1].join(goal, "id", "left_semi").isEmpty():
-        seen = reduce(DataFrame.union, [x.select("id") for x in levels])
-        nxt = links.join(levels[-1].select(F.col("id").alias("here")), "here").groupBy(F.col("there").alias("id")).agg(F.min("here").alias("parent")).join(seen, "id", "left_anti")
-        levels.append(cut(nxt))
-        if levels[-1].isEmpty():
-            break
-    at = levels[-1].join(goal, "id", "left_semi")
-    rows = [at.select(F.lit(len(levels) - 1).alias("step"), "id")]
-    for k in range(len(levels) - 1, 0, -1):
-        at = levels[k - 1].join(at.select(F.col("parent").alias("id")), "id", "left_semi")
-        rows.append(at.select(F.lit(k - 1).alias("step"), "id"))
+    start = lambda df: cut(df.select("id").limit(1).withColumn("parent", F.lit(None).cast("string")))
+    sides = [[start(source)], [start(target)]]
+    sizes = [1, 1]
+    meeting = lambda: sides[0][-1].select("id").join(sides[1][-1].select("id"), "id", "left_semi").orderBy("id").limit(1)
+    found = cut(meeting())
+    while found.isEmpty():
+        if len(sides[0]) + len(sides[1]) - 2 >= cutoff or 0 in sizes:
+            return found.select(F.lit(0).alias("step"), "id").limit(0)
+        side = sides[0] if sizes[0] <= sizes[1] else sides[1]
+        seen = reduce(DataFrame.union, [x.select("id") for x in side])
+        nxt = links.join(near(side[-1].select(F.col("id").alias("here"))), "here").groupBy(F.col("there").alias("id")).agg(F.min("here").alias("parent")).join(seen, "id", "left_anti")
+        side.append(cut(nxt))
+        sizes[0 if side is sides[0] else 1] = side[-1].count()
+        found = cut(meeting())
+    n = len(sides[0]) - 1
+    rows = [found.select(F.lit(n).alias("step"), "id")]
+    for side, sign in ((sides[0], -1), (sides[1], 1)):
+        at = found.select("id")
+        for k in range(len(side) - 1, 0, -1):
+            at = side[k].join(at, "id", "left_semi").select(F.col("parent").alias("id"))
+            rows.append(at.select(F.lit(n + sign * (len(side) - k)).alias("step"), "id"))
     return reduce(DataFrame.union, rows)
 
 

@@ -43,7 +43,7 @@ def reach_by(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     found = cut(seeds.select(*BY, "id").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, depth + 1):
         last = found.where(F.col("hop") == hop - 1).select(*BY, F.col("id").alias("here"))
-        new = links.join(last, "here").select(*BY, F.col("there").alias("id")).distinct().join(found.select(*BY, "id"), [*BY, "id"], "left_anti")
+        new = links.join(graph.near(last), "here").select(*BY, F.col("there").alias("id")).distinct().join(found.select(*BY, "id"), [*BY, "id"], "left_anti")
         found = cut(found.unionByName(new.withColumn("hop", F.lit(hop))))
     return found
 

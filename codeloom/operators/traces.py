@@ -10,9 +10,9 @@ FRAMES = (
     ("python", r'File "([^"]+)", line (\d+), in ([^\s]+)', 1, 2, 3),
     ("node", r"\s*at\s+(?:([^\s(]+)\s+\()?(([\w./\\:-]+\.(?:js|ts|tsx|jsx)):(\d+):(\d+)\)?)", 3, 4, 1),
     ("java", r"\s*at\s+([\w.$<>]+)\(([^:()]+)(?::(\d+))?\)", 2, 3, 1),
-    ("go", r"(?m)^\s*([\w./\\-]+\.(?:go)):(\d+)(?::\d+)?", 1, 2, 0),
-    ("rust", r"(?m)^\s*([\w./\\-]+\.(?:rs)):(\d+)(?::\d+)?", 1, 2, 0),
+    ("go", r"(?m)^\s*([\w./\\-]+\.(?:go|rs)):(\d+)(?::\d+)?", 1, 2, 0),
 )
+#: A path without a frame (longer endings first, as the first that fits is taken), and a line that names an error.
 ANY_PATH = r"([\w./\\-]+\.(?:py|tsx|ts|jsx|js|go|rs|java))(?::(\d+))?"
 ERROR = r"(?m)^([A-Za-z_.$][\w.$]*(?:Error|Exception|Panic|panic)):[^\S\n]*(.+)$"
 
@@ -29,7 +29,8 @@ def _matches(language: str, pattern: str, path: int, line: int, function: int) -
             F.regexp_replace(F.translate(m["path"], "\\", "/"), r"^(\./)+", "").alias("file_path"),
             F.when(m["line"] == "", None).otherwise(m["line"]).cast("int").alias("line"),
             F.when(m["function"] == "", None).otherwise(m["function"]).alias("function"),
-            F.lit(language).alias("language"),
+            # Rust frames look like those of Go, and their paths tell them apart
+            F.when(F.endswith(m["path"], F.lit(".rs")), "rust").otherwise(language).alias("language") if language == "go" else F.lit(language).alias("language"),
         ),
     )
 

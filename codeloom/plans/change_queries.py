@@ -121,14 +121,14 @@ def q_sensitive(spark, sf_dir):
     return part_paths(spark, sf_dir).select("p_partkey", risk.path_has(path, risk.SECURITY).alias("security"), risk.path_has(path, risk.CONFIG).alias("config"), risk.path_has(path, risk.DATABASE).alias("database"))
 
 
-FRAME = """select event_id, 'src/u' || user_id || '.py' as file_path, cast(props->>'k' as int) as line, event_type as function from events where event_type in ('error', 'click')"""
+FRAME = """select event_id, 'src/u' || user_id || '.py' as file_path, cast(props->>'k' as int) as line, event_type as function from events"""
 
 
 def issues(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
     where = F.concat(F.lit('  File "./src/u'), F.col("user_id").cast("string"), F.lit('.py", line '), k, F.lit(", in "), F.col("event_type"))
     text = F.concat(F.lit("Traceback (most recent call last):\n"), where, F.lit("\n"), where, F.lit("\nValueError: bad "), k)
-    return table(spark, sf_dir, "events").where("event_type in ('error', 'click')").select("event_id", text.alias("issue"))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("issue"))
 
 
 @query(f"select event_id, file_path, line, function, 'python' as language from ({FRAME})")
@@ -136,7 +136,7 @@ def q_stack_frames(spark, sf_dir):
     return traces.frames(issues(spark, sf_dir), "event_id").select("event_id", "file_path", "line", "function", "language")
 
 
-@query("select event_id, 'ValueError' as type, 'bad ' || (props->>'k') as message from events where event_type in ('error', 'click')")
+@query("select event_id, 'ValueError' as type, 'bad ' || (props->>'k') as message from events")
 def q_error_lines(spark, sf_dir):
     return traces.errors(issues(spark, sf_dir), "event_id")
 
@@ -178,6 +178,29 @@ def q_resolved_calls(spark, sf_dir):
     return inference.resolved_calls(calls, definitions)
 
 
+#: Frames of five grammars and a bare path, by user; each is what the pattern of its language reads.
+GRAMMARS = (
+    ("'  File \"a/u' || u || '.py\", line ' || k || ', in run'", "'a/u' || u || '.py'", "'run'", "'python'"),
+    ("'    at load (web/u' || u || '.ts:' || k || ':7)'", "'web/u' || u || '.ts'", "'load'", "'node'"),
+    ("'  at org.U' || u || '.go(U' || u || '.java:' || k || ')'", "'U' || u || '.java'", "'org.U' || u || '.go'", "'java'"),
+    ("'  cmd/u' || u || '.go:' || k || ':3'", "'cmd/u' || u || '.go'", "null", "'go'"),
+    ("'src/u' || u || '.rs:' || k", "'src/u' || u || '.rs'", "null", "'rust'"),
+    ("'see lib/u' || u || '.tsx:' || k", "'lib/u' || u || '.tsx'", "null", "'unknown'"),
+)
+
+
+def _by_grammar(column: int) -> str:
+    return "case u % 6 " + " ".join(f"when {n} then {g[column]}" for n, g in enumerate(GRAMMARS)) + " end"
+
+
+@query(f"with e as (select event_id, user_id as u, cast(props->>'k' as int) as k from events) select event_id, cast(0 as int) as place, {_by_grammar(1)} as file_path, k as line, {_by_grammar(2)} as function, {_by_grammar(3)} as language from e")
+def q_stack_grammars(spark, sf_dir):
+    """Frames of every grammar, each said twice."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("u"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    issue = events.selectExpr("event_id", f"concat('Panic: x\n', {_by_grammar(0)}, '\n', {_by_grammar(0)}) as issue")
+    return traces.frames(issue, "event_id")
+
+
 FILED = f"with {NODES_SQL}, {EDGES_SQL}, gone as (select id from nodes where file_path = 'n3/customer.py')"
 
 
@@ -202,6 +225,8 @@ def q_tombstone(spark, sf_dir):
     return store.tombstone(docs.select(path.alias("path"), F.lit(False).alias("is_deleted")), docs.where("doc_id % 7 = 0").select(path.alias("path")))
 
 
-@query(f"with {NODES_SQL}, {EDGES_SQL} select id from nodes where file_path is null and id not in (select source_id from edges union select target_id from edges)")
+@query(f"with {NODES_SQL}, {EDGES_SQL} select id from nodes where file_path is null and id not in (select unnest([source_id, target_id]) from edges where type <> 'depends_on' and right(id, 1) in ('0', '1', '2', '3'))")
 def q_orphans(spark, sf_dir):
-    return store.orphans(tb.nodes(spark, sf_dir), tb.edges(spark, sf_dir)).select("id")
+    """Orders are orphans where no part is left that they read."""
+    left = tb.edges(spark, sf_dir).where("type <> 'depends_on' and right(id, 1) in ('0', '1', '2', '3')")
+    return store.orphans(tb.nodes(spark, sf_dir), left).select("id")

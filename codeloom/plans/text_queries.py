@@ -60,9 +60,9 @@ def q_skip_unchanged(spark, sf_dir):
     return files.join(files.where("not path like '%7.%'"), ["path", "content_hash"], "left_anti")
 
 
-@query(f"{FILES_SQL} select path, sha256({redact_sql('regexp_replace(content, chr(10) || chr(36), chr(32))')}) as h from files where content not like '%' || chr(10)")
+@query(f"{FILES_SQL} select path, sha256(case when content = '' then '' else {redact_sql("case when content like '%' || chr(10) then left(content, length(content) - 1) else content end")} end) as h from files")
 def q_redact(spark, sf_dir):
-    return tb.files(spark, sf_dir).where("content not like '%\\n'").select("path", F.sha2(tx.redact(F.col("content")), 256).alias("h"))
+    return tb.files(spark, sf_dir).select("path", F.sha2(tx.redact(F.col("content")), 256).alias("h"))
 
 
 @query(f"{FILES_SQL} select path, cast(greatest(1, length(content) // 4) as int) as tokens, sha256(case when greatest(1, length(content) // 4) <= 700 then content else regexp_replace(left(content, 2800), '\\s+$', '') || chr(10) || chr(10) || '[trimmed to token budget]' end) as h from files")
