@@ -28,12 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_batches
+from codeloom.llm.common import cut, small_batches
 
 EXAMPLES = 8000
+#: Characters of the examples together; with EXAMPLES it bounds the index, which is broadcast.
+SAMPLE_CHARS = 64 << 20
+FOLDS = 3
 #: The model's size, a bound on what is broadcast: at most so many features, those with the largest z.
 FEATURES = 1 << 16
 LEAST_Z = 2.0
@@ -129,12 +132,18 @@ class Index:
         n = len(examples)
         self.rate = sum(e[1] for e in examples) / n if n else 0.0
         self.empty_rate = (empty[0] + PRIOR * self.rate) / (empty[1] + PRIOR)
+        self.calibration = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+
+    def calibrated(self, share: float) -> float:
+        return round(float(np.interp(share, *self.calibration)), 9)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray] | None:
-        if not counts:
-            return None
         places = np.fromiter(counts, np.int64, len(counts))
-        values = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.scale[places]
+        used = self.scale[places] > 0
+        places = places[used]
+        if not len(places):
+            return None
+        values = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))[used])) * self.scale[places]
         norm = math.sqrt(float(values @ values))
         return (places, (values / norm).astype(np.float32)) if norm else None
 
@@ -165,8 +174,9 @@ class Index:
             at, step = at + step, step * 2
         return best_s, best_r
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        v = self.vector(self.space.counts(text))
+    def share(self, counts: dict[int, int]) -> tuple[float, list[int]]:
+        """Share of the votes for label 1, and the nearest examples."""
+        v = self.vector(counts)
         if v is None or not len(self.ids):
             return self.empty_rate, []
         s, rows = self.nearest(*v)
@@ -174,35 +184,69 @@ class Index:
         score = (float(votes @ self.labels[rows]) + PRIOR * self.rate) / (float(votes.sum()) + PRIOR)
         return round(score, 9), self.ids[rows[:3]].tolist()
 
+    def score(self, text: str | None) -> tuple[float, float, list[int]]:
+        """(calibrated score, share of the votes, nearest examples) of a text."""
+        share, near = self.share(self.space.counts(text))
+        return self.calibrated(share), share, near
+
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> Index:
-    """An index of labelled rows of ``labels`` (doc_id, label), with document counts from all of ``docs``."""
+def monotone_map(shares: np.ndarray, labels: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a map from shares of votes to rates of label 1 that never falls.
+
+    Neighbours in order are pooled while their rates fall (isotonic regression); a pool's rate has ``PRIOR`` votes of
+    ``rate`` added and stands at the pool's mean share. Between the points, and to 0 and 1 at the ends, the map is linear.
+    """
+    order = np.lexsort((-labels, shares))  # equal shares end in one pool
+    pools: list[list[float]] = []  # number, sum of shares, sum of labels
+    for x, y in zip(shares[order].tolist(), labels[order].tolist(), strict=True):
+        pools.append([1.0, x, y])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][0] >= pools[-1][2] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    x = np.array([p[1] / p[0] for p in pools])
+    y = np.maximum.accumulate(np.array([(p[2] + PRIOR * rate) / (p[0] + PRIOR) for p in pools]))
+    return np.r_[0.0, x, 1.0], np.r_[0.0, y, 1.0]
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, folds: int = FOLDS) -> Index:
+    """An index of labelled rows of ``labels`` (doc_id, label), with document counts from all of ``docs``; without ``folds`` it isn't calibrated."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).try_cast("long").alias("id"), F.col(text).alias("text"))
     known = labels.select(F.col(doc_id).try_cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(examples)
     sample = F.broadcast(chosen)  # at most ``examples`` rows of two numbers
-    rows = texts.join(sample, "id").groupBy("id").agg(F.max("label").alias("label"), F.max("text").alias("text"))
+    found = texts.join(sample, "id").groupBy("id").agg(F.max("label").alias("label"), F.max("text").alias("text"))
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(max(folds, 1))).cast("int")
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id"), "id"))  # over at most ``examples`` rows
+    rows = cut(found.withColumns({"fold": fold, "so_far": so_far}).where(F.col("so_far") <= SAMPLE_CHARS).drop("so_far"))
+    sizes = np.zeros((max(folds, 1), 2), np.int64)
+    for r in rows.groupBy("fold", "label").count().collect():  # a row a fold and label
+        sizes[r.fold, r.label] = r["count"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[str, list[int]] = {}
-            for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            found: dict[tuple[str, int], list[int]] = {}
+            for j, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for f in {f for w in word_counts(t) for f in features_of(w)}:
-                    found.setdefault(f, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["f", "n0", "n1"])
-
-    n1, n = known.join(sample.select("id"), "id", "left_semi").agg(F.sum("label"), F.count("*")).first()
-    n1, n0 = n1 or 0, (n or 0) - (n1 or 0)
-    features: list[str] = []
-    weight = np.zeros(0)
-    if n0 and n1:
-        counted = rows.mapInArrow(spread, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST_DOCS)
-        p = (F.col("n0") + F.col("n1")) / (n0 + n1)
-        z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + F.lit(1e-12))
-        best = counted.select("f", F.abs(z).alias("z")).where(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "f").limit(FEATURES)
-        found = sorted((r.f, r.z) for r in best.collect())  # at most FEATURES
-        features, weight = [f for f, _ in found], np.array([z for _, z in found])
+                    found.setdefault((f, j), [0, 0])[y] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([j for _, j in found], pa.int32()), *(pa.array([v[y] for v in found.values()], pa.int64()) for y in (0, 1))], ["f", "fold", "n0", "n1"])
+
+    of_fold = lambda n, j: F.sum(F.when(F.col("fold") == j, F.col(n)).otherwise(0)).alias(f"{n}_{j}")
+    counted = cut(rows.select("fold", "label", "text").mapInArrow(spread, "f string, fold int, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *[of_fold(n, j) for j in range(folds) for n in ("n0", "n1")]))
+
+    def telling(without: int | None) -> dict[str, float]:
+        """The features that tell the labels apart, with z; ``without`` a fold's examples."""
+        n0, n1 = (int(n) for n in sizes.sum(axis=0) - (sizes[without] if without is not None else 0))
+        if not n0 or not n1:
+            return {}
+        a, b = (F.col(n) - (F.col(f"{n}_{without}") if without is not None else 0) for n in ("n0", "n1"))
+        p = (a + b) / (n0 + n1)
+        z = F.abs((b / n1 - a / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1) + F.lit(1e-12)))
+        best = counted.where(a + b >= LEAST_DOCS).select("f", z.alias("z")).where(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "f").limit(FEATURES)
+        return {r.f: r.z for r in best.collect()}  # at most FEATURES
+
+    weights = [telling(j) for j in (None, *range(folds))]
+    features = sorted(set().union(*weights))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, total, n = Space(features), np.zeros(len(features), np.int64), 0
@@ -217,27 +261,45 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if features:
         held = {r.k: r.n for r in texts.select("text").mapInArrow(seen, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
         idf = np.array([math.log((1 + held[-1]) / (1 + held[k])) + 1 for k in range(len(features))])
+    scales = [idf * np.array([w.get(f, 0.0) for f in features]) for w in weights]
 
     def counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(features)
         for b in batches:
-            found = [space.counts(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["id", "label", "places", "counts"])
-
-    few = rows.select("id", "label", "text").mapInArrow(counted_rows, "id long, label int, places array<long>, counts array<long>").collect()
-    return Index(features, idf * weight, [(r.id, r.label, dict(zip(r.places, r.counts, strict=True))) for r in few])
+            found = [space.counts(t) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["id", "label", "fold", "places", "counts"])
+
+    few = cut(rows.select("id", "label", "fold", "text").mapInArrow(counted_rows, "id long, label int, fold int, places array<long>, counts array<long>"))
+    kept = [(r.id, r.label, r.fold, dict(zip(r.places, r.counts, strict=True))) for r in few.collect()]  # of SAMPLE_CHARS characters at most
+    shares, truth = [], []
+    for j in range(folds):  # one fold's index at a time
+        others = few.sparkSession.sparkContext.broadcast(Index(features, scales[j + 1], [(i, y, c) for i, y, k, c in kept if k != j]))
+
+        def judged(batches: Iterator[pa.RecordBatch], others=others) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [others.value.share(dict(zip(p, c, strict=True)))[0] for p, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["label", "share"])
+
+        for r in few.where(F.col("fold") == j).select("label", "places", "counts").mapInArrow(judged, "label int, share double").collect():
+            shares.append(r.share)
+            truth.append(r.label)
+        others.destroy()
+    index = Index(features, scales[0], [(i, y, c) for i, y, _, c in kept])
+    if len(set(truth)) == 2:
+        index.calibration = monotone_map(np.array(shares), np.array(truth, np.float64), index.rate)
+    return index
 
 
 def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, neighbours) of every text."""
+    """(doc_id, score, share, neighbours) of every text; ``share`` is the score before calibration."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # postings of EXAMPLES texts, each with FEATURES at most
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # postings of texts of SAMPLE_CHARS characters at most
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
         for b in batches:
             found = [at.score(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "score", "neighbours"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)), pa.array([x for *_, x in found], pa.list_(pa.int64()))], ["doc_id", "score", "share", "neighbours"])
 
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return picked.mapInArrow(work, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, score double, neighbours array<long>")
+    return picked.mapInArrow(work, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, score double, share double, neighbours array<long>")
