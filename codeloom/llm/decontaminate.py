@@ -17,7 +17,8 @@ must each occur there with an edit distance of at most a fifth of their words. T
 an item's last line, or the last fifth of a single line.
 
 The items are collected only up to ``SHARD_CHARS`` characters at once; larger benchmarks are
-worked through in shards, each against all documents.
+worked through in shards, each against all documents and one after another: a shard's results are
+cut from their lineage and its index is given up before the next is built, so no process holds two.
 
 Defined cases: null and empty texts and items have no words and match nothing; items with
 equal ids or texts each match on their own; rows are judged one by one, so repeated rows give
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_batches
+from codeloom.llm.common import cut, small_batches
 
 ENTRY = 64
 THRESHOLD = 0.5
@@ -225,13 +226,13 @@ def word_blocks(text: str) -> Iterator[list[str]]:
         start = end
 
 
-def _shards(items: DataFrame) -> Iterator[list[tuple]]:
-    """The items in lists of bounded size."""
+def _shards(items: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Indexes of items of bounded size, one after another, and whether it is the only one."""
     chars, count = items.agg(F.sum(F.length("text")), F.count("*")).first()
     n = max(1, math.ceil(((chars or 0) + 64 * count) / SHARD_CHARS))
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r.item_id, r.text) for r in part.collect()]
+        yield Index([(r.item_id, r.text) for r in part.collect()]), n == 1
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -241,8 +242,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     tests = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, item_id {tests.schema['item_id'].dataType.simpleString()}, score double, question_overlap double, answer_overlap double"
     out = None
-    for shard in _shards(tests):
-        found = picked.mapInArrow(_worker(Index(shard), pa.schema([("doc_id", _arrow(picked, "doc_id")), ("item_id", _arrow(tests, "item_id")), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])), schema)
+    kinds = pa.schema([("doc_id", _arrow(picked, "doc_id")), ("item_id", _arrow(tests, "item_id")), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+    for index, alone in _shards(tests):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        found = picked.mapInArrow(_worker(shared, kinds), schema)
+        if not alone:  # the hits are kept and the shard is given up before the next one is built
+            found = cut(found)
+            shared.destroy()
+        del index
         out = found if out is None else out.union(found)
     return out
 
@@ -253,8 +260,9 @@ def _arrow(df: DataFrame, name: str) -> pa.DataType:
     return to_arrow_type(df.schema[name].dataType)
 
 
-def _worker(index: Index, schema: pa.Schema):
+def _worker(shared, schema: pa.Schema):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for b in batches:
             rows = [(i.as_py(), index.items[place][0], *scores) for i, t in zip(b.column(0), b.column(1), strict=True) for place, scores in sorted(index.hits(t.as_py()).items())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
@@ -265,13 +273,17 @@ def _worker(index: Index, schema: pa.Schema):
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that hold no test item, with their own columns; each row is judged by its own text."""
     small_batches(docs.sparkSession)
-    shards = [Index(shard) for shard in _shards(items.select("item_id", "text"))]
     at = docs.columns.index(text)
-    for index in shards:
+    for index, alone in _shards(items.select("item_id", "text")):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def work(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not index.hits(t.as_py()) for t in b.column(at)], pa.bool_()))
+                yield b.filter(pa.array([not shared.value.hits(t.as_py()) for t in b.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(work, docs.schema)
+        if not alone:
+            docs = cut(docs)
+            shared.destroy()
+        del index
     return docs

@@ -1,3 +1,4 @@
+import math
 import random
 
 from codeloom.llm import decontaminate as d
@@ -77,7 +78,32 @@ def test_blocks_and_shards_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(d, "TEXT_BLOCK", 1500)
     assert [index.hits(t).keys() for _, t in docs] == whole
     monkeypatch.setattr(d, "SHARD_CHARS", 600)
-    assert {(r.doc_id, r.item_id) for r in d.leaks(frame, tests).collect()} >= {(100 + k, k) for k in range(12)}
+    found = {(r.doc_id, r.item_id) for r in d.leaks(frame, tests).collect()}
+    assert found >= {(100 + k, k) for k in range(12)}
+    assert {r.doc_id for r in d.without_leaks(frame, tests).collect()} == {i for i, _ in docs} - {i for i, _ in found}
+
+
+def test_weights_are_shares_of_bm25():
+    """Weights of all postings by plain counting over the entries."""
+    items, _ = fixture()
+    index = d.Index(items)
+    entries = []
+    for place, (item, *_) in enumerate(index.items):
+        words = d.words_of(next(t for i, t in [x for x in items if d.words_of(x[1])][place:] if i == item))
+        pieces = math.ceil(len(words) / d.ENTRY)
+        entries += [words[k * len(words) // pieces : (k + 1) * len(words) // pieces] for k in range(pieces)]
+    mean = sum(map(len, entries)) / len(entries)
+
+    def bm25(term, words):
+        holds = sum(term in e for e in entries)
+        return math.log(1 + (len(entries) - holds + 0.5) / (holds + 0.5)) * words.count(term) * 2.2 / (words.count(term) + 1.2 * (0.25 + 0.75 * len(words) / mean))
+
+    for e, words in enumerate(entries):
+        whole = sum(bm25(t, words) for t in set(words))
+        for t in set(words):
+            k = index.term_ids[t]
+            assert abs(index.weights[k][index.entries[k].index(e)] - bm25(t, words) / whole) < 1e-12
+    assert sum(map(len, index.entries)) == sum(len(set(e)) for e in entries)
 
 
 def test_leaks_of_the_tables(spark, sf_dir):
