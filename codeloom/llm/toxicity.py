@@ -5,9 +5,9 @@ rows (``EXAMPLES``, those with the least hashes of their ids) gives the examples
 at least ``LEAST_DOCS`` examples that tell their classes apart (a two-proportion z of at least
 ``LEAST_Z``) span the space, and z weighs their TF-IDF. How many documents hold a feature is
 counted over all documents. Examples stand in blocks of an inverted index: postings by
-feature, with the largest weight of each feature in each block. A document reads the
-postings of its features in the blocks with the best bounds first, and stops when no further
-block can reach its ``NEIGHBOURS``-th example, which keeps the search exact. Similarities
+feature, and for the long lists the largest weight of each feature in each block. A document sums
+its short lists, adds the block maxima of its long ones, and sums long lists only in blocks
+that can reach its ``NEIGHBOURS``-th example, which keeps the search exact. Similarities
 weigh the votes, and ``PRIOR`` votes go to the rate among examples. Neighbours are returned
 as evidence.
 
@@ -45,6 +45,10 @@ STARTS = (4, 5, 6, 7, 8)
 NEIGHBOURS = 25
 PRIOR = 1.0
 BLOCK = 64
+#: Features in more than one of so many examples have long lists, at most so many; this decides on speed only.
+LONG_SHARE, LONG_LISTS = 40, 1024
+#: Examples that are summed first, those with the best bounds.
+FIRST = 64
 KNOWN_WORDS = 500_000
 TEXT_BLOCK = 1 << 20
 THRESHOLD = 0.3
@@ -72,25 +76,63 @@ def features_of(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in STARTS if len(word) >= n)]
 
 
+class _Numbers(dict):
+    """Numbers of words; a new word gets the next number and the places of its features."""
+
+    def __init__(self, place: dict[str, int]):
+        super().__init__()
+        self.place, self.flat, self.ends = place, [], []
+
+    def __missing__(self, word: str) -> int:
+        self.flat += [self.place[f] for f in features_of(word) if f in self.place]
+        self.ends.append(len(self.flat))
+        self[word] = n = len(self)
+        return n
+
+
 class Space:
     """Turns texts into counts of known features."""
 
     def __init__(self, features: list[str]):
         self.place = {f: k for k, f in enumerate(features)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        known = self.known
-        for word, n in word_counts(text).items():
-            places = known.get(word)
-            if places is None:
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                places = known[word] = tuple(self.place[f] for f in features_of(word) if f in self.place)
-            for k in places:
-                out[k] = out.get(k, 0) + n
-        return out
+        self._start()
+
+    def _start(self) -> None:
+        self.numbers = _Numbers(self.place)
+        self.flat, self.ends, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+
+    def __getstate__(self):
+        return {"place": self.place}  # what was remembered stays behind
+
+    def __setstate__(self, state):
+        self.place = state["place"]
+        self._start()
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, counts) of the features that a text has."""
+        if len(self.numbers) >= KNOWN_WORDS:
+            self._start()
+        words = word_counts(text)
+        numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        n = np.fromiter(words.values(), np.int64, len(words))
+        new = self.numbers.ends
+        if new:  # what this text brought; arrays double when they are full
+            first = int(self.ends[self.known])
+            self.flat = _put(self.flat, first, self.numbers.flat)
+            self.ends = _put(self.ends, self.known + 1, [first + e for e in new])
+            self.known += len(new)
+            self.numbers.flat, self.numbers.ends = [], []
+        at, by = _ranges(self.ends[numbers], self.ends[numbers + 1], n)
+        places, where = np.unique(self.flat[at], return_inverse=True)
+        return places, np.bincount(where, by, len(places)).astype(np.int64)
+
+
+def _put(held: np.ndarray, at: int, values: list[int]) -> np.ndarray:
+    """``held`` with values from a place on, in an array of twice the length if they don't fit."""
+    while at + len(values) >= len(held):
+        held = np.r_[held, np.zeros(len(held), held.dtype)]
+    held[at : at + len(values)] = values
+    return held
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,12 +145,12 @@ def _ranges(starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> tuple[n
 class Index:
     """Postings of the examples by feature and block, with the largest weight of each feature in each block."""
 
-    def __init__(self, features: list[str], scale: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
+    def __init__(self, features: list[str], scale: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
         self.space, self.scale = Space(features), scale
         rows = []
         empty = [0, 0]
-        for i, label, counts in sorted(examples, key=lambda e: e[0]):
-            v = self.vector(counts)
+        for i, label, places, counts in sorted(examples, key=lambda e: e[0]):
+            v = self.vector(places, counts)
             if v is None:
                 empty[0] += label
                 empty[1] += 1
@@ -118,65 +160,84 @@ class Index:
         rows.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), -float(r[3].max()), r[0]))
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.float64)
+        self.block = BLOCK
         self.blocks = -(-len(rows) // BLOCK)
         feature = np.concatenate([np.empty(0, np.int64), *(r[2] for r in rows)])
         row = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+        weight = np.concatenate([np.empty(0, np.float32), *(r[3] for r in rows)])
+        lengths = np.bincount(feature, minlength=len(features))
+        # long lists stand as rows over all examples, with their maxima by block; the others as postings
+        common = np.argsort(-lengths, kind="stable")[: min(LONG_LISTS, int((lengths > len(rows) / LONG_SHARE).sum()))]
+        self.long_at = np.full(len(features), -1, np.int32)
+        self.long_at[common] = np.arange(len(common))
+        is_long = self.long_at[feature] >= 0 if len(feature) else np.zeros(0, bool)
+        self.long = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        self.long[self.long_at[feature[is_long]], row[is_long]] = weight[is_long]
+        self.long_most = self.long.reshape(len(common), self.blocks, BLOCK).max(axis=2) if self.blocks else np.zeros((len(common), 0), np.float32)
+        feature, row, weight = feature[~is_long], row[~is_long], weight[~is_long]
         order = np.lexsort((row, feature))
-        self.row, self.weight = row[order].astype(np.int32), np.concatenate([np.empty(0, np.float32), *(r[3] for r in rows)])[order]
-        run = feature[order] * max(self.blocks, 1) + self.row // BLOCK
-        starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.empty(0, np.int64)
-        self.run_at = np.r_[starts, len(run)]
-        self.run_block = run[starts] % max(self.blocks, 1)
-        self.run_most = np.maximum.reduceat(self.weight, starts) if len(run) else np.empty(0, np.float32)
-        self.runs_of = np.searchsorted(run[starts] // max(self.blocks, 1), np.arange(len(features) + 1))
+        self.row, self.weight = row[order].astype(np.int32), weight[order]
+        self.list_at = np.searchsorted(feature[order], np.arange(len(features) + 1))
         n = len(examples)
         self.rate = sum(e[1] for e in examples) / n if n else 0.0
         self.empty_rate = (empty[0] + PRIOR * self.rate) / (empty[1] + PRIOR)
         self.calibration = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("by_example", "room")}
+
+    def __getattr__(self, name: str):
+        if name == "by_example":  # made where it is used
+            self.by_example = np.ascontiguousarray(self.long.T)
+            return self.by_example
+        if name == "room":
+            self.room = np.empty_like(self.long)
+            return self.room
+        raise AttributeError(name)
+
     def calibrated(self, share: float) -> float:
         return round(float(np.interp(share, *self.calibration)), 9)
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray] | None:
-        places = np.fromiter(counts, np.int64, len(counts))
+    def vector(self, places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         used = self.scale[places] > 0
         places = places[used]
         if not len(places):
             return None
-        values = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))[used])) * self.scale[places]
+        values = (1 + np.log(counts[used])) * self.scale[places]
         norm = math.sqrt(float(values @ values))
         return (places, (values / norm).astype(np.float32)) if norm else None
 
     def nearest(self, places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities and rows of the NEIGHBOURS best examples with any feature in common."""
-        runs, q = _ranges(self.runs_of[places], self.runs_of[places + 1], values.astype(np.float64))
-        block = self.run_block[runs]
-        bounds = np.bincount(block, q * self.run_most[runs], self.blocks)
-        order = np.argsort(-bounds, kind="stable")
-        order = order[: np.count_nonzero(bounds > 0)]
-        best_s, best_r = np.empty(0), np.empty(0, np.int64)
-        at, step = 0, 4
-        while at < len(order):
-            take = order[at : at + step]
-            if len(best_s) >= NEIGHBOURS:
-                take = take[bounds[take] >= best_s[-1] - 1e-6]
-            if not len(take):
-                break
-            wanted = np.zeros(self.blocks, bool)
-            wanted[take] = True
-            inside = wanted[block]
-            postings, by = _ranges(self.run_at[runs[inside]], self.run_at[runs[inside] + 1], q[inside])
-            s = np.bincount(self.row[postings], by * self.weight[postings], len(self.ids))
-            there = np.flatnonzero(s > 0)
-            best_s, best_r = np.concatenate([best_s, s[there]]), np.concatenate([best_r, there])
-            keep = np.lexsort((self.ids[best_r], -np.round(best_s, 6)))[:NEIGHBOURS]
-            best_s, best_r = best_s[keep], best_r[keep]
-            at, step = at + step, step * 2
-        return best_s, best_r
-
-    def share(self, counts: dict[int, int]) -> tuple[float, list[int]]:
+        """Similarities and rows of the NEIGHBOURS best examples with any feature in common.
+
+        Short lists are summed in full. What the long lists can add to a block's examples is at most their maxima
+        in it; the examples with the best bounds give a threshold, and only blocks that can reach it are summed.
+        """
+        short = self.long_at[places] < 0
+        at = places[short]
+        postings, by = _ranges(self.list_at[at], self.list_at[at + 1], values[short].astype(np.float64))
+        s = np.bincount(self.row[postings], by * self.weight[postings], self.blocks * self.block)
+        lists, q = self.long_at[places[~short]], values[~short].astype(np.float32)
+        bound = s.reshape(self.blocks, self.block) + (q @ self.long_most[lists])[:, None]
+        rough = np.full((self.blocks, self.block), -1.0)  # sums in single precision, good to 1e-5
+        first = np.argpartition(bound, -min(FIRST, bound.size), axis=None)[-min(FIRST, bound.size) :]
+        rough.reshape(-1)[first] = sums = s[first] + self.by_example[first][:, lists] @ q
+        kth = lambda x: np.partition(x, -NEIGHBOURS, axis=None)[-NEIGHBOURS] - 2e-5 if x.size >= NEIGHBOURS else -1.0
+        rest = np.flatnonzero(bound.max(axis=1) >= kth(sums))
+        if len(rest) * 3 > self.blocks:  # one pass over the lists costs less than many blocks
+            rough[:] = s.reshape(self.blocks, self.block) + (q @ np.take(self.long, lists, axis=0, out=self.room[: len(lists)], mode="clip")).reshape(self.blocks, self.block)
+        else:
+            table = self.long.reshape(len(self.long), self.blocks, self.block)
+            rough[rest] = s.reshape(self.blocks, self.block)[rest] + np.einsum("f,fbe->be", q, table[lists[:, None], rest[None, :]])
+        rows = np.flatnonzero((rough.reshape(-1) > 0) & (rough.reshape(-1) >= kth(rough)))
+        rows = rows[rows < len(self.ids)]
+        exact = s[rows] + self.by_example[rows][:, lists].astype(np.float64) @ values[~short].astype(np.float64)
+        kept = np.lexsort((self.ids[rows], -np.round(exact, 6)))[:NEIGHBOURS]
+        return exact[kept], rows[kept]
+
+    def share(self, places: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
         """Share of the votes for label 1, and the nearest examples."""
-        v = self.vector(counts)
+        v = self.vector(places, counts)
         if v is None or not len(self.ids):
             return self.empty_rate, []
         s, rows = self.nearest(*v)
@@ -184,11 +245,6 @@ class Index:
         score = (float(votes @ self.labels[rows]) + PRIOR * self.rate) / (float(votes.sum()) + PRIOR)
         return round(score, 9), self.ids[rows[:3]].tolist()
 
-    def score(self, text: str | None) -> tuple[float, float, list[int]]:
-        """(calibrated score, share of the votes, nearest examples) of a text."""
-        share, near = self.share(self.space.counts(text))
-        return self.calibrated(share), share, near
-
 
 def monotone_map(shares: np.ndarray, labels: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Points of a map from shares of votes to rates of label 1 that never falls.
@@ -208,8 +264,30 @@ def monotone_map(shares: np.ndarray, labels: np.ndarray, rate: float) -> tuple[n
     return np.r_[0.0, x, 1.0], np.r_[0.0, y, 1.0]
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, folds: int = FOLDS) -> Index:
-    """An index of labelled rows of ``labels`` (doc_id, label), with document counts from all of ``docs``; without ``folds`` it isn't calibrated."""
+def featured(docs: DataFrame, features: list[str], text: str = "text") -> DataFrame:
+    """Every row with the places and counts of its known features in place of its text, cut from its lineage: texts are split once."""
+    rest = [c for c in docs.columns if c != text]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = Space(features)
+        for b in batches:
+            found = [space.counts(t.as_py()) for t in b.column(len(rest))]
+            packed = [pa.array([x[k].astype("<u4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *packed], [*rest, "places", "counts"])
+
+    return cut(docs.select(*rest, text).mapInArrow(work, f"{kinds}{', ' if rest else ''}places binary, counts binary"))
+
+
+def _numbers(data) -> np.ndarray:
+    return np.frombuffer(data.as_py(), "<u4").astype(np.int64)
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, folds: int = FOLDS) -> tuple[Index, DataFrame]:
+    """(an index of labelled rows of ``labels`` (doc_id, label), all documents as ``featured`` for it).
+
+    Document counts are those of all of ``docs``; without ``folds`` the index isn't calibrated.
+    """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).try_cast("long").alias("id"), F.col(text).alias("text"))
     known = labels.select(F.col(doc_id).try_cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
@@ -248,58 +326,53 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     weights = [telling(j) for j in (None, *range(folds))]
     features = sorted(set().union(*weights))
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, total, n = Space(features), np.zeros(len(features), np.int64), 0
+    every = featured(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), features)
+
+    def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(features), np.int64), 0
         for b in batches:
-            for t in b.column(0):
-                n += 1
-                for k in space.counts(t.as_py()):
-                    total[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(features))], pa.int64()), pa.array([n, *total.tolist()], pa.int64())], ["k", "n"])
+            n += b.num_rows
+            total += np.bincount(np.concatenate([np.empty(0, np.int64), *map(_numbers, b.column(0))]), minlength=len(features))
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, there], pa.int64()), pa.array(np.r_[n, total[there]], pa.int64())], ["k", "n"])
 
     idf = np.zeros(len(features))
     if features:
-        held = {r.k: r.n for r in texts.select("text").mapInArrow(seen, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+        held = {r.k: r.n for r in every.select("places").mapInArrow(held_by, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
         idf = np.array([math.log((1 + held[-1]) / (1 + held[k])) + 1 for k in range(len(features))])
     scales = [idf * np.array([w.get(f, 0.0) for f in features]) for w in weights]
 
-    def counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = Space(features)
-        for b in batches:
-            found = [space.counts(t) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["id", "label", "fold", "places", "counts"])
-
-    few = cut(rows.select("id", "label", "fold", "text").mapInArrow(counted_rows, "id long, label int, fold int, places array<long>, counts array<long>"))
-    kept = [(r.id, r.label, r.fold, dict(zip(r.places, r.counts, strict=True))) for r in few.collect()]  # of SAMPLE_CHARS characters at most
+    few = featured(rows.select("id", "label", "fold", "text"), features)
+    read = lambda data: np.frombuffer(data, "<u4").astype(np.int64)
+    kept = [(r.id, r.label, r.fold, read(r.places), read(r.counts)) for r in few.collect()]  # of SAMPLE_CHARS characters at most
     shares, truth = [], []
     for j in range(folds):  # one fold's index at a time
-        others = few.sparkSession.sparkContext.broadcast(Index(features, scales[j + 1], [(i, y, c) for i, y, k, c in kept if k != j]))
+        others = few.sparkSession.sparkContext.broadcast(Index(features, scales[j + 1], [(i, y, p, c) for i, y, k, p, c in kept if k != j]))
 
         def judged(batches: Iterator[pa.RecordBatch], others=others) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [others.value.share(dict(zip(p, c, strict=True)))[0] for p, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                found = [others.value.share(_numbers(p), _numbers(c))[0] for p, c in zip(b.column(1), b.column(2), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["label", "share"])
 
         for r in few.where(F.col("fold") == j).select("label", "places", "counts").mapInArrow(judged, "label int, share double").collect():
             shares.append(r.share)
             truth.append(r.label)
         others.destroy()
-    index = Index(features, scales[0], [(i, y, c) for i, y, _, c in kept])
+    index = Index(features, scales[0], [(i, y, p, c) for i, y, _, p, c in kept])
     if len(set(truth)) == 2:
         index.calibration = monotone_map(np.array(shares), np.array(truth, np.float64), index.rate)
-    return index
+    return index, every
 
 
-def score(docs: DataFrame, index: Index, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, share, neighbours) of every text; ``share`` is the score before calibration."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # postings of texts of SAMPLE_CHARS characters at most
+def score(every: DataFrame, index: Index) -> DataFrame:
+    """(doc_id, score, share, neighbours) of every document of ``train`` or ``featured``; ``share`` is the score before calibration."""
+    shared = every.sparkSession.sparkContext.broadcast(index)  # of texts of SAMPLE_CHARS characters at most, and LONG_LISTS rows over EXAMPLES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
         for b in batches:
-            found = [at.score(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)), pa.array([x for *_, x in found], pa.list_(pa.int64()))], ["doc_id", "score", "share", "neighbours"])
+            found = [at.share(_numbers(p), _numbers(c)) for p, c in zip(b.column(1), b.column(2), strict=True)]
+            share = [s for s, _ in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([at.calibrated(s) for s in share], pa.float64()), pa.array(share, pa.float64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "score", "share", "neighbours"])
 
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return picked.mapInArrow(work, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, score double, share double, neighbours array<long>")
+    return every.select("doc_id", "places", "counts").mapInArrow(work, f"doc_id {every.schema['doc_id'].dataType.simpleString()}, score double, share double, neighbours array<long>")

@@ -69,8 +69,8 @@ def test_search_is_exact_and_learns(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 8)
     frame = spark.createDataFrame([(*d, "own", "own") for d in docs], DOCS)
     given = labels[:180]
-    index = toxicity.train(frame, spark.createDataFrame([*given, (5000, None)], "doc_id long, toxic int"))
-    got = toxicity.score(frame, index).collect()
+    index, every = toxicity.train(frame, spark.createDataFrame([*given, (5000, None)], "doc_id long, toxic int"))
+    got = toxicity.score(every, index).collect()
     assert len(got) == len(docs)
     want = {i: s for (i, _), s in zip(docs, brute(docs, given), strict=True)}
     for r in got:
@@ -104,13 +104,27 @@ def test_monotone_map():
 def test_sample_is_bounded_by_characters(spark, monkeypatch):
     docs, labels = corpus()
     frame, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    whole = toxicity.train(frame, known)
+    whole, _ = toxicity.train(frame, known)
     monkeypatch.setattr(toxicity, "SAMPLE_CHARS", sum(len(t) for _, t in docs) // 2)
-    half = toxicity.train(frame, known)
+    half, _ = toxicity.train(frame, known)
     assert 0 < len(half.ids) < len(whole.ids) <= 240
     assert (np.diff([whole.calibrated(x / 50) for x in range(51)]) >= 0).all()
 
 
+def test_counts_of_features(monkeypatch):
+    space = toxicity.Space(["=ab", "abcd", "=abcde", "abcde"])
+    for most in (toxicity.KNOWN_WORDS, 2):
+        monkeypatch.setattr(toxicity, "KNOWN_WORDS", most)
+        for text in ("ab abcde ab", "abcdx abcde other " * 3, None, "", " ".join(f"w{k}" for k in range(3000)) + " ab"):
+            want = Counter()
+            for w, n in toxicity.word_counts(text).items():
+                for f in toxicity.features_of(w):
+                    if f in space.place:
+                        want[space.place[f]] += n
+            places, counts = space.counts(text)
+            assert dict(zip(places.tolist(), counts.tolist(), strict=True)) == want
+
+
 def test_blocks_and_word_table_change_nothing(monkeypatch):
     text = "One two_three, vier! " * 400
     want = toxicity.word_counts(text)
@@ -121,8 +135,9 @@ def test_blocks_and_word_table_change_nothing(monkeypatch):
 def test_no_labels_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert [r.score for r in toxicity.score(docs, toxicity.train(docs, none)).collect()] == [0.0]
-    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), none)).count() == 0
+    for rows, want in ((docs, [0.0]), (docs.limit(0), [])):
+        index, every = toxicity.train(rows, none)
+        assert [r.score for r in toxicity.score(every, index).collect()] == want
 
 
 def test_held_out_rows_of_the_tables(spark):
