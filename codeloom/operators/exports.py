@@ -15,9 +15,14 @@ def write_json(tables: dict[str, DataFrame], path: str) -> None:
         df.drop("vector").write.mode("overwrite").json(f"{path}/{name}")
 
 
+def node_rows(nodes: DataFrame) -> DataFrame:
+    """Nodes under the typed headers of bulk loaders."""
+    return nodes.select(F.col("id").alias("id:ID"), F.col("type").alias(":LABEL"), "name", "qualified_name", F.coalesce("file_path", F.lit("")).alias("file_path"))
+
+
 def write_csv(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes and edges with the typed headers of bulk loaders of graph databases."""
-    nodes.select(F.col("id").alias("id:ID"), F.col("type").alias(":LABEL"), "name", "qualified_name", F.coalesce("file_path", F.lit("")).alias("file_path")).write.mode("overwrite").option("header", True).csv(f"{path}/nodes")
+    node_rows(nodes).write.mode("overwrite").option("header", True).csv(f"{path}/nodes")
     edges.select(F.col("source_id").alias(":START_ID"), F.col("target_id").alias(":END_ID"), F.col("type").alias(":TYPE")).write.mode("overwrite").option("header", True).csv(f"{path}/edges")
 
 

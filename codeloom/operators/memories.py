@@ -40,6 +40,11 @@ def listed(memories: DataFrame, kinds: tuple[str, ...] = (), limit: int | None =
     return rows.limit(limit) if limit is not None else rows
 
 
+def by_kind(memories: DataFrame, at: str = "created_at") -> DataFrame:
+    """(kind, n, newest): how many memories of each kind there are, and when the last was made."""
+    return memories.groupBy("kind").agg(F.count("*").alias("n"), F.max(at).alias("newest"))
+
+
 def session_rows(sessions: DataFrame) -> DataFrame:
     """Rows of the sessions table from (kind, title, summary, created_at)."""
     key = stable_hash(F.col("kind"), F.col("title"), F.col("summary"), _stamp(F.col("created_at")), length=24)

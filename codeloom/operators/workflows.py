@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.ids import stable_hash
-from codeloom.operators import chunking, context, embeddings, extract, graph, inference, lookups, memories, reports, search, store, traces
+from codeloom.operators import chunking, context, embeddings, extract, graph, inference, lookups, memories, overview, reports, search, store, traces
 from codeloom.operators import review as reviews
 from codeloom.operators.checkpoints import cut
 from codeloom.sources import scan
@@ -235,13 +235,29 @@ def debug(catalog: store.Catalog, issue: str, budget: str = "normal") -> Debugge
     return Debugged(frames, traces.errors(issues), around, steps, text)
 
 
+#: Sections of an onboarding text that say the same for every project.
+LAYERS = (
+    "- Code modules and files are represented as `module`, `class`, `function`, and `test` nodes.",
+    "- Documentation is represented as `document` and `section` nodes.",
+    "- Config and infra artifacts are represented as `config`, `pipeline`, and `resource` nodes.",
+)
+GLOSSARY = ("- extracted: deterministic parser result.", "- inferred: deterministic indirect inference.", "- ambiguous: uncertain result needing review.")
+TOUR = ("1. Start with the README and top-level config files.", "2. Inspect high-degree modules from the key symbols list.", "3. Explain the entry point of each subsystem.", "4. Run a review before changing public APIs or configs.")
+QUESTIONS = ("- How is the project organized?", "- Which files should I read before editing authentication or persistence?", "- What tests cover the module I am changing?")
+
+
 def onboarding(catalog: store.Catalog) -> str:
-    """Files and symbols to read first."""
-    nodes, edges = catalog.read("nodes"), catalog.read("edges")
-    files = nodes.where("file_path is not null").groupBy("file_path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file_path").limit(20).collect()
-    symbols = graph.degrees(nodes.where(F.col("type").isin(*CODE_SYMBOLS, "api_endpoint")), edges).orderBy(F.desc("degree"), "id").limit(30).collect()
-    languages = catalog.read("files").where("not is_deleted").groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).count().orderBy(F.desc("count"), "language").collect()
-    return "\n".join(["# Onboarding", "", "## Languages", *(f"- {r.language}: {r['count']}" for r in languages), "", "## Files", *(f"- {r.file_path} ({r.n})" for r in files), "", "## Symbols", *(f"- {r.qualified_name} ({r.degree})" for r in symbols)])
+    """Status, languages, files and symbols to read first, and how to go on; every list is a top list."""
+    nodes, edges, files = catalog.read("nodes"), catalog.read("edges"), catalog.read("files")
+    counts = overview.status(files=files, nodes=nodes, edges=edges).first()
+    listed = [f"- `{r.file_path}`" for r in overview.important_files(nodes).collect()]
+    symbols = graph.degrees(nodes.where(F.col("type").isin(*overview.SYMBOL_TYPES)), edges).orderBy(F.desc("degree"), "id").limit(overview.IMPORTANT_SYMBOLS).collect()
+    known = overview.languages(files).orderBy(F.desc("files"), "language").collect()
+    sections = {
+        "Project overview": [f"- Files indexed: {counts.files}", f"- Nodes: {counts.nodes}", f"- Edges: {counts.edges}"], "Language summary": [f"- {r.language}: {r.files}" for r in known], "Architecture layers": LAYERS, "Important files": listed,
+        "Read these files first": listed[:8], "Key symbols": [f"- `{r.qualified_name}`" for r in symbols[:20]], "Glossary": GLOSSARY, "Guided tour": TOUR, "Suggested questions": QUESTIONS,
+    }
+    return "\n".join(["# Onboarding", *(x for title, rows in sections.items() for x in ("", f"## {title}", *rows))])
 
 
 def handoff(catalog: store.Catalog, root: str, limit: int = 20) -> tuple[str, DataFrame]:
@@ -284,10 +300,14 @@ def handoff(catalog: store.Catalog, root: str, limit: int = 20) -> tuple[str, Da
     return text, payload
 
 
-def todo(files: DataFrame, limit: int = 100) -> DataFrame:
+#: What marks an open note.
+NOTES = ("TODO", "FIXME")
+
+
+def todo(files: DataFrame, limit: int = 100, marks: tuple[str, ...] = NOTES) -> DataFrame:
     """(path, line, text) of the first lines with open notes, by path and line."""
     lines = files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("k", "t"))
-    hit = lines.where(F.upper("t").rlike("TODO|FIXME"))
+    hit = lines.where(F.upper("t").rlike("|".join(marks)))
     return hit.select("path", (F.col("k") + 1).alias("line"), F.left(F.trim("t"), F.lit(240)).alias("text")).orderBy("path", "line").limit(limit)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import BUDGETS, TRIM_MARK
-from codeloom.operators import context, embeddings, inverted, search, store
+from codeloom.operators import context, embeddings, inverted, memories, search, store, workflows
 from codeloom.operators.checkpoints import cut, folder
 from codeloom.plans.graph_queries import GRAPH, seeds
 from codeloom.plans.registry import query
@@ -197,3 +197,28 @@ def q_provenance_merge(spark, sf_dir):
 @query(f"select id, confidence_tier, day from ({PROVENANCE_SQL}) where entity_id = 'part11' order by day desc, id limit 10")
 def q_provenance_of(spark, sf_dir):
     return store.provenance_of(_provenance(spark, sf_dir), "part11").select("id", "confidence_tier", "day")
+
+
+@query(f"""{GRAPH} select 'node' as kind, id from nodes where {" or ".join(_phrase_sql(c, "region") for c in FIELDS_SQL)}
+union all select 'chunk', cast(doc_id as varchar) from documents where list_contains({WORDS}, 'region')
+union all select 'vector', cast(vec_id as varchar) from (select e.vec_id from embeddings e, (select embedding from embeddings where vec_id = 0) q {NEAR})""")
+def q_search_all(spark, sf_dir):
+    """Hits of both indexes and of vectors in one list."""
+    vectors = table(spark, sf_dir, "embeddings")
+    near = search.nearest(vectors, vectors.where("vec_id = 0").first().embedding, 8).select(F.col("vec_id").alias("id"))
+    chunks = table(spark, sf_dir, "documents")
+    return inverted.search_all(_index(spark, tb.nodes(spark, sf_dir), "id", _fields()), _index(spark, chunks, "doc_id", {"text": F.col("text")}), near, "region")
+
+
+@query("select 'session:' || left(sha256('work' || chr(31) || coalesce(p_name, 'None') || chr(31) || p_brand || chr(31) || strftime(timestamp '2024-01-01' + to_days(cast(p_partkey % 300 as int)), '%Y-%m-%d %H:%M:%S.%f')), 24) as id, p_name as title from part order by p_partkey % 300 desc, id desc limit 10")
+def q_recent_sessions(spark, sf_dir):
+    at = F.to_timestamp(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int")))
+    rows = table(spark, sf_dir, "part").select(F.lit("work").alias("kind"), F.col("p_name").alias("title"), F.col("p_brand").alias("summary"), at.alias("created_at"))
+    return memories.recent_sessions(memories.session_rows(rows)).select("id", "title")
+
+
+@query("with l as (select source || '/' || doc_id as path, generate_subscripts(string_split(text, chr(10)), 1) as line, unnest(string_split(text, chr(10))) as t from documents) select path, cast(line as int) as line, left(trim(t), 240) as text from l where regexp_matches(upper(t), 'TODO|FIXME|THE AND') order by path, line limit 100")
+def q_notes(spark, sf_dir):
+    """The first lines with open notes; a frequent pair of words stands for one more mark."""
+    docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    return workflows.todo(docs, marks=(*workflows.NOTES, "THE AND"))

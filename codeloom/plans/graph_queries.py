@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions.ids import edge_id, node_id
-from codeloom.operators import graph
+from codeloom.operators import exports, graph, overview
 from codeloom.plans.registry import query
 from codeloom.sources import testbed as tb
 from codeloom.sources.testbed import EDGES_SQL, NODES_SQL, sql_id, table
@@ -93,8 +93,7 @@ def q_communities(spark, sf_dir):
 
 @query(f"{GRAPH} select file_path, count(*) as n from nodes where file_path is not null group by 1 order by n desc, file_path limit 20")
 def q_important_files(spark, sf_dir):
-    files = tb.nodes(spark, sf_dir).where("file_path is not null").groupBy("file_path").agg(F.count("*").alias("n"))
-    return files.orderBy(F.desc("n"), "file_path").limit(20)
+    return overview.important_files(tb.nodes(spark, sf_dir))
 
 
 @query(f"{GRAPH} select e.id, a.name as source_name, e.type, b.name as target_name from edges e join nodes a on a.id = e.source_id join nodes b on b.id = e.target_id where e.type in ('contains', 'belongs_to', 'depends_on')")
@@ -106,8 +105,7 @@ def q_wiki_flows(spark, sf_dir):
 def q_wiki_files(spark, sf_dir):
     nodes = tb.nodes(spark, sf_dir)
     files = nodes.where("type <> 'resource' and file_path is not null").select(F.col("file_path").alias("path")).distinct()
-    services = nodes.where("type = 'service'").select("id", "file_path")
-    return files.join(services, files["path"] == services["file_path"], "left").groupBy("path").agg(F.count("id").alias("nodes"))
+    return overview.files_with_counts(files, nodes.where("type = 'service'"))
 
 
 @query(f"{GRAPH} select source_id, target_id, max(id) as id from edges group by 1, 2")
@@ -117,47 +115,50 @@ def q_graphml_edges(spark, sf_dir):
 
 @query(f"""{GRAPH} select id as "id:ID", type as ":LABEL", name, coalesce(file_path, '') as file_path from nodes""")
 def q_export_nodes(spark, sf_dir):
-    return tb.nodes(spark, sf_dir).select(F.col("id").alias("id:ID"), F.col("type").alias(":LABEL"), "name", F.coalesce("file_path", F.lit("")).alias("file_path"))
+    return exports.node_rows(tb.nodes(spark, sf_dir)).drop("qualified_name")
 
 
 @query(f"{GRAPH} select (select count(*) from documents) as files, (select count(*) from nodes) as nodes, (select count(*) from edges) as edges, (select count(*) from embeddings) as embeddings")
 def q_status_counts(spark, sf_dir):
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    out = one(table(spark, sf_dir, "documents"), "files")
-    for df, name in ((tb.nodes(spark, sf_dir), "nodes"), (tb.edges(spark, sf_dir), "edges"), (table(spark, sf_dir, "embeddings"), "embeddings")):
-        out = out.join(one(df, name))  # single rows
-    return out
+    return overview.status(files=table(spark, sf_dir, "documents"), nodes=tb.nodes(spark, sf_dir), edges=tb.edges(spark, sf_dir), embeddings=table(spark, sf_dir, "embeddings"))
 
 
 @query("select coalesce(lang, 'unknown') as language, count(*) as files from documents group by 1")
 def q_languages(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.coalesce("lang", F.lit("unknown")).alias("language")).agg(F.count("*").alias("files"))
+    return overview.languages(table(spark, sf_dir, "documents"), "lang")
 
 
 @query(f"{GRAPH} select type, confidence_tier, count(*) as n from nodes group by 1, 2")
 def q_histograms(spark, sf_dir):
-    return tb.nodes(spark, sf_dir).groupBy("type", "confidence_tier").agg(F.count("*").alias("n"))
+    return overview.histogram(tb.nodes(spark, sf_dir), "type", "confidence_tier")
 
 
 @query(f"{GRAPH} select count(*) as nodes, cast(round(100.0 * count(*) filter (type in ('domain', 'module')) / count(*)) as bigint) as coverage from nodes")
 def q_coverage(spark, sf_dir):
-    share = F.try_divide(100.0 * F.count_if(F.col("type").isin("domain", "module")), F.count("*"))
-    return tb.nodes(spark, sf_dir).agg(F.count("*").alias("nodes"), F.coalesce(F.round(share), F.lit(0)).cast("long").alias("coverage"))
+    return overview.coverage(tb.nodes(spark, sf_dir), ("domain", "module"))
 
 
 @query(f"{GRAPH} select id, qualified_name from nodes where type in ('module', 'service') or regexp_matches(lower(qualified_name), 'auth|token|secret|payment') order by qualified_name, id limit 8")
 def q_hotspots(spark, sf_dir):
-    hot = tb.nodes(spark, sf_dir).where(F.col("type").isin("module", "service") | F.lower("qualified_name").rlike("auth|token|secret|payment"))
-    return hot.orderBy("qualified_name", "id").limit(8).select("id", "qualified_name")
+    return overview.hotspots(tb.nodes(spark, sf_dir)).select("id", "qualified_name")
 
 
 @query(f"{GRAPH}, shown as (select id, type from nodes where type in ('module', 'domain', 'service') order by id limit 220), ranked as (select id, type, row_number() over (order by id) - 1 as k from shown) select id, cast(k // 24 as int) as ring, cast(k % 24 as int) as place from ranked")
 def q_graph_view(spark, sf_dir):
-    shown = tb.nodes(spark, sf_dir).where("type in ('module', 'domain', 'service')").orderBy("id").limit(220)
-    ranked = shown.agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.posexplode("ids").alias("k", "id"))  # at most 220
-    return ranked.select("id", F.floor(F.col("k") / 24).cast("int").alias("ring"), (F.col("k") % 24).cast("int").alias("place"))
+    return overview.view(tb.nodes(spark, sf_dir), ("module", "domain", "service"))
 
 
 @query("select 'function:' || left(sha256('function' || chr(31) || p_name), 24) as id, 'edge:' || left(sha256(p_name || chr(31) || p_brand || chr(31) || 'None' || chr(31) || 'x'), 24) as edge from part")
 def q_ids_null_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select(node_id(F.lit("function"), F.col("p_name")).alias("id"), edge_id(F.col("p_name"), F.col("p_brand"), F.lit(None).cast("string"), F.lit("x")).alias("edge"))
+
+
+@query(f"{GRAPH}, shown as (select id from nodes where type in ('module', 'domain', 'service') order by id limit 220) select id, type from edges where source_id in (select id from shown) and target_id in (select id from shown) order by id limit 500")
+def q_graph_view_edges(spark, sf_dir):
+    return overview.view_edges(overview.view(tb.nodes(spark, sf_dir), ("module", "domain", "service")), tb.edges(spark, sf_dir)).select("id", "type")
+
+
+@query("select max(o_orderdate) as indexed_at from orders where o_orderstatus <> 'F'")
+def q_freshness(spark, sf_dir):
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("last_indexed_at"), (F.col("o_orderstatus") == "F").alias("is_deleted"))
+    return overview.freshness(files)

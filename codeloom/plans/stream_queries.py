@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import lookups
 from codeloom.plans.registry import query
 from codeloom.sources.testbed import table
 from codeloom.streaming import watch
@@ -12,7 +13,7 @@ from codeloom.streaming import watch
 @query("select event_id, 'u' || user_id as file_path, event_type as status from events order by ts desc, event_id desc limit 25")
 def q_recent_changes(spark, sf_dir):
     log = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file_path"), F.col("event_type").alias("status"), "ts")
-    return log.orderBy(F.desc("ts"), F.desc("event_id")).limit(25).drop("ts")
+    return lookups.newest(log, "ts", 25, key="event_id").drop("ts")
 
 
 @query("""with recursive e as (select user_id as key, epoch(ts) as t, row_number() over (partition by user_id order by ts) as n from events),

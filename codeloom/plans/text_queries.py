@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import paths
 from codeloom.functions import text as tx
-from codeloom.operators import chunking, embeddings, routes, search
+from codeloom.operators import chunking, embeddings, memories, overview, routes, search
 from codeloom.plans.registry import query
+from codeloom.sources import scan
 from codeloom.sources import testbed as tb
 from codeloom.sources.testbed import NODES_SQL, table
 
@@ -56,8 +57,9 @@ def redact_sql(t: str) -> str:
 
 @query(f"{FILES_SQL}, stored as (select * from files where not path like '%7.%') select f.path, f.content_hash from files f where not exists (select 1 from stored s where s.path = f.path and s.content_hash = f.content_hash)")
 def q_skip_unchanged(spark, sf_dir):
-    files = tb.files(spark, sf_dir).select("path", "content_hash")
-    return files.join(files.where("not path like '%7.%'"), ["path", "content_hash"], "left_anti")
+    files = tb.files(spark, sf_dir).select("path", F.col("content_hash").alias("raw_hash"))
+    stored = files.where("not path like '%7.%'").withColumn("is_deleted", F.lit(False))
+    return scan.unindexed(files, stored).select("path", F.col("raw_hash").alias("content_hash"))
 
 
 @query(f"{FILES_SQL} select path, sha256(case when content = '' then '' else {redact_sql("case when content like '%' || chr(10) then left(content, length(content) - 1) else content end")} end) as h from files")
@@ -126,13 +128,13 @@ TOKENS = "list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w:
 
 @query(f"{GRAPH} select id, name from nodes where qualified_name = 'nation::3' or name = 'nation::3' or file_path = 'nation::3'")
 def q_find_exact(spark, sf_dir):
-    return tb.nodes(spark, sf_dir).where("qualified_name = 'nation::3' or name = 'nation::3' or file_path = 'nation::3'").select("id", "name")
+    return overview.exact(tb.nodes(spark, sf_dir), "nation::3").select("id", "name")
 
 
 @query(f"{GRAPH} select id, file_path from nodes where file_path in ('n3/customer.py', 'n4/supplier.py')")
 def q_nodes_for_files(spark, sf_dir):
     wanted = spark.range(1).select(F.explode(F.array(F.lit("n3/customer.py"), F.lit("n4/supplier.py"))).alias("file_path"))
-    return tb.nodes(spark, sf_dir).join(wanted, "file_path", "left_semi").select("id", "file_path")
+    return overview.in_files(tb.nodes(spark, sf_dir), wanted).select("id", "file_path")
 
 
 @query(f"{GRAPH} select id from nodes where contains(' ' || array_to_string({TOKENS.format(c='qualified_name')}, ' ') || ' ', ' nation 3 ') or list_contains({TOKENS.format(c='name')}, 'ring') or contains(' ' || array_to_string({TOKENS.format(c='name')}, ' ') || ' ', ' nation 3 ') or list_contains({TOKENS.format(c='qualified_name')}, 'ring')")
@@ -198,7 +200,7 @@ def _memories(spark, sf_dir):
 
 @query(f"with m as ({MEMORIES}) select kind, count(*) as n, max(created) as newest from m group by kind")
 def q_memories_by_kind(spark, sf_dir):
-    return _memories(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.max("created").alias("newest"))
+    return memories.by_kind(_memories(spark, sf_dir), "created")
 
 
 @query(f"with m as ({MEMORIES}) select id, kind from m where lower(content) like '%thing%' or lower(kind) like '%thing%' or lower(content) like '%system%' or lower(kind) like '%system%' order by created desc, id desc limit 5")
