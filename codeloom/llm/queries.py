@@ -55,6 +55,17 @@ from b
 """
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, from the ledger's bits alone."""
+    return quality.ablate(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _ablations_sql() -> str:
+    marks = ", ".join(f"('{p.version}', {p.mask}, '{r.name}', {1 << k})" for p in quality.POLICIES for k, r in enumerate(quality.RULES) if p.mask >> k & 1)
+    return f"""select policy, rule, count(*) filter (failed_bits & mask = 0) as kept, count(*) filter (failed_bits & bit <> 0) as failing, count(*) filter (failed_bits & mask = bit) as only_this_rule
+from ({OP1_SQL}) l, (values {marks}) m(policy, mask, rule, bit) group by policy, rule"""
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ordered_minhash.classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.expr("id <=> class_id").alias("kept"))
@@ -237,5 +248,6 @@ QUERIES = {
     "op11_elkan_clusters": op11_elkan_clusters,
     "op12_inner_products": op12_inner_products,
     "op13_resample": op13_resample,
+    "quality_ablations": quality_ablations,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op5_merkle_audit": OP5_SQL, "op8_chat": OP8_SQL, "op11_elkan_clusters": _clusters_sql(), "op12_inner_products": OP12_SQL, "op13_resample": OP13_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op5_merkle_audit": OP5_SQL, "op8_chat": OP8_SQL, "op11_elkan_clusters": _clusters_sql(), "op12_inner_products": OP12_SQL, "op13_resample": OP13_SQL, "quality_ablations": _ablations_sql()}
