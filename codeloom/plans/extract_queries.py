@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import extensions, extract, spans
+from codeloom.functions.text import safe_filename, slug
+from codeloom.operators import chunking, exports, extensions, extract, lookups, routes, spans
 from codeloom.operators.checkpoints import folder
 from codeloom.plans.registry import query
-from codeloom.sources.testbed import table
+from codeloom.sources import testbed as tb
+from codeloom.sources.testbed import NODES_SQL, table
 from codeloom.streaming import updates
 
 #: Lines of a made-up file of nested classes, joined in both engines; ``k`` is the part's key.
@@ -209,3 +211,52 @@ def q_update_log(spark, sf_dir):
     nodes = state("nodes").where("type = 'document'").join(state("files").select(F.col("path").alias("file_path"), "status"), "file_path").select(F.lit("node"), "id", "status", F.col("batch").cast("int"))
     changes = state("changes").select(F.lit("change"), F.concat("path", F.lit(":"), F.col("seq").cast("string")), "status", F.col("batch").cast("int"))
     return files.union(nodes).union(changes)
+
+
+#: Made-up route files in both engines' words.
+PY_ROUTES = ("'@app.get(\"/p/' || k || '\")'", "case when k % 2 = 0 then '@router.websocket(''/ws'')' else '# none' end", "'@bp.route(''/f/' || k || ''', methods=[''POST'', ''PUT''])'", "'urlpatterns = [path(''users/' || k || ''', views.users)]'")
+NEST_ROUTES = ("'@Get(''early'')'", "'@Controller(''u' || k || ''')'", "'class U {'", "' @Get('':id'')'", "case when k % 2 = 0 then ' @Post()' else '' end", "'}'", "'@Controller()'", "' @All(''z'') c() {}'")
+
+
+@query("""with p as (select p_partkey as k from part) select k, 'GET' as method, '/p/' || k as route, 1 as line from p union all select k, 'WEBSOCKET', '/ws', 2 from p where k % 2 = 0
+union all select k, m, '/f/' || k, 3 from p, (values ('ANY'), ('POST'), ('PUT')) v(m) union all select k, 'ANY', 'users/' || k, 4 from p""")
+def q_routes_python(spark, sf_dir):
+    return routes.python_routes(_made(spark, sf_dir, PY_ROUTES, "'a/' || k || '.py'", "python").select("k", "content")).select("k", "method", "route", "line")
+
+
+@query("""with p as (select p_partkey as k from part) select 'u/' || k || '.ts' as path, 'GET' as method, '/early' as route, 1 as line from p union all select 'u/' || k || '.ts', 'GET', '/u' || k || '/:id', 4 from p
+union all select 'u/' || k || '.ts', 'POST', '/u' || k, 5 from p where k % 2 = 0 union all select 'u/' || k || '.ts', 'ANY', '/z', 8 from p""")
+def q_routes_nest(spark, sf_dir):
+    return routes.nest_routes(_made(spark, sf_dir, NEST_ROUTES, "'u/' || k || '.ts'", "typescript").select("path", "content"))
+
+
+@query(f"""with p as (select p_partkey as k from part), f as (select k, string_split({joined(NESTED)}, chr(10)) as ls from p),
+s as (select k, n, unnest([2, 8]) as a from (select k, 1 as n from p)), z as (select k, a, case when a = 2 then 3 + k % 3 else 10 end as b from s)
+select 'chunk:' || left(sha256('src/' || f.k || '.ts' || chr(31) || a || chr(31) || b || chr(31) || sha256(array_to_string(ls[a:b], chr(10)))), 24) as id, cast(a as int) as line_start, cast(b as int) as line_end,
+       sha256(array_to_string(ls[a:b], chr(10))) as content_hash, cast(greatest(1, length(array_to_string(ls[a:b], chr(10))) // 4) as int) as token_estimate from z join f on f.k = z.k where f.k % 4 <> 0
+union all select 'chunk:' || left(sha256('src/' || k || '.ts' || chr(31) || '1' || chr(31) || len(ls) || chr(31) || sha256(array_to_string(ls, chr(10)))), 24), 1, cast(len(ls) as int), sha256(array_to_string(ls, chr(10))), cast(greatest(1, length(array_to_string(ls, chr(10))) // 4) as int) from f where k % 4 = 0""")
+def q_chunk_symbols(spark, sf_dir):
+    """Chunks by symbols, with ids, hashes and token estimates; files without symbols are one window."""
+    files = _made(spark, sf_dir, NESTED, "'src/' || k || '.ts'", "typescript")
+    spans_ = files.where("k % 4 <> 0").select(F.col("path").alias("file_path"), F.explode(F.array(F.struct(F.lit(2).alias("line_start"), (3 + F.col("k") % 3).cast("int").alias("line_end")), F.struct(F.lit(8).alias("line_start"), F.lit(10).alias("line_end")))).alias("s"))
+    nodes = spans_.select("file_path", F.lit("function").alias("type"), "s.line_start", "s.line_end")
+    found = chunking.materialized(chunking.symbols(files.select("path", "content"), nodes))
+    return found.select("id", "line_start", "line_end", "content_hash", "token_estimate")
+
+
+@query("select p_partkey as k, regexp_replace(p_name || '.x', '[^\\pL\\pN_-]', '_', 'g') as name, case when s = '' then 'section' else s end as slug from (select p_partkey, p_name, trim(regexp_replace(lower(case when p_partkey % 50 = 0 then '--' else p_name || '  (' || p_brand || ')!' end), '[^a-z0-9]+', '-', 'g'), '-') as s from part)")
+def q_slugs(spark, sf_dir):
+    title = F.when(F.col("p_partkey") % 50 == 0, "--").otherwise(F.concat("p_name", F.lit("  ("), "p_brand", F.lit(")!")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), safe_filename(F.concat("p_name", F.lit(".x"))).alias("name"), slug(title).alias("slug"))
+
+
+@query(f"with {NODES_SQL}, n as (select * from nodes order by qualified_name, id limit 500), m as (select left(regexp_replace(qualified_name, '[^\\pL\\pN_-]', '_', 'g'), 120) || '.md' as name, id, '# ' || name || chr(10) || chr(10) || '- type: ' || type || chr(10) || '- file: ' || coalesce(file_path, '') || chr(10) as content from n) select name, max_by(content, id) as content from m group by name")
+def q_note_files(spark, sf_dir):
+    """Note files of the first nodes."""
+    return exports.notes(tb.nodes(spark, sf_dir))
+
+
+@query(f"with {NODES_SQL}, e as (select id, 0 as s from nodes where name = 'supplier' or qualified_name = 'supplier' or coalesce(file_path, '') = 'supplier' union all select id, 1 from nodes where contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower(qualified_name || ' ' || name), '[^a-z0-9]+'), lambda w: w <> ''), ' ') || ' ', ' supplier ')), r as (select id, min(s) as s from e group by id order by s, id limit 10) select r.id, '- ' || type || ' `' || qualified_name || '`' as bullet from r join nodes using (id)")
+def q_bullets(spark, sf_dir):
+    """What a refactoring starts from: the nodes that match best."""
+    return lookups.bullets(tb.nodes(spark, sf_dir), "supplier")
