@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ LONG_SHARE, LONG_LISTS = 40, 1024
 #: Examples that are summed first, those with the best bounds.
 FIRST = 64
 KNOWN_WORDS = 500_000
+#: Texts whose results a task remembers, for copies.
+REMEMBERED_TEXTS = 512
 TEXT_BLOCK = 1 << 20
 THRESHOLD = 0.3
 
@@ -82,9 +85,14 @@ class _Numbers(dict):
     def __init__(self, place: dict[str, int]):
         super().__init__()
         self.place, self.flat, self.ends = place, [], []
+        self.heads = {f[: STARTS[0]] for f in place if f[0] != "="}  # most new words start like no feature
 
     def __missing__(self, word: str) -> int:
-        self.flat += [self.place[f] for f in features_of(word) if f in self.place]
+        whole = self.place.get(f"={word}")
+        if whole is not None:
+            self.flat.append(whole)
+        if word[: STARTS[0]] in self.heads:
+            self.flat += [self.place[f] for f in features_of(word)[1:] if f in self.place]
         self.ends.append(len(self.flat))
         self[word] = n = len(self)
         return n
@@ -271,8 +279,9 @@ def featured(docs: DataFrame, features: list[str], text: str = "text") -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(features)
+        counts = lru_cache(REMEMBERED_TEXTS)(space.counts)  # copies that follow one another
         for b in batches:
-            found = [space.counts(t.as_py()) for t in b.column(len(rest))]
+            found = [counts(t.as_py()) for t in b.column(len(rest))]
             packed = [pa.array([x[k].astype("<u4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], *packed], [*rest, "places", "counts"])
 
@@ -296,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     found = texts.join(sample, "id").groupBy("id").agg(F.max("label").alias("label"), F.max("text").alias("text"))
     fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(max(folds, 1))).cast("int")
     so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id"), "id"))  # over at most ``examples`` rows
-    rows = cut(found.withColumns({"fold": fold, "so_far": so_far}).where(F.col("so_far") <= SAMPLE_CHARS).drop("so_far"))
+    rows = cut(found.withColumns({"fold": fold, "so_far": so_far}).where(F.col("so_far") <= SAMPLE_CHARS).drop("so_far").repartition(docs.sparkSession.sparkContext.defaultParallelism, "id"))
     sizes = np.zeros((max(folds, 1), 2), np.int64)
     for r in rows.groupBy("fold", "label").count().collect():  # a row a fold and label
         sizes[r.fold, r.label] = r["count"]
@@ -370,8 +379,9 @@ def score(every: DataFrame, index: Index) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
+        judged = lru_cache(REMEMBERED_TEXTS)(lambda p, c: at.share(np.frombuffer(p, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(np.int64)))
         for b in batches:
-            found = [at.share(_numbers(p), _numbers(c)) for p, c in zip(b.column(1), b.column(2), strict=True)]
+            found = [judged(p.as_py(), c.as_py()) for p, c in zip(b.column(1), b.column(2), strict=True)]
             share = [s for s, _ in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([at.calibrated(s) for s in share], pa.float64()), pa.array(share, pa.float64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "score", "share", "neighbours"])
 
