@@ -45,10 +45,15 @@ def by_kind(memories: DataFrame, at: str = "created_at") -> DataFrame:
     return memories.groupBy("kind").agg(F.count("*").alias("n"), F.max(at).alias("newest"))
 
 
-def session_rows(sessions: DataFrame) -> DataFrame:
-    """Rows of the sessions table from (kind, title, summary, created_at)."""
+def told_sessions(sessions: DataFrame) -> DataFrame:
+    """(kind, title, summary, created_at) with ids, row by row; rows that agree in all of them have one id."""
     key = stable_hash(F.col("kind"), F.col("title"), F.col("summary"), _stamp(F.col("created_at")), length=24)
-    return sessions.select(F.concat(F.lit("session:"), key).alias("id"), "kind", "title", "summary", "created_at").dropDuplicates(["id"])
+    return sessions.select(F.concat(F.lit("session:"), key).alias("id"), "kind", "title", "summary", "created_at")
+
+
+def session_rows(sessions: DataFrame) -> DataFrame:
+    """Rows of the sessions table from (kind, title, summary, created_at), each id once."""
+    return told_sessions(sessions).dropDuplicates(["id"])
 
 
 def recent_sessions(sessions: DataFrame, limit: int = 10) -> DataFrame:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from codeloom.operators import memories, reports, review, store, workflows
+from codeloom.plans import context_queries
 
 NODE = "id string, type string, name string, qualified_name string, file_path string, line_start int, line_end int, confidence_tier string"
 EDGE = "id string, source_id string, target_id string, type string"
@@ -76,6 +77,12 @@ def test_memories_and_sessions(spark):
     assert [r.created_at.day for r in memories.recent_sessions(talks, 1).collect()] == [3]
 
 
+def test_recent_sessions_of_like_parts(spark, tmp_path):
+    """Parts that agree in name, brand and day are rows of their own."""
+    spark.createDataFrame([(299 + 300 * k, "n", "b") for k in range(4)] + [(5, "m", "b")], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [r.title for r in context_queries.q_recent_sessions(spark, str(tmp_path)).collect()] == ["n"] * 4 + ["m"]
+
+
 def test_todo(spark):
     rows = workflows.todo(spark.createDataFrame([("b", "x\n # todo: y"), ("a", "FIXME")], "path string, content string")).collect()
     assert [(r.path, r.line, r.text) for r in rows] == [("a", 1, "FIXME"), ("b", 2, "# todo: y")]
