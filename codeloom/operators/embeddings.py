@@ -8,26 +8,29 @@ entity, provider, model and content hash, so a second run over the same records
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
+from hashlib import blake2b, sha256
+from itertools import batched, chain
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators import search
+from codeloom.operators.checkpoints import cut
 
 DIMENSIONS = 256
 #: What a token is, and the weights of tokens, their parts and pairs of neighbours.
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
 PART = "[a-z]+|[0-9]+"
 WEIGHTS = (1.0, 0.75, 0.5)
-#: Features whose hashes a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+#: Texts whose features a worker holds at a time, and features of these that it hashes in one go.
+TEXTS, REMEMBERED = 128, 1 << 14
+#: Hashes of features in UTF-8.
+Number = Callable[[Iterable[bytes]], np.ndarray]
 
 
 class Provider(Protocol):
@@ -42,101 +45,91 @@ class Provider(Protocol):
     def of_text(self, text: str) -> list[float]: ...
 
 
-def features(text: Column) -> Column:
-    """Weighted features of a text as an array of (feature, weight): tokens, their parts, pairs."""
-    words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
-    of = lambda f, w: F.struct(f.alias("feature"), F.lit(w).alias("weight"))
+def _hashed(records: DataFrame, number: Number, size: int) -> DataFrame:
+    """(entity_id, vector) of (entity_id, text) by hashed features, in Arrow batches of which ``TEXTS`` are in work at a time; rows aren't shuffled."""
+    kind = records.schema["entity_id"].dataType.simpleString()
 
-    def all_of(ws: Column) -> Column:
-        parts = F.flatten(F.transform(ws, lambda w: F.regexp_extract_all(w, F.lit(PART), F.lit(0))))
-        pairs = F.zip_with(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.size(ws)), lambda a, b: of(F.concat(a, F.lit("::"), b), WEIGHTS[2]))
-        return F.concat(F.transform(ws, lambda w: of(w, WEIGHTS[0])), F.transform(parts, lambda p: of(F.concat(F.lit("part:"), p), WEIGHTS[1])), pairs)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(k, TEXTS) for k in range(0, b.num_rows, TEXTS)):
+                flat = _vectors(part.column(1).to_pylist(), number, size).reshape(-1)
+                ends = pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(flat))], ["entity_id", "vector"])
 
-    return F.element_at(F.transform(F.array(words), all_of), 1)  # words are taken once a row
+    return records.select("entity_id", "text").mapInArrow(work, f"entity_id {kind}, vector array<double>")
 
 
 @dataclass(frozen=True)
 class DigestHash:
-    """Signed feature hashing by SHA-256 in Spark's own functions: vectors are grouped sums of (entity, place)."""
+    """Signed feature hashing by the first 60 bits of SHA-256, which SQL has too."""
 
     dimensions: int = DIMENSIONS
     name: str = "digest-hash"
     model: str = "sha256-60bit"
 
-    def _placed(self, records: DataFrame) -> DataFrame:
-        each = records.select("entity_id", F.explode(features(F.col("text"))).alias("f"))
-        n = F.conv(F.left(F.sha2("f.feature", 256), F.lit(15)), 16, 10).cast("long")
-        signed = F.when(n % 2 == 1, F.col("f.weight")).otherwise(-F.col("f.weight"))
-        # summed before the shuffle: at most ``dimensions`` rows an entity and task leave it
-        return each.select("entity_id", (n % self.dimensions).cast("int").alias("slot"), signed.alias("w")).groupBy("entity_id", "slot").agg(F.sum("w").alias("w"))
-
     def vectors(self, records: DataFrame) -> DataFrame:
-        summed = self._placed(records).groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-        value = lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("length")), F.lit(0.0))
-        filled = summed.select("entity_id", F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), value).alias("vector"))
-        zero = F.array_repeat(F.lit(0.0), self.dimensions)
-        return records.select("entity_id").join(filled, "entity_id", "left").withColumn("vector", F.coalesce("vector", zero))
+        return _hashed(records, _sha, self.dimensions)
 
     def of_text(self, text: str) -> list[float]:
-        from hashlib import sha256
-
-        return _normal(_sums(text, lambda f: int(sha256(f.encode()).hexdigest()[:15], 16), self.dimensions, {}))
+        return _vectors([text], _sha, self.dimensions)[0].tolist()
 
 
 @dataclass(frozen=True)
 class LocalHash:
-    """Signed feature hashing by 64 bits of BLAKE2b, in Arrow batches: each distinct feature that a worker remembers is hashed once."""
+    """Signed feature hashing by 64 bits of BLAKE2b."""
 
     dimensions: int = DIMENSIONS
     name: str = "local-hash"
     model: str = f"blake2b-{DIMENSIONS}"
 
     def vectors(self, records: DataFrame) -> DataFrame:
-        size, kind = self.dimensions, records.schema["entity_id"].dataType.simpleString()
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, tuple[int, float]] = {}
-            for b in batches:
-                found = [_normal(_sums(t.as_py() or "", _blake, size, known)) for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float64()))], ["entity_id", "vector"])
-
-        return records.select("entity_id", "text").mapInArrow(work, f"entity_id {kind}, vector array<double>")
+        return _hashed(records, _blake, self.dimensions)
 
     def of_text(self, text: str) -> list[float]:
-        return _normal(_sums(text, _blake, self.dimensions, {}))
+        return _vectors([text], _blake, self.dimensions)[0].tolist()
 
 
 _TOKENS, _PARTS = re.compile(TOKEN), re.compile(PART)
 
 
-def _blake(feature: str) -> int:
-    return int.from_bytes(blake2b(feature.encode(), digest_size=8).digest(), "big")
+def _blake(features: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([blake2b(f, digest_size=8).digest() for f in features]), ">u8")
+
+
+def _sha(features: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([sha256(f).digest()[:8] for f in features]), ">u8") >> np.uint64(4)
+
+
+def _places(features: Iterable[bytes], number: Number, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and sign of each feature."""
+    h = np.concatenate([np.empty(0, np.uint64), *map(number, batched(features, REMEMBERED))]).astype(np.uint64)
+    return (h % np.uint64(size)).astype(np.int64), np.where(h & np.uint64(1), 1.0, -1.0)
 
 
-def _sums(text: str, number, size: int, known: dict[str, tuple[int, float]]) -> np.ndarray:
-    words = [w.lower() for w in _TOKENS.findall(text)]
-    counted = Counter(words)
-    parts: Counter = Counter()
-    for w, n in counted.items():
-        for p in _PARTS.findall(w):
-            parts[f"part:{p}"] += n
-    at, weight = [], []
-    for group, worth in ((counted, WEIGHTS[0]), (parts, WEIGHTS[1]), (Counter(map("::".join, zip(words, words[1:], strict=False))), WEIGHTS[2])):
-        for f, n in group.items():
-            place = known.get(f)
-            if place is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                h = number(f)
-                place = known[f] = (h % size, 1.0 if h & 1 else -1.0)
-            at.append(place[0])
-            weight.append(place[1] * worth * n)
-    return np.bincount(np.array(at, np.int64), np.array(weight, np.float64), size)
+def _vectors(texts: list[str | None], number: Number, size: int) -> np.ndarray:
+    """One unit vector a text, or zeros: tokens, their parts and pairs of neighbours, of which each different one is hashed once."""
+    place: dict[str, int] = {}
+    found = [[place.setdefault(w, len(place)) for w in map(str.lower, _TOKENS.findall(t or ""))] for t in texts]
+    code, row = np.fromiter(chain.from_iterable(found), np.int64), np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    words = [w.encode() for w in place]
+    out = np.zeros(len(texts) * size)
 
+    def add(rows: np.ndarray, at: np.ndarray, places: tuple[np.ndarray, np.ndarray], weight: float) -> None:
+        np.add(out, np.bincount(rows * size + places[0][at], places[1][at] * weight, len(out)), out=out)
 
-def _normal(v: np.ndarray) -> list[float]:
-    length = float(np.sqrt(v @ v))
-    return (v / length if length else v).tolist()
+    add(row, code, _places(words, number, size), WEIGHTS[0])
+    parts: dict[str, int] = {}
+    of_word = [[parts.setdefault(p, len(parts)) for p in _PARTS.findall(w)] for w in place]
+    n_parts = np.array([len(p) for p in of_word], np.int64)
+    flat, first = np.fromiter(chain.from_iterable(of_word), np.int64), np.cumsum(n_parts) - n_parts
+    n = n_parts[code]
+    add(np.repeat(row, n), flat[np.repeat(first[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())], _places((f"part:{p}".encode() for p in parts), number, size), WEIGHTS[1])
+    inside = row[1:] == row[:-1]
+    pairs, at = np.unique((code[:-1] * len(words) + code[1:])[inside], return_inverse=True)
+    add(row[1:][inside], at, _places((words[a] + b"::" + words[b] for a, b in zip(*(x.tolist() for x in divmod(pairs, max(len(words), 1))), strict=True)), number, size), WEIGHTS[2])
+    out = out.reshape(len(texts), size)
+    length = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, length, out=out, where=length > 0)
 
 
 def marked(records: DataFrame, provider: Provider) -> DataFrame:
@@ -154,8 +147,9 @@ def delta(records: DataFrame, stored: DataFrame, provider: Provider) -> DataFram
 
 
 def embedded(records: DataFrame, provider: Provider) -> DataFrame:
-    """Marked records with their vectors; ids must be unique."""
-    return records.join(provider.vectors(records.select("entity_id", "text")), "entity_id")
+    """Marked records with their vectors; ids must be unique. The whole record goes along as the id, so that nothing is joined."""
+    found = provider.vectors(records.select(F.struct(*records.columns).alias("entity_id"), "text"))
+    return found.select("entity_id.*", "vector")
 
 
 def upkeep(records: DataFrame, stored: DataFrame, provider: Provider) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +157,7 @@ def upkeep(records: DataFrame, stored: DataFrame, provider: Provider) -> tuple[D
 
     Stored rows stay if the entity is still among the records, or if they are another provider's.
     """
-    new = embedded(delta(records, stored, provider), provider)
+    new = cut(embedded(delta(records, stored, provider), provider))  # both results read it
     own = (F.col("provider") == provider.name) & (F.col("model") == provider.model)
     now = marked(records, provider).select(*KEY).distinct()
     kept = stored.where(~own).unionByName(stored.where(own).join(now, KEY, "left_semi").select(stored.columns))

@@ -97,3 +97,13 @@ def test_a_provider_from_outside(spark):
     records = frame(spark, ["ab", "abc"])
     stored, new = upkeep(records, embedded(marked(records, Lengths()), Lengths()).where("false"), Lengths())
     assert {r.entity_id: r.vector for r in stored.collect()} == {"e0": [2.0], "e1": [3.0]} and new.count() == 2
+
+
+def test_records_are_embedded_without_a_shuffle(spark, monkeypatch):
+    """Over several slices of a batch, each record comes with all its columns and its own vector."""
+    monkeypatch.setattr(embeddings, "TEXTS", 3)
+    texts = [f"a{k} b a{k % 3} b" if k % 4 else None for k in range(20)]
+    found = embedded(marked(frame(spark, texts), DigestHash()), DigestHash())
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {r.entity_id: r for r in found.collect()}
+    assert len(rows) == 20 and all(rows[f"e{k}"].vector == pytest.approx(plain(t, DIGEST)) and rows[f"e{k}"].file_path == f"f{k}.py" and rows[f"e{k}"].text == t for k, t in enumerate(texts))
