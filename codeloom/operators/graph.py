@@ -23,6 +23,16 @@ def near(frontier: DataFrame) -> DataFrame:
     return F.broadcast(frontier) if frontier.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else frontier
 
 
+#: Rows that one task groups: their strings take some hundred megabytes.
+GROUPED = 1 << 20
+
+
+def dealt(rows: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """The rows by their keys in as many tasks as hold ``GROUPED`` each, however many tasks the session has for shuffles; ``n`` is their number, if known."""
+    n = rows.count() if n is None else n
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // GROUPED)), *keys)
+
+
 def _step(frontier: DataFrame, links: DataFrame, seen: DataFrame) -> DataFrame:
     """Ids one link beyond the frontier that weren't seen. ``links`` has ``here`` and ``there``."""
     reached = links.join(near(frontier.select(F.col("id").alias("here"))), "here", "left_semi").select(F.col("there").alias("id")).distinct()
@@ -115,8 +125,8 @@ def shortest_path(source: DataFrame, target: DataFrame, edges: DataFrame, cutoff
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Each node with the number of edges at it; a loop counts once. Ends are exploded, so no join is on an OR."""
-    ends = edges.select("id", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("node"))
-    counted = ends.groupBy("node").agg(F.count("*").alias("degree"))
+    ends = edges.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("node"))
+    counted = dealt(ends, "node", n=2 * edges.count()).groupBy("node").agg(F.count("*").alias("degree"))
     return nodes.join(counted, nodes["id"] == counted["node"], "left").drop("node").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
@@ -151,5 +161,10 @@ def flow_rows(edges: DataFrame, nodes: DataFrame, types: tuple[str, ...]) -> Dat
 
 def last_per_pair(edges: DataFrame) -> DataFrame:
     """One edge for each (source, target), the last by id, as a simple directed graph holds."""
-    last = edges.groupBy("source_id", "target_id").agg(F.max(F.struct("id", "type")).alias("e"))
-    return last.select("source_id", "target_id", F.col("e.id").alias("id"), F.col("e.type").alias("type"))
+    pair = F.xxhash64("source_id", "target_id")
+    pairs = dealt(edges.select(pair.alias("pair")), "pair", n=edges.count())
+    several = near(cut(pairs.groupBy("pair").count().where("count > 1").select("pair", F.lit(True).alias("several"))))
+    # most pairs have one edge, which stays where it is
+    known = edges.withColumn("pair", pair).join(several, "pair", "left")
+    last = known.where("several").groupBy("source_id", "target_id").agg(F.max(F.struct("id", "type")).alias("e"))
+    return known.where("several is null").select("source_id", "target_id", "id", "type").union(last.select("source_id", "target_id", "e.id", "e.type"))

@@ -34,7 +34,7 @@ def q_ids_node(spark, sf_dir):
 
 @query(f"{GRAPH} select id, type, count(*) as n from edges group by id, type")
 def q_ids_edge(spark, sf_dir):
-    return tb.edges(spark, sf_dir).groupBy("id", "type").agg(F.count("*").alias("n"))
+    return graph.dealt(tb.edges(spark, sf_dir), "id").groupBy("id", "type").agg(F.count("*").alias("n"))
 
 
 @query(f"{GRAPH}, back as (select target_id as here, source_id as there from edges), {hops(sql_id('nation', 3), 'back', 2)} select n.id, n.type, n.qualified_name, cast(f.hop as int) as hop from found f join nodes n on n.id = f.id where f.hop > 0")

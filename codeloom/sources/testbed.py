@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.ids import edge_id, node_id
+from codeloom.operators import graph
 
 #: table, node type, key, name, file path, all as SQL both engines read.
 VERTICES = (
@@ -55,7 +56,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(of, kind, source, target):
         pairs = table(spark, sf_dir, of).select(F.col(source[1]).alias("s"), F.col(target[1]).alias("t"))
         if of == "lineitem":
-            pairs = pairs.distinct()
+            pairs = graph.dealt(pairs, "s", "t").distinct()
         return pairs.select(_id(source[0], "s").alias("source_id"), _id(target[0], "t").alias("target_id"), F.lit(kind).alias("type"))
 
     found = reduce(DataFrame.unionByName, [one(*x) for x in LINKS])

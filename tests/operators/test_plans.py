@@ -69,3 +69,20 @@ def test_redaction_of_odd_line_ends(spark):
     assert [x.r for x in rows] == ["a\nb", "token=<redacted>\nx", "", "", "x\n", "PassWord: <redacted>\nz", None]
     spans = chunking.windows(spark.createDataFrame([("p", "a\nsecret = 1\n\n \nb")], "path string, content string"), size=2)
     assert [(x.line_start, x.content) for x in spans.orderBy("line_start").collect()] == [(1, "a\nsecret=<redacted>"), (5, "b")]
+
+
+def test_groups_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(graph, "GROUPED", 2)
+    edges = spark.createDataFrame([(f"e{k}", f"n{k % 5}", f"n{k % 3}", "xy"[k % 2]) for k in range(20)], "id string, source_id string, target_id string, type string")
+    rows = edges.collect()
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(6)], "id string")
+    assert graph.dealt(edges, "id").rdd.getNumPartitions() == 10
+    counted = graph.degrees(nodes, edges)
+    assert {r.id: r.degree for r in counted.collect()} == {f"n{k}": sum(f"n{k}" in (e.source_id, e.target_id) for e in rows) for k in range(6)}
+    assert "hashpartitioning(node" in counted._jdf.queryExecution().executedPlan().toString() and ", 20)" in counted._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for e in rows:
+        want[e.source_id, e.target_id] = max(want.get((e.source_id, e.target_id), ("", "")), (e.id, e.type))
+    assert len(want) < len(rows) and {(r.source_id, r.target_id): (r.id, r.type) for r in graph.last_per_pair(edges).collect()} == want
+    alone = edges.where("id in ('e0', 'e1')")
+    assert sorted(r.id for r in graph.last_per_pair(alone).collect()) == ["e0", "e1"]
