@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.ids import chunk_id
 from codeloom.functions.text import estimate_tokens, lines, redact_lines
+from codeloom.operators import graph
 
 WINDOW = 80
+#: Files that one task joins with their symbols.
+FILES = 1 << 16
 
 
 def _spans(files: DataFrame, kind: str, starts: Column, ends: Column | None = None) -> DataFrame:
@@ -69,15 +72,18 @@ def statements(files: DataFrame) -> DataFrame:
 
 def symbols(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """One span for each symbol node with a line; files without any get windows."""
-    found = nodes.where("line_start is not null and type in ('class', 'function', 'test', 'type', 'api_endpoint', 'database_table')").groupBy("file_path").agg(
+    # one join in tasks of bounded rows; files with and without symbols part after it
+    n = files.count()
+    named = nodes.where("line_start is not null and type in ('class', 'function', 'test', 'type', 'api_endpoint', 'database_table')")
+    found = graph.dealt(named, "file_path", n=n, per_task=FILES).groupBy("file_path").agg(
         F.sort_array(F.collect_list(F.struct("line_start", F.greatest(F.col("line_end"), F.when(F.col("type") == "api_endpoint", F.col("line_start") + 8).otherwise(F.col("line_start"))).alias("line_end")))).alias("spans")
     )
-    lined = _lined(files).join(found, F.col("path") == F.col("file_path"), "left")
+    held = graph.dealt(files, "path", n=n, per_task=FILES).join(found, F.col("path") == F.col("file_path"), "left")
     size = F.greatest(F.size("ls"), F.lit(1))
-    with_nodes = lined.where("spans is not null")
-    cut = _spans(with_nodes, "code:symbol", F.transform("spans", lambda s: F.least(s["line_start"], size)), F.transform("spans", lambda s: F.least(s["line_end"], size)))
-    rest = files.join(found, files["path"] == found["file_path"], "left_anti")
-    return cut.union(windows(rest, kind="code:window"))
+    with_nodes = held.where("spans is not null")
+    lined = with_nodes.select("path", "content", "spans", lines(F.col("content")).alias("ls")).select("path", "ls", redact_lines(F.col("content"), F.col("ls")).alias("safe"), "spans")
+    cut = _spans(lined, "code:symbol", F.transform("spans", lambda s: F.least(s["line_start"], size)), F.transform("spans", lambda s: F.least(s["line_end"], size)))
+    return cut.union(windows(held.where("spans is null").select(files.columns), kind="code:window"))
 
 
 def materialized(spans: DataFrame) -> DataFrame:

@@ -27,10 +27,10 @@ def near(frontier: DataFrame) -> DataFrame:
 GROUPED = 1 << 20
 
 
-def dealt(rows: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
-    """The rows by their keys in as many tasks as hold ``GROUPED`` each, however many tasks the session has for shuffles; ``n`` is their number, if known."""
+def dealt(rows: DataFrame, *keys: str, n: int | None = None, per_task: int | None = None) -> DataFrame:
+    """The rows by their keys in as many tasks as hold ``GROUPED`` each, or ``per_task``, however many tasks the session has for shuffles; ``n`` is their number, if known."""
     n = rows.count() if n is None else n
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // GROUPED)), *keys)
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // (per_task or GROUPED))), *keys)
 
 
 def _step(frontier: DataFrame, links: DataFrame, seen: DataFrame) -> DataFrame:

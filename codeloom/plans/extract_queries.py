@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import safe_filename, slug
-from codeloom.operators import chunking, exports, extensions, extract, lookups, routes, spans
+from codeloom.operators import chunking, exports, extensions, extract, graph, lookups, routes, spans
 from codeloom.operators.checkpoints import folder
 from codeloom.plans.registry import query
 from codeloom.sources import testbed as tb
@@ -57,8 +57,13 @@ select z.k, z.kind, z.name, cast(z.n as int) as line_start, cast(z.last as int)
        (select max_by(c.name, c.n) from z c where c.k = z.k and c.kind = 'class' and c.n < z.n and c.last >= z.n) as owner from z"""
 
 
+#: Made-up files of one task.
+FILES = 1 << 16
+
+
 def _made(spark, sf_dir, lines: tuple[str, ...], path: str, language: str, category: str = "code"):
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    # a file of keys alone is small and read by few tasks; what is made of them is not
+    parts = graph.dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), "k", per_task=FILES)
     return parts.selectExpr("k", f"{path} as path", f"{joined(lines)} as content").withColumns({"language": F.lit(language), "category": F.lit(category)})
 
 

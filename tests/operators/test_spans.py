@@ -3,7 +3,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import embeddings, extensions, extract, spans
+from codeloom.operators import chunking, embeddings, extensions, extract, spans
 
 
 def walk(lines, start):
@@ -67,3 +67,13 @@ def test_a_registered_language_yields_nodes(spark):
     named = {(r.type, r.name, r.file_path) for r in nodes.collect()}
     assert {("section", "One", "a.notes"), ("section", "Two", "a.notes"), ("section", "Title", "c.md")} <= named
     assert embeddings.LocalHash().name != embeddings.DigestHash().name
+
+
+def test_symbol_chunks_in_tasks_of_bounded_files(spark, monkeypatch):
+    """Files with symbols and without are joined once, in tasks of so many files, and none is lost."""
+    monkeypatch.setattr(chunking, "FILES", 2)
+    files = spark.createDataFrame([(f"f{k}", f"a{k}\nb\nc") for k in range(20)], "path string, content string")
+    nodes = spark.createDataFrame([(f"f{k}", "function", 2, 3) for k in range(0, 20, 2)] + [("f1", "module", 1, 3), ("gone", "class", 1, 1)], "file_path string, type string, line_start int, line_end int")
+    found = chunking.symbols(files, nodes)
+    assert {(r.path, r.line_start, r.line_end, r.content) for r in found.collect()} == {(f"f{k}", 1, 3, f"a{k}\nb\nc") if k % 2 else (f"f{k}", 2, 3, "b\nc") for k in range(20)}
+    assert ", 10)" in found._jdf.queryExecution().executedPlan().toString()
