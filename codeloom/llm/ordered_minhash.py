@@ -8,25 +8,24 @@ itself too. Texts of one key and one length class are candidates; a banded align
 their whole word sequences confirms them when the edit distance is at most a fifth of the
 longer one (similarity 0.8).
 
-Equal texts are one node from the start and are never paired. In a bucket, texts are only
-ever aligned with the bucket's least one, which links a group of any size with one pair a
+Equal texts are one node from the start and are never paired. In a bucket, texts are first
+aligned with the bucket's least one, which links a group of any size with one pair a
 member. Every text is first aligned with the least of all its buckets' least texts; of the
-other pairs, only those whose ends are still in different components follow. So the pairs of
+other pairs, only those whose ends are still in different components follow. These pairs of
 a bucket grow with its texts, not with their square, and no bucket is capped.
 
 A bucket that then still holds several components is mixed: its texts share a common line or
-passage, or there are several groups. Each text of such buckets is dealt out once more, by
-shingles of like rarity among these texts: what is in one text only is left out, and the rest
-parted by powers of two of the texts that hold it. So the own parts of texts that are alike
-meet apart from the passage that all share. There, texts are aligned with the least of each bucket, and
-in buckets of up to four with the greatest too. The rows of a text are bounded by its
-``MARKS`` and don't multiply with its buckets.
+passage, or there are several groups. There, all pairs of different components are compared, in
+blocks of ``BLOCK_TEXTS`` texts that meet each other block of their bucket: first by counts of
+hashed words, which tell how many edits a pair takes at least, then, if these may be few enough,
+by alignment. So no pair of a bucket is lost. Small buckets cost no more than their texts; in
+a bucket of n texts the comparisons grow with the square of n (some ten nanoseconds each), the
+rows that are dealt out with n * n / ``BLOCK_TEXTS``, and no task holds more than two blocks.
 
 Keys are a random choice, so a link can be missed. Two texts that share four fifths of their
 shingles share a key but for 1 in a billion pairs. With one word in five substituted at
 random places they share a fifth of their shingles, and 94 of 100 such pairs a key. Texts of
-less than some 30 words may have no shingle left then, and are missed. A pair is also missed
-if both deals hold it in large buckets only, whose ends are like neither.
+less than some 30 words may have no shingle left then, and are missed.
 
 A class is a connected component of confirmed links; its id is its least document id.
 
@@ -39,11 +38,11 @@ memory than its word hashes.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +56,14 @@ PICKED = 2
 LOOSE = 14
 #: Texts of one partition.
 TEXTS = 1 << 12
-#: Texts of mixed buckets are dealt out again by so many of their shingles, and so many keys for each rarity of these.
-MARKS, RARE_KEYS = 64, 3
+#: Words of a text are counted by so many values of their hash, up to 255 each.
+BINS = 256
+#: Texts of one block of a mixed bucket, on average.
+BLOCK_TEXTS = 1 << 10
 #: A text is copied for its alignments, so many times, if it has more than ``ALIGNED`` and over one in ``HOT`` of all.
 COPIES, ALIGNED = 32, 256
+#: Up to so many pairs are broadcast, to find their texts before these are shuffled: some megabytes.
+FEW_PAIRS = 1 << 16
 SIMILARITY = 0.8
 BLOCK = 1 << 16
 
@@ -199,10 +202,25 @@ def sketched(nodes: DataFrame) -> DataFrame:
     return _hashed_words(nodes, sketch, "keys").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
-def least_marks(words: np.ndarray) -> np.ndarray:
-    """The ``MARKS`` least shingle hashes of a text: texts that are alike keep mostly the same ones."""
-    marks = mixed(shingles(words) * _P)
-    return np.partition(marks, MARKS - 1)[:MARKS] if len(marks) > MARKS else marks
+def binned(words: np.ndarray) -> np.ndarray:
+    """How many words have each of ``BINS`` values of their hash: one byte each, eight in a number."""
+    counts = np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return np.minimum(counts, 255).astype(np.uint8).view(np.uint64)
+
+
+_EVEN, _LANES = np.uint64(0x00FF00FF00FF00FF), [np.uint64(16 * k) for k in range(4)]
+
+
+def byte_sums(rows: np.ndarray) -> np.ndarray:
+    """Sums of rows of ``BINS`` bytes, added up four at a time in lanes of 16 bits."""
+    x = rows.view(np.uint64)
+    lanes = ((x & _EVEN) + ((x >> np.uint64(8)) & _EVEN)).sum(1)
+    return sum((lanes >> k) & np.uint64(0xFFFF) for k in _LANES).astype(np.int64)
+
+
+def edits_at_least(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distances of a text and others, by rows of their ``binned`` words: an edit takes and adds one word at most."""
+    return byte_sums(np.maximum(one, others)) - np.minimum(byte_sums(one[None]), byte_sums(others))
 
 
 def _in_classes(rows: DataFrame, *key: str) -> DataFrame:
@@ -221,17 +239,16 @@ def _shared(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
 
 
 def _members(buckets: DataFrame) -> DataFrame:
-    """The rows of buckets with several nodes, with their ``size`` and the least and greatest of their nodes as ``first`` and ``last``."""
+    """The rows of buckets with several nodes, with their ``size`` and the least of their nodes as ``first``."""
     rows, total = _shared(buckets, "bucket")
-    end = lambda f, name: f(F.struct("node", "n")).alias(name)
-    ends = rows.groupBy("bucket").agg(end(F.min, "first"), end(F.max, "last"), F.count("*").alias("_size"))
+    ends = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("_size"))
     return hot_join(rows, ends, "bucket", "_size", total).drop("_size")
 
 
-def _to_end(members: DataFrame, end: str) -> DataFrame:
-    """Pairs (u, v) of each bucket's ``first`` or ``last`` node with its others, where lengths allow them to agree."""
-    near = f"{end}.node <> node and least(n, {end}.n) >= {SIMILARITY} * greatest(n, {end}.n)"
-    return members.where(near).select(F.col(f"{end}.node").alias("u"), F.col("node").alias("v"))
+def _to_first(members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each bucket's ``first`` node with its others, where lengths allow them to agree."""
+    near = f"first.node <> node and least(n, first.n) >= {SIMILARITY} * greatest(n, first.n)"
+    return members.where(near).select(F.col("first.node").alias("u"), F.col("node").alias("v"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -244,6 +261,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts agree. A text that very many pairs need is dealt out in copies."""
     pairs = packed(pairs)
     total = pairs.count()
+    if total <= FEW_PAIRS:
+        texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "node", "left_semi")
     busy = pairs.groupBy("u").count().where(F.col("count") > max(total / HOT, ALIGNED)).select("u")  # fewer than HOT
     salt = F.when(F.col("busy"), F.pmod(F.xxhash64("v"), F.lit(COPIES))).otherwise(0)
     salted = pairs.join(F.broadcast(busy.withColumn("busy", F.lit(True))), "u", "left").select("u", "v", salt.alias("salt"))
@@ -261,45 +280,71 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node) of the buckets that still hold several components."""
-    labelled = packed(members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")))
+    """(bucket, node, n, label, size) of the buckets of three texts or more that still hold several components; of two texts, one is the first."""
+    more = members.where("size > 2").select("bucket", "node", "n")
+    labelled = packed(more.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")))
     several = packed(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size"))
-    return hot_join(labelled, several, "bucket", "size").select("node").distinct()
+    return packed(hot_join(labelled, several, "bucket", "size"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first columns, by which the batches are sorted."""
+    held, last = [], None
+    for b in batches:
+        key = np.stack([b.column(k).to_numpy() for k in range(keys)])
+        starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for start, stop in zip(starts, starts[1:]):
+            if start == stop:
+                continue
+            now = tuple(key[:, start].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(start, stop - start))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _possible(mixed_rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v), once each, of all texts of a bucket in different components that their word counts don't tell apart."""
+    counted = _hashed_words(texts, binned, "counts").select("node", "counts")
+    blocks = F.ceil(F.col("size") / BLOCK_TEXTS).cast("int")
+    own = mixed_rows.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")}).join(counted, "node")
+    each = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = each.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "node", "label", "counts")
 
-
-def _rare_buckets(texts: DataFrame) -> DataFrame:
-    """Buckets of some texts by shingles of like rarity among them, so that a passage that many share meets its own like only.
-
-    Shingles of one text only can't be shared and are left out; the others are parted by powers of two of the texts that
-    hold them, and the ``RARE_KEYS`` least of each part, each by its own hash, are keys.
-    """
-    marks = packed(_hashed_words(texts, least_marks, "marks"), TEXTS)
-    spread = marks.select("node", "n", F.explode("marks").alias("mark"))
-    held = packed(spread.groupBy("mark").agg(F.count("*").alias("held")).where("held > 1"))
-    is_hot = F.col("held") > (held.agg(F.sum("held")).first()[0] or 0) / HOT
-    hot = {r.mark: int(math.log2(r.held)) for r in held.where(is_hot).collect()}  # fewer than HOT
-
-    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hot marks get their parts here, as their rows would meet in one task; the others are looked up."""
-        for b in batches:
-            keys, others = [], []
-            for row in b.column(2).to_pylist():
-                parts: dict[int, list[int]] = {}
-                for m in row:
-                    if m in hot:
-                        parts.setdefault(hot[m], []).append(m)
-                own = [(p, k, mixed(np.array(ms).view(np.uint64) ^ _XOR[k]).min().view(np.int64)) for p, ms in parts.items() for k in range(RARE_KEYS)]
-                keys.append([{"part": p, "k": k, "key": int(v)} for p, k, v in own])
-                others.append([m for m in row if m not in hot])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(key_type)), pa.array(others, pa.list_(pa.int64()))], ["node", "n", "keys", "others"])
-
-    key_type = pa.struct([("part", pa.int64()), ("k", pa.int32()), ("key", pa.int64())])
-    known = packed(marks.mapInArrow(parted, "node binary, n long, keys array<struct<part:long,k:int,key:long>>, others array<long>"), TEXTS)
-    part = held.where(~is_hot).select("mark", F.floor(F.log2("held")).alias("part"))
-    looked_up = known.select("node", "n", F.explode("others").alias("mark")).join(part, "mark")
-    least = looked_up.groupBy("node", "part").agg(F.first("n").alias("n"), *[F.min(F.xxhash64("mark", F.lit(k))).alias(f"k{k}") for k in range(RARE_KEYS)])
-    rare = least.select("node", "n", "part", F.posexplode(F.array(*[f"k{k}" for k in range(RARE_KEYS)])).alias("k", "key"))
-    return _in_classes(rare.union(known.select("node", "n", F.inline("keys"))), "part", "k", "key")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            group = group.combine_chunks()
+            i, j = group["i"][0].as_py(), group["j"][0].as_py()
+            own, n = group["own"].to_numpy(), group["n"].to_numpy()
+            nodes = group["node"].to_pylist()
+            _, label = np.unique(np.array(group["label"].to_pylist(), object), return_inverse=True)
+            counts = pc.list_flatten(group["counts"]).to_numpy().view(np.uint8).reshape(len(n), BINS)
+            us, vs = [], []
+            for at in range(len(n)):
+                if i == j:
+                    where = np.arange(at + 1, len(n))
+                elif own[at] == i:
+                    where = np.flatnonzero(own == j)
+                else:
+                    continue
+                longer = np.maximum(n[where], n[at])
+                where = where[(label[where] != label[at]) & (np.minimum(n[where], n[at]) >= SIMILARITY * longer)]
+                if len(where):
+                    most = ((1 - SIMILARITY) * np.maximum(n[where], n[at]) + 1e-9).astype(np.int64)
+                    for k in where[edits_at_least(counts[at], counts[where]) <= most].tolist():
+                        u, v = sorted((nodes[at], nodes[k]))
+                        us.append(u)
+                        vs.append(v)
+                if len(us) >= BLOCK_TEXTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+                    us, vs = [], []
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+
+    return met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(work, "u binary, v binary").distinct()
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -326,14 +371,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("_node"), F.col("id").alias("_id"))
     texts = packed(rows.join(chosen, F.expr("node = _node and id <=> _id"), "left_semi").groupBy("node").agg(F.first("text").alias("text")), TEXTS)
 
-    links = packed(_confirmed(_to_end(members, "first").groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts))
-    more = packed(_confirmed(_apart(_to_end(members, "first"), links.select(F.col("v").alias("node"), F.col("u").alias("label"))), texts))
+    links = packed(_confirmed(_to_first(members).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts))
+    more = packed(_confirmed(_apart(_to_first(members), links.select(F.col("v").alias("node"), F.col("u").alias("label"))), texts))
     labels = components(links.union(more))
-    mixed_texts = packed(texts.join(_mixed(members, labels), "node", "left_semi"), TEXTS)
-    if not mixed_texts.isEmpty():
-        again = packed(_members(_rare_buckets(mixed_texts)))
-        more = _confirmed(_apart(_to_end(again, "first").union(_to_end(again.where("size <= 4"), "last")), labels), mixed_texts)
-        labels = _joined(labels, packed(more))
+    rest = _mixed(members, labels)
+    if not rest.isEmpty():
+        labels = _joined(labels, packed(_confirmed(_possible(rest, texts), texts)))
 
     named = packed(nodes.join(labels, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label")))
     sizes = named.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("_nodes"))

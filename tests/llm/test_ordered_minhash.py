@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from codeloom.llm import components, ordered_minhash
@@ -104,6 +105,35 @@ def test_pairs_among_many_texts_that_share_a_passage(spark, shared):
     assert all(got[b] == got[a] == a for a, b in pairs)
 
 
+def test_pairs_in_buckets_whose_least_texts_are_like_neither(spark):
+    """All texts share a passage, and each has sentences that many others have in another order: only the pairs are alike."""
+    r = random.Random(11)
+    letters = [f"w{k}" for k in range(5000)]
+    words = lambda n: [r.choice(letters) for _ in range(n)]
+    passage, sentences = words(100), [words(10) for _ in range(24)]
+    docs = []
+    for _ in range(60):
+        a = passage + sum(r.sample(sentences, 6), [])
+        docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(edited(r, a, 3, letters)))]
+    assert run(spark, docs) == brute(docs)
+
+
+def test_all_blocks_of_a_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(ordered_minhash, "BLOCK_TEXTS", 3)
+    test_pairs_in_buckets_whose_least_texts_are_like_neither(spark)
+
+
+def test_counts_of_words_bound_the_edits():
+    r = random.Random(7)
+    row = lambda words: ordered_minhash.binned(np.array(words, np.uint64)).view(np.uint8)
+    for _ in range(200):
+        a = [r.randrange(600) for _ in range(r.choice([3, 40, 400]))]
+        others = [edited(r, a, k, range(600)) for k in (0, 1, 5, 30)]
+        least = ordered_minhash.edits_at_least(row(a), np.stack([row(b) for b in others]))
+        assert all(low <= k for low, k in zip(least, (0, 1, 5, 30))) and least[0] == 0
+    assert ordered_minhash.edits_at_least(row([1] * 300), np.stack([row([2] * 300)])) == [255]  # counts stop there
+
+
 @pytest.mark.parametrize("length", [60, 200, 1000])
 def test_recall_at_the_threshold(spark, length):
     """Of pairs whose words differ at one place in five, at random, nine in ten are linked."""
