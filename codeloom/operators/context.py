@@ -30,14 +30,16 @@ def traced(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     Searches from all seeds go on together. Where they meet, the fewest links win, then the seed with the
     least rank, then the least path, so every id carries one seed and the way from it.
     """
-    links = graph._both(edges)
-    frontier = seeds.groupBy("id").agg(F.min("rank").alias("rank")).withColumn("path", F.array("id"))
-    found = cut(frontier.withColumn("hop", F.lit(0)))
+    # each edge is made once for both of its directions
+    way = lambda here, there: F.struct(F.col(here).alias("here"), F.col(there).alias("there"))
+    links = edges.select(F.inline(F.array(way("source_id", "target_id"), way("target_id", "source_id"))))
+    frontier = cut(seeds.groupBy("id").agg(F.min("rank").alias("rank")).withColumn("path", F.array("id")))
+    found = frontier.withColumn("hop", F.lit(0))
     for hop in range(1, depth + 1):
-        last = found.where(F.col("hop") == hop - 1).select(F.col("id").alias("here"), "rank", "path")
-        reached = links.join(graph.near(last), "here").where("there <> here").groupBy(F.col("there").alias("id")).agg(F.min(F.struct("rank", "path")).alias("best"))
-        new = reached.join(found.select("id"), "id", "left_anti").select("id", "best.rank", F.concat("best.path", F.array("id")).alias("path"), F.lit(hop).alias("hop"))
-        found = cut(found.unionByName(new))
+        last = frontier.select(F.col("id").alias("here"), "rank", "path")
+        reached = graph.met(links, last).where("there <> here").groupBy(F.col("there").alias("id")).agg(F.min(F.struct("rank", "path")).alias("best"))
+        frontier = cut(reached.join(found.select("id"), "id", "left_anti").select("id", "best.rank", F.concat("best.path", F.array("id")).alias("path")))
+        found = found.unionByName(frontier.withColumn("hop", F.lit(hop)))
     return found.select("id", "hop", "rank", "path")
 
 

@@ -23,6 +23,20 @@ def near(frontier: DataFrame) -> DataFrame:
     return F.broadcast(frontier) if frontier.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else frontier
 
 
+#: Ids begin with their node's type; a frontier of more than so many beginnings isn't told by them.
+KINDS = 64
+
+
+def met(links: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The links at a stored frontier (here, ...). If it is too large for a broadcast, links at other types of nodes are left out before the rest is shuffled."""
+    close = frontier.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    if close:
+        return links.join(F.broadcast(frontier), "here")
+    kind = F.substring_index("here", ":", 1)
+    kinds = [r.kind for r in frontier.select(kind.alias("kind")).distinct().limit(KINDS + 1).collect()]
+    return (links.where(kind.isin(kinds)) if len(kinds) <= KINDS else links).join(frontier, "here")
+
+
 #: Rows that one task groups: their strings take some hundred megabytes.
 GROUPED = 1 << 20
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import BUDGETS, TRIM_MARK
-from codeloom.operators import context, inverted, store
+from codeloom.operators import context, graph, inverted, store
 
 EDGE = "id string, source_id string, target_id string, type string"
 
@@ -41,6 +41,15 @@ def test_searches_that_meet_keep_one_way(spark):
     assert sorted((x.id, x.hop, x["rank"], x.path) for x in found) == brute_traced([("n1", 2), *seeds[1:3], seeds[4]], pairs, 3)
 
 
+def test_large_frontiers_meet_links_at_their_own_types_only(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_IDS", 0)
+    links = spark.createDataFrame([("a:1", "b:1"), ("a:2", "b:2"), ("b:1", "a:1"), ("a", "b:3")], "here string, there string")
+    for ids, want in ((["a:1", "a:3"], ["b:1"]), (["a", "b:1"], ["a:1", "b:3"]), ([f"k{k}:1" for k in range(graph.KINDS)] + ["a:2"], ["b:2"])):
+        got = graph.met(links, spark.createDataFrame([(i,) for i in ids], "here string")).collect()
+        assert sorted(r.there for r in got) == want
+    test_searches_that_meet_keep_one_way(spark)
+
+
 def test_debug_order(spark):
     nodes = spark.createDataFrame([("s", "function"), ("t", "test"), ("c", "config"), ("o", "class")], "id string, type string")
     edges = spark.createDataFrame([("1", "s", "t", "tested_by"), ("2", "o", "s", "calls"), ("3", "o", "c", "configures")], EDGE)
