@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.ids import chunk_id
 from codeloom.functions.text import contains_any, estimate_tokens, redact
-from codeloom.operators import risk, search
+from codeloom.operators import graph, risk, search
 
 #: What a review lists by parts of lower-case paths, ends of paths and types of symbols.
 PUBLIC_PATHS = ("api", "route", "server", "controller")
@@ -101,7 +101,7 @@ def priorities(reviews: DataFrame) -> DataFrame:
 def flow_counts(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, node_count, edge_count) of each seed's neighbourhood, itself included; seeds without an edge drop out."""
     ends = edges.select("id", F.explode(F.array(F.struct(F.col("source_id").alias("at"), F.col("target_id").alias("other")), F.struct(F.col("target_id").alias("at"), F.col("source_id").alias("other")))).alias("e")).select(F.col("id").alias("edge"), "e.*")
-    near = ends.join(seeds.select(F.col("id").alias("at")).distinct(), "at", "left_semi")
+    near = ends.join(graph.near(seeds.select(F.col("id").alias("at")).distinct()), "at", "left_semi")
     others = F.count_distinct(F.when(F.col("other") != F.col("at"), F.col("other")))
     return near.groupBy(F.col("at").alias("id")).agg((others + 1).alias("node_count"), F.count_distinct("edge").alias("edge_count"))
 

@@ -40,11 +40,12 @@ RUN_TESTS = "Run related tests listed in the review output."
 
 def reach_by(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """(change, id, hop) within ``depth`` links (here, there) of each change's own seeds (change, id)."""
-    found = cut(seeds.select(*BY, "id").distinct().withColumn("hop", F.lit(0)))
+    frontier = cut(seeds.select(*BY, "id").distinct())
+    found = frontier.withColumn("hop", F.lit(0))
     for hop in range(1, depth + 1):
-        last = found.where(F.col("hop") == hop - 1).select(*BY, F.col("id").alias("here"))
-        new = links.join(graph.near(last), "here").select(*BY, F.col("there").alias("id")).distinct().join(found.select(*BY, "id"), [*BY, "id"], "left_anti")
-        found = cut(found.unionByName(new.withColumn("hop", F.lit(hop))))
+        last = frontier.select(*BY, F.col("id").alias("here"))
+        frontier = cut(graph.met(links, last).select(*BY, F.col("there").alias("id")).distinct().join(found.select(*BY, "id"), [*BY, "id"], "left_anti"))
+        found = found.unionByName(frontier.withColumn("hop", F.lit(hop)))
     return found
 
 
@@ -67,7 +68,7 @@ def changed_symbols(touched: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes, other than files and modules, with a changed line (change, file_path, line) in their span, once a change."""
     spans = nodes.where("line_start is not null and line_end is not null and type not in ('file', 'module')")
     at = touched.select(*BY, F.col("file_path").alias("_path"), "line").distinct()
-    hit = spans.join(at, F.expr("file_path = _path and line between line_start and line_end"))
+    hit = spans.join(graph.near(at), F.expr("file_path = _path and line between line_start and line_end"))
     return hit.select(*BY, *nodes.columns).dropDuplicates([*BY, "id"])
 
 
@@ -84,7 +85,7 @@ def review(files: DataFrame, patches: DataFrame, churn: DataFrame, nodes: DataFr
     lines = diffs.numbered(diffs.patch_lines(of_files.select(F.struct(*BY, "path").alias("patch_id"), "patch")))
     touched = cut(lines.where(~F.col("is_hunk") & diffs.is_change(F.col("line"), F.col("new_line"))).select("patch_id.change", "file_path", F.col("new_line").alias("line")).distinct())
     symbols = cut(changed_symbols(touched, nodes))
-    in_files = nodes.join(ordered.select(*BY, F.col("path").alias("file_path"), "place"), "file_path").select(*BY, *nodes.columns)
+    in_files = nodes.join(graph.near(ordered.select(*BY, F.col("path").alias("file_path"), "place")), "file_path").select(*BY, *nodes.columns)
     seeds = cut(symbols.unionByName(in_files.join(symbols.select(*BY).distinct(), list(BY), "left_anti").select(symbols.columns)))
     reached = reach_by(seeds, graph._reverse(edges), depth).where("hop > 0")
     hit = cut(reached.join(nodes, "id").select(*BY, *nodes.columns))
