@@ -21,6 +21,7 @@ hashed words, which tell how many edits a pair takes at least, then, if these ma
 by alignment. So no pair of a bucket is lost. Small buckets cost no more than their texts; in
 a bucket of n texts the comparisons grow with the square of n (some ten nanoseconds each), the
 rows that are dealt out with n * n / ``BLOCK_TEXTS``, and no task holds more than two blocks.
+Texts that share several mixed buckets are compared in the first of them only.
 
 Keys are a random choice, so a link can be missed. Two texts that share four fifths of their
 shingles share a key but for 1 in a billion pairs. With one word in five substituted at
@@ -54,6 +55,8 @@ SKETCHES = 16
 PICKED = 2
 #: The least shingle of so many of the hash functions is a key by itself.
 LOOSE = 14
+#: The lowest bits of a key are the number of its function.
+SLOTS = 32
 #: Texts of one partition.
 TEXTS = 1 << 12
 #: Words of a text are counted by so many values of their hash, up to 255 each.
@@ -112,7 +115,7 @@ def sketch(words: np.ndarray) -> np.ndarray:
     for k in range(PICKED):
         key = mixed((key * _P) ^ picked[:, k])
     alone = mixed((np.arange(SKETCHES, SKETCHES + LOOSE, dtype=np.uint64) * _P) ^ marks[best_at[:LOOSE, 0]])
-    return np.r_[key, alone]
+    return np.r_[key, alone] & np.uint64(2**64 - SLOTS) | np.arange(SKETCHES + LOOSE, dtype=np.uint64)
 
 
 def within(a: list, b: list, most: int) -> int | None:
@@ -223,13 +226,6 @@ def edits_at_least(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return byte_sums(np.maximum(one, others)) - np.minimum(byte_sums(one[None]), byte_sums(others))
 
 
-def _in_classes(rows: DataFrame, *key: str) -> DataFrame:
-    """(bucket, node, n): every row in two length classes of its key; lengths that may agree are at most one class apart."""
-    step = F.floor(F.log("n") / float(np.log(1 / SIMILARITY)))
-    own = rows.withColumn("step", step)
-    return own.select("node", "n", F.explode(F.array(F.xxhash64(*key, "step"), F.xxhash64(*key, F.col("step") + 1))).alias("bucket"))
-
-
 def _shared(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
     """The rows, with the ``size`` of their key, whose key has several nodes; and their number."""
     short = F.xxhash64("node")  # most keys have one node; what finds them is kept narrow
@@ -238,17 +234,36 @@ def _shared(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
     return packed(hot_join(rows, several, key, "size", total)), total
 
 
-def _members(buckets: DataFrame) -> DataFrame:
-    """The rows of buckets with several nodes, with their ``size`` and the least of their nodes as ``first``."""
-    rows, total = _shared(buckets, "bucket")
-    ends = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("_size"))
-    return hot_join(rows, ends, "bucket", "_size", total).drop("_size")
+def _with_buckets(rows: DataFrame, total: int, facts: list[Column], made: Callable[[Column, Column], Column]) -> DataFrame:
+    """The rows (key, node, n, step, ...), each once, with what is ``made`` of their two buckets as ``found``.
+
+    A bucket is two neighbouring length classes of a key, as lengths that may agree are at most one class apart. ``made`` takes the number of
+    a bucket's upper class and the ``facts`` and sizes of its classes; it runs once for each class of a key, of which there are some dozens at most.
+    """
+    each = rows.groupBy("key", "step").agg(F.count("*").alias("size"), *facts)
+    keys = each.groupBy("key").agg(F.sum("size").alias("_size"), F.collect_list(F.struct(*[c for c in each.columns if c != "key"])).alias("classes"))
+    bucket = lambda at: made(at, F.filter("classes", lambda c: c["step"].between(at - 1, at)))
+    found = F.map_from_entries(F.transform("classes", lambda c: F.struct(c["step"], F.array(bucket(c["step"]), bucket(c["step"] + 1)))))
+    return hot_join(rows, keys.select("key", "_size", found.alias("found")), "key", "_size", total).drop("_size").withColumn("found", F.col("found")[F.col("step")])
+
+
+def _size(classes: Column) -> Column:
+    return F.aggregate(classes, F.lit(0).cast("long"), lambda total, c: total + c["size"])
+
+
+def _members(shared: DataFrame, total: int) -> DataFrame:
+    """(key, node, n, step, firsts): the rows in buckets with several nodes, with the least nodes of these buckets."""
+    rows = shared.select("key", "node", "n", F.floor(F.log("n") / float(np.log(1 / SIMILARITY))).alias("step"))
+    first = lambda at, classes: F.when(_size(classes) > 1, F.array_min(F.transform(classes, lambda c: c["first"])))
+    found = _with_buckets(rows, total, [F.min(F.struct("node", "n")).alias("first")], first)
+    firsts = F.array_distinct(F.array_compact("found")).alias("firsts")
+    return found.select("key", "node", "n", "step", firsts).where(F.size("firsts") > 0)
 
 
 def _to_first(members: DataFrame) -> DataFrame:
-    """Pairs (u, v) of each bucket's ``first`` node with its others, where lengths allow them to agree."""
+    """Pairs (u, v) of each bucket's least node with its others, where lengths allow them to agree."""
     near = f"first.node <> node and least(n, first.n) >= {SIMILARITY} * greatest(n, first.n)"
-    return members.where(near).select(F.col("first.node").alias("u"), F.col("node").alias("v"))
+    return members.select("node", "n", F.explode("firsts").alias("first")).where(near).select(F.col("first.node").alias("u"), F.col("node").alias("v"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -258,18 +273,22 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts agree. A text that very many pairs need is dealt out in copies."""
+    """The pairs (u, v) whose texts agree. Both sides read one shuffle of the texts."""
     pairs = packed(pairs)
-    total = pairs.count()
-    if total <= FEW_PAIRS:
+    if pairs.count() <= FEW_PAIRS:
         texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()), "node", "left_semi")
-    busy = pairs.groupBy("u").count().where(F.col("count") > max(total / HOT, ALIGNED)).select("u")  # fewer than HOT
-    salt = F.when(F.col("busy"), F.pmod(F.xxhash64("v"), F.lit(COPIES))).otherwise(0)
-    salted = pairs.join(F.broadcast(busy.withColumn("busy", F.lit(True))), "u", "left").select("u", "v", salt.alias("salt"))
-    ends = texts.join(F.broadcast(busy.select(F.col("u").alias("node"), F.lit(True).alias("busy"))), "node", "left")
-    copies = ends.select(F.col("node").alias("u"), F.col("text").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("busy"), COPIES - 1).otherwise(0).cast("long"))).alias("salt"))
-    with_v = salted.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    with_both = with_v.join(copies, ["u", "salt"]).select("u", "v", "a", "b")
+    sides = texts.join(pairs.select("u", F.col("v").alias("node")), "node").select("u", F.col("node").alias("v"), F.col("text").alias("b"))
+    return _aligned(sides, pairs, texts.join(pairs.select(F.col("u").alias("node")).distinct(), "node"))
+
+
+def _aligned(sides: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) that agree, of ``sides``, which has the text of v as b, and the ``texts`` of all u. A text that very many pairs need as u is dealt out in copies."""
+    busy = pairs.groupBy("u").count().where(F.col("count") > max(pairs.count() / HOT, ALIGNED))
+    copied = [bytes(r.u) for r in busy.select("u").collect()]  # fewer than HOT
+    salt = lambda u, v: F.when(F.col(u).isin(copied), v).otherwise(0) if copied else F.lit(0)
+    salted = sides.withColumn("salt", salt("u", F.pmod(F.xxhash64("v"), F.lit(COPIES))).cast("long"))
+    copies = texts.select(F.col("node").alias("u"), F.col("text").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), salt("node", COPIES - 1).cast("long"))).alias("salt"))
+    with_both = salted.join(copies, ["u", "salt"]).select("u", "v", "a", "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,11 +299,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, node, n, label, size) of the buckets of three texts or more that still hold several components; of two texts, one is the first."""
-    more = members.where("size > 2").select("bucket", "node", "n")
-    labelled = packed(more.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")))
-    several = packed(labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size"))
-    return packed(hot_join(labelled, several, "bucket", "size"))
+    """(node, n, step, label, key, buckets): each text's buckets, as (at, size), of three texts or more that still hold several components; of two texts, one is the first."""
+    rows = packed(members.select("key", "node", "n", "step").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    label = lambda end, classes, of: end(F.transform(classes, lambda c: c[of]))
+    several = lambda classes: (label(F.array_min, classes, "low") < label(F.array_max, classes, "high")) & (_size(classes) > 2)
+    mixed = lambda at, classes: F.when(several(classes), F.struct(at.alias("at"), _size(classes).alias("size")))
+    found = _with_buckets(rows, rows.count(), [F.min("label").alias("low"), F.max("label").alias("high")], mixed)
+    return packed(found.select("node", "n", "step", "label", "key", F.array_compact("found").alias("buckets")).where(F.size("buckets") > 0))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -309,19 +330,24 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 def _possible(mixed_rows: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v), once each, of all texts of a bucket in different components that their word counts don't tell apart."""
     counted = _hashed_words(texts, binned, "counts").select("node", "counts")
-    blocks = F.ceil(F.col("size") / BLOCK_TEXTS).cast("int")
-    own = mixed_rows.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")}).join(counted, "node")
-    each = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = each.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "node", "label", "counts")
+    nodes = mixed_rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "step", "label")], F.collect_list("key").alias("keys"), F.collect_list(F.struct("key", "buckets")).alias("held"))
+    met = nodes.join(counted, "node").withColumn("held", F.explode("held")).select("*", "held.key", F.explode("held.buckets").alias("bucket"))
+    blocks = F.ceil(F.col("bucket.size") / BLOCK_TEXTS).cast("int")
+    met = met.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", "bucket.at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "step", "node", "label", "counts", "keys")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
+        for group in _groups(batches, 4):
             group = group.combine_chunks()
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            own, n = group["own"].to_numpy(), group["n"].to_numpy()
+            key, top, i, j = (group[c][0].as_py() for c in ("key", "at", "i", "j"))
+            own, n, step = (group[c].to_numpy() for c in ("own", "n", "step"))
             nodes = group["node"].to_pylist()
             _, label = np.unique(np.array(group["label"].to_pylist(), object), return_inverse=True)
             counts = pc.list_flatten(group["counts"]).to_numpy().view(np.uint8).reshape(len(n), BINS)
+            keys = pc.list_flatten(group["keys"]).to_numpy()
+            before = np.zeros((len(n), SLOTS), np.int64)
+            before[np.repeat(np.arange(len(n)), pc.list_value_length(group["keys"]).to_numpy()), keys % SLOTS] = keys
+            before = before[:, : key % SLOTS]
             us, vs = [], []
             for at in range(len(n)):
                 if i == j:
@@ -331,7 +357,9 @@ def _possible(mixed_rows: DataFrame, texts: DataFrame) -> DataFrame:
                 else:
                     continue
                 longer = np.maximum(n[where], n[at])
-                where = where[(label[where] != label[at]) & (np.minimum(n[where], n[at]) >= SIMILARITY * longer)]
+                where = where[(label[where] != label[at]) & (np.minimum(n[where], n[at]) >= SIMILARITY * longer) & (np.maximum(step[where], step[at]) == top)]
+                has = np.flatnonzero(before[at])  # a pair is compared in the first bucket it shares
+                where = where[~(before[where][:, has] == before[at, has]).any(1)]
                 if len(where):
                     most = ((1 - SIMILARITY) * np.maximum(n[where], n[at]) + 1e-9).astype(np.int64)
                     for k in where[edits_at_least(counts[at], counts[where]) <= most].tolist():
@@ -344,7 +372,7 @@ def _possible(mixed_rows: DataFrame, texts: DataFrame) -> DataFrame:
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
 
-    return met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(work, "u binary, v binary").distinct()
+    return met.repartition("key", "at", "i", "j").sortWithinPartitions("key", "at", "i", "j").mapInArrow(work, "u binary, v binary")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -365,15 +393,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     keyed = packed(rows.select("id", "node"))
     nodes = packed(keyed.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     sketches = packed(sketched(rows.select("node", "text")), TEXTS)
-    shared, _ = _shared(sketches.select("node", "n", F.explode("keys").alias("key")), "key")  # few keys are, so length classes come after
-    members = packed(_members(_in_classes(shared, "key")))
-
-    chosen = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("_node"), F.col("id").alias("_id"))
-    texts = packed(rows.join(chosen, F.expr("node = _node and id <=> _id"), "left_semi").groupBy("node").agg(F.first("text").alias("text")), TEXTS)
-
-    links = packed(_confirmed(_to_first(members).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), texts))
-    more = packed(_confirmed(_apart(_to_first(members), links.select(F.col("v").alias("node"), F.col("u").alias("label"))), texts))
-    labels = components(links.union(more))
+    shared, total = _shared(sketches.select("node", "n", F.explode("keys").alias("key")), "key")
+    members = packed(_members(shared, total))
+
+    tried = packed(_to_first(members).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    marks = members.select("node", F.lit(None).cast("binary").alias("u"), F.lit(False).alias("is_u")).union(tried.select("v", "u", F.lit(False))).union(tried.select("u", F.lit(None), F.lit(True)))
+    chosen = packed(marks.groupBy("node").agg(F.max("u").alias("u"), F.max("is_u").alias("is_u")))
+    texts = packed(rows.groupBy("node").agg(F.first("text").alias("text")).join(chosen, "node"), TEXTS)
+
+    sides = texts.where("u is not null").select("u", F.col("node").alias("v"), F.col("text").alias("b"))
+    links = packed(_aligned(sides, tried, texts.where("is_u").select("node", "text")))
+    texts = texts.select("node", "text")
+    labels = packed(components(links))
+    labels = packed(_joined(labels, packed(_confirmed(_apart(_to_first(members), labels), texts))))
     rest = _mixed(members, labels)
     if not rest.isEmpty():
         labels = _joined(labels, packed(_confirmed(_possible(rest, texts), texts)))

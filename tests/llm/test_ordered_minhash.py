@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -123,6 +125,36 @@ def test_all_blocks_of_a_bucket_meet(spark, monkeypatch):
     test_pairs_in_buckets_whose_least_texts_are_like_neither(spark)
 
 
+def test_pairs_of_mixed_buckets_are_compared_once(spark, monkeypatch):
+    """Against all pairs: those that share a bucket of three texts or more, whatever other buckets they share, each once."""
+    monkeypatch.setattr(ordered_minhash, "BLOCK_TEXTS", 3)
+    r = random.Random(13)
+    letters = [f"w{k}" for k in range(300)]
+    passage = [r.choice(letters) for _ in range(60)]
+    texts = [" ".join(passage + [r.choice(letters) for _ in range(r.choice([8, 14, 24, 40]))]) for _ in range(40)]
+    nodes = spark.createDataFrame([(bytes([k]), t) for k, t in enumerate(texts)], "node binary, text string")
+    labels = spark.createDataFrame([(bytes([k]), bytes([0])) for k in range(6)], "node binary, label binary")
+    sketches = ordered_minhash.sketched(nodes).collect()
+    shared, total = ordered_minhash._shared(spark.createDataFrame([(x.node, x.n, k) for x in sketches for k in x["keys"]], "node binary, n long, key long"), "key")
+    members = ordered_minhash._members(shared, total)
+    assert members.count() == members.select("key", "node").distinct().count() <= total
+    rows = ordered_minhash._mixed(members, labels)
+    got = [(x.u, x.v) for x in ordered_minhash._possible(rows, nodes).collect()]
+
+    rows_of = {x.node: x for x in sketches}
+    step = {x.node: math.floor(math.log(x.n) / math.log(1 / 0.8)) for x in sketches}
+    counts = {x.node: np.array(x.counts).view(np.uint8) for x in ordered_minhash._hashed_words(nodes, ordered_minhash.binned, "counts").collect()}
+    want = set()
+    for u, v in itertools.combinations(sorted(rows_of), 2):
+        longer, shorter = sorted((rows_of[u].n, rows_of[v].n), reverse=True)
+        top = max(step[u], step[v])
+        inside = [sum(k in x["keys"] and step[i] in (top - 1, top) for i, x in rows_of.items()) for k in set(rows_of[u]["keys"]) & set(rows_of[v]["keys"])]
+        if max(u, v) >= bytes([6]) and shorter >= 0.8 * longer and max([0, *inside]) > 2 and ordered_minhash.edits_at_least(counts[u], counts[v][None])[0] <= int(0.2 * longer + 1e-9):
+            want.add((u, v))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 50
+
+
 def test_counts_of_words_bound_the_edits():
     r = random.Random(7)
     row = lambda words: ordered_minhash.binned(np.array(words, np.uint64)).view(np.uint8)
