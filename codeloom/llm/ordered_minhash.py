@@ -420,6 +420,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of each class with the least id, with its own columns."""
     found = classes(docs, doc_id, text)
-    kept = found.where("id <=> class_id").groupBy("label").agg(F.min(F.struct("id", "node")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.node").alias("_node"))
-    rows = docs.select(F.col(doc_id).alias("id"), node_key(F.col(text)).alias("node"), F.struct("*").alias("doc"))
-    return rows.join(kept, F.expr("id <=> _id and node = _node"), "left_semi").dropDuplicates(["id", "node"]).select("doc.*")
+    kept = found.where("id <=> class_id").groupBy("label").agg(F.min(F.struct("id", "node")).alias("k")).select("k.*")
+    own = F.concat_ws("=", F.hex("node"), F.col("id").cast("string")).alias("own")  # one key, so that the rows are dealt out once; a null id leaves it shorter
+    rows = docs.select(F.col(doc_id).alias("id"), node_key(F.col(text)).alias("node"), F.struct("*").alias("doc")).select(own, "doc")
+    return rows.join(kept.select(own), "own", "left_semi").dropDuplicates(["own"]).select("doc.*")

@@ -155,6 +155,20 @@ def test_pairs_of_mixed_buckets_are_compared_once(spark, monkeypatch):
     assert len(want) > 50
 
 
+def test_keep_one_deals_rows_out_once(spark, capsys):
+    docs = spark.createDataFrame([(k, f"text {k}", "n", "l") for k in range(9)], SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        capsys.readouterr()
+        ordered_minhash.keep_one(docs).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = capsys.readouterr().out
+    above = plan[: plan.index("Join")]  # what is done with whole rows after they have met the rows to keep
+    assert "Aggregate" in above and "Exchange" not in above
+
+
 def test_counts_of_words_bound_the_edits():
     r = random.Random(7)
     row = lambda words: ordered_minhash.binned(np.array(words, np.uint64)).view(np.uint8)
