@@ -222,5 +222,18 @@ def test_components(spark):
         assert got == {k: root(k) for a, b in edges if a != b for k in (a, b)}
 
 
+def test_links_of_a_group_are_thinned_and_read_few_times(spark, monkeypatch):
+    """All pairs of a group are linked, in four tasks: the stars read fewer edges than each task has nodes, and each edge at most three times a round."""
+    star, cut, read, times = components._large_star, components.cut, [], []
+    monkeypatch.setattr(components, "_large_star", lambda edges, total: read.append(edges.count()) or star(edges, total))
+    monkeypatch.setattr(components, "cut", lambda df: times.append(df._jdf.queryExecution().optimizedPlan().toString().count("Generate inline")) or cut(df))
+    links = list(itertools.combinations(range(150), 2))
+    random.Random(3).shuffle(links)
+    got = {x.node: x.label for x in components.components(spark.createDataFrame(links, "u long, v long").repartition(4), 128).collect()}
+    assert got == dict.fromkeys(range(150), 0)
+    assert read and max(read) < 4 * 150
+    assert 0 < sum(times) <= 3 * len(read)
+
+
 def test_empty_table(spark):
     assert ordered_minhash.classes(spark.createDataFrame([], SCHEMA)).count() == 0
